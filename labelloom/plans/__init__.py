@@ -15,4 +15,4 @@ def catalogue():
     return registry
 
 
-AREAS = ("scalars", "aggregates")
+AREAS = ("scalars", "aggregates", "labels")

@@ -109,6 +109,58 @@ class Views:
             .distinct()
         )
 
+    @cached_property
+    def raw_labels(self) -> DataFrame:
+        """Labels as they come: right, in capitals, plural, misspelt, of a type or a brand."""
+        name, size = F.col("p_name"), F.col("p_size")
+        forms = F.array(
+            name, F.upper(name), F.concat(name, F.lit("s")), F.concat(name, F.lit("x")), F.concat(name, F.lit("q")),
+            F.col("p_type"), F.replace("p_brand", F.lit("#"), F.lit(" ")), F.concat(F.lit("zz "), F.col("p_brand")),
+        )
+        return self.table("part").select(F.element_at(forms, size % 8 + 1).alias("label")).distinct()
+
+    @cached_property
+    def alias_table(self) -> DataFrame:
+        kind = F.when(F.col("p_size") % 4 == 1, "alias").otherwise("synonym")
+        return (
+            self.table("part").where("p_size % 4 = 1 OR p_size % 4 = 2")
+            .select(
+                F.concat(F.lower("p_type"), F.lit("."), brand_slug(F.col("p_brand"))).alias("canonical_value"),
+                F.lower(F.concat("p_name", F.lit("x"))).alias("alias"),
+                kind.alias("kind"),
+            )
+            .distinct()
+        )
+
+    @cached_property
+    def pattern_table(self) -> DataFrame:
+        """One pattern per first word of the names."""
+        return (
+            self.table("part")
+            .groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("_w"))
+            .agg(F.min(F.concat(F.lower("p_type"), F.lit("."), brand_slug(F.col("p_brand")))).alias("canonical_value"))
+            .select(F.concat(F.lit("^"), F.col("_w"), F.lit(" .*Q$")).alias("pattern"), "canonical_value", F.lit(0.7).alias("confidence"))
+        )
+
+    @cached_property
+    def concepts(self) -> DataFrame:
+        """Names under their noun, nouns under one top concept."""
+        part = self.table("part")
+        noun = F.split_part("p_name", F.lit(" "), F.lit(2))
+        none = F.array().cast("array<string>")
+        names = part.groupBy("p_name").agg(F.min("p_size").alias("s")).select(
+            F.replace("p_name", F.lit(" "), F.lit("_")).alias("canonical_name"),
+            F.array(F.concat("p_name", F.lit("-x")), F.upper("p_name")).alias("aliases"),
+            noun.alias("parent_category"),
+            F.array(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("_thing"))).alias("equivalents"),
+            ((F.col("s") % 7 + 4) / 10).alias("confidence_base"),
+        )
+        nouns = part.select(noun.alias("n")).distinct().select(
+            "n", F.array(F.concat("n", F.lit("s"))), F.lit("goods"), none, F.lit(0.5)
+        )
+        top = part.groupBy().agg(F.lit("goods").alias("n")).select("n", none, F.lit(None).cast("string"), none, F.lit(0.4))
+        return names.union(nouns).union(top)
+
     @cached_property
     def taxonomy(self) -> DataFrame:
         """Region, nation and supplier as a three-level tree."""
@@ -206,6 +258,27 @@ SQL = {
   FROM part)""",
     "ontology_values": f"""ontology_values AS (
   SELECT DISTINCT lower(p_type) || '.' || {_SLUG} AS value FROM part)""",
+    "raw_labels": """raw_labels AS (
+  SELECT DISTINCT CASE p_size % 8 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN p_name || 's' WHEN 3 THEN p_name || 'x'
+    WHEN 4 THEN p_name || 'q' WHEN 5 THEN p_type WHEN 6 THEN replace(p_brand, '#', ' ') ELSE 'zz ' || p_brand END AS label FROM part)""",
+    "alias_table": f"""alias_table AS (
+  SELECT DISTINCT lower(p_type) || '.' || {_SLUG} AS canonical_value, lower(p_name || 'x') AS alias,
+    CASE WHEN p_size % 4 = 1 THEN 'alias' ELSE 'synonym' END AS kind FROM part WHERE p_size % 4 IN (1, 2))""",
+    "pattern_table": f"""pattern_table AS (
+  SELECT '^' || split_part(p_name, ' ', 1) || ' .*Q$' AS pattern, min(lower(p_type) || '.' || {_SLUG}) AS canonical_value, 0.7 AS confidence
+  FROM part GROUP BY split_part(p_name, ' ', 1))""",
+    "concepts": """concepts AS (
+  SELECT replace(p_name, ' ', '_') AS canonical_name, [p_name || '-x', upper(p_name)] AS aliases, split_part(p_name, ' ', 2) AS parent_category,
+    [split_part(p_name, ' ', 1) || '_thing'] AS equivalents, (min(p_size) % 7 + 4) / 10.0 AS confidence_base FROM part GROUP BY p_name
+  UNION ALL SELECT DISTINCT split_part(p_name, ' ', 2), [split_part(p_name, ' ', 2) || 's'], 'goods', CAST([] AS VARCHAR[]), 0.5 FROM part
+  UNION ALL SELECT 'goods', CAST([] AS VARCHAR[]), NULL, CAST([] AS VARCHAR[]), 0.4)""",
+    "nodes": """prefixes AS (
+  SELECT value, 2 AS depth, split_part(value, '.', 1) AS parent FROM ontology_values
+  UNION ALL SELECT DISTINCT split_part(value, '.', 1), 1, 'root' FROM ontology_values),
+nodes AS (
+  SELECT value, upper(split_part(value, '.', -1)[1]) || replace(split_part(value, '.', -1)[2:], '_', ' ') AS name,
+    split_part(value, '.', 1) AS category, parent, depth, depth = 2 AS is_leaf FROM prefixes
+  UNION ALL SELECT 'root', 'Root', 'root', NULL, 0, false)""",
     "taxonomy": """taxonomy AS (
   SELECT node_id, name, parent_id, 'domain' || CAST(region_key AS VARCHAR) AS domain,
     (10 - node_key % 10) / 10.0 AS priority,
