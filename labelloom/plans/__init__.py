@@ -15,4 +15,4 @@ def catalogue():
     return registry
 
 
-AREAS = ("scalars", "aggregates", "labels")
+AREAS = ("scalars", "aggregates", "labels", "quality")
