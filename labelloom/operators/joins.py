@@ -13,9 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import text
-from labelloom.operators.skew import top_k
-
-SALTS = 16
+from labelloom.operators.skew import salted_join, top_k
 
 
 def with_image(annotations: DataFrame, images: DataFrame, columns: Sequence[str] = ("width", "height")) -> DataFrame:
@@ -119,10 +117,11 @@ def contains_join(needles: DataFrame, needle: str, haystacks: DataFrame, haystac
         keyed.join(frequency, "_piece", "left")
         .groupBy(needle)
         .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_piece").alias("p"))).alias("_best"))
-        .select(needle, F.col("_best.p").alias("_piece"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        .select(needle, F.col("_best.p").alias("_piece"))
+    )
+    return (
+        salted_join(posted, rarest, ["_piece"], [haystack]).where(F.contains(haystack, needle)).select(needle, haystack)
     )
-    spread = posted.withColumn("_salt", F.pmod(F.xxhash64(haystack), F.lit(SALTS)).cast("int"))
-    return spread.join(rarest, ["_piece", "_salt"]).where(F.contains(haystack, needle)).select(needle, haystack)
 
 
 def labels_in_nodes(labels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,15 +145,10 @@ def regex_matches(labels: DataFrame, rules: DataFrame, per_chunk: int = 500) ->
         rules.withColumn("_chunk", F.pmod(F.xxhash64("pattern", "canonical_value"), n).cast("int"))
         .groupBy("_chunk")
         .agg(F.collect_list(F.struct("pattern", "canonical_value", "confidence")).alias("_rules"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    spread = labels.select("label").distinct().select(
-        "label",
-        F.explode(F.sequence(F.lit(0), n - 1)).alias("_chunk"),
-        F.pmod(F.xxhash64("label"), F.lit(SALTS)).cast("int").alias("_salt"),
     )
+    every = labels.select("label").distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0), n - 1)))
     hit = F.filter("_rules", lambda r: F.regexp_like(F.col("label"), F.concat(F.lit("(?i)"), r["pattern"])))
-    return spread.join(chunks, ["_chunk", "_salt"]).select("label", F.inline(hit))
+    return salted_join(every, chunks, ["_chunk"], ["label"]).select("label", F.inline(hit))
 
 
 def keyword_sources(nodes: DataFrame, sources: DataFrame, limit: int) -> DataFrame:

@@ -146,3 +146,13 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k:
     """
     spec = W.partitionBy(*(list(group) or [F.lit(0)])).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(spec)).where(F.col(rank) <= k)
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = 16) -> DataFrame:
+    """Inner join whose hot keys on the big side are spread over ``salts`` tasks.
+
+    The other side is repeated once per salt, so it should be the smaller one.
+    """
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")

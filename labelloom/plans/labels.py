@@ -66,11 +66,11 @@ FROM annotations a LEFT JOIN images i ON a.image_id = i.id""")
         )
 
     @r.add("j02_annotation_category", """
-WITH c AS (SELECT p_partkey AS id, p_type AS name FROM part WHERE p_retailprice < 950)
+WITH c AS (SELECT p_partkey AS id, p_type AS name FROM part WHERE p_type <> 'PROMO')
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(name, CAST(l_partkey AS VARCHAR)) AS category_name FROM lineitem LEFT JOIN c ON l_partkey = id""")
     def _(v):
         lines = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.col("l_partkey").alias("category_id"))
-        cats = v.table("part").where("p_retailprice < 950").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
+        cats = v.table("part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
         return joins.with_category(lines, cats).drop("category_id")
 
     @r.add("j03_images_without_annotations", with_views("images", "annotations") + """

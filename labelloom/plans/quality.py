@@ -58,7 +58,7 @@ consistency AS (
   JOIN (SELECT near.dataset, count_if(common < least(own, s) * 0.5) AS distant_images FROM near JOIN (SELECT dataset, count(*) AS s FROM ref GROUP BY 1) z USING (dataset) GROUP BY 1) USING (dataset))"""
 
 IMPORTS = """imported AS (SELECT id, image_id, dataset, label, x / 500 AS x1, y / 500 AS y1, (x + width) / 500 AS x2, (y + height - 3) / 500 AS y2 FROM annotations),
-known AS (SELECT p_brand AS class_name FROM part GROUP BY 1 HAVING min(p_partkey) < 20),
+known AS (SELECT p_brand AS class_name FROM part GROUP BY 1 HAVING max(p_size) = 50),
 there AS (SELECT * FROM images WHERE file_path IN (SELECT path FROM files)),
 isum AS (SELECT dataset, count(*) AS images, count_if(file_path NOT IN (SELECT path FROM files)) AS missing_images FROM images GROUP BY 1),
 tsum AS (SELECT dataset, count(*) - count(DISTINCT id) AS duplicate_ids, count_if(width <= 0 OR height <= 0) AS invalid_dimensions,
@@ -101,7 +101,7 @@ def imports(v):
         "id", "image_id", "dataset", "label", (x / 500).alias("x1"), (y / 500).alias("y1"),
         ((x + F.col("width")) / 500).alias("x2"), ((y + F.col("height") - 3) / 500).alias("y2"),
     )
-    known = v.table("part").groupBy(F.col("p_brand").alias("class_name")).agg(F.min("p_partkey").alias("k")).where("k < 20").select("class_name")
+    known = v.table("part").groupBy(F.col("p_brand").alias("class_name")).agg(F.max("p_size").alias("s")).where("s = 50").select("class_name")
     return checks.import_validation(v.images, boxes, v.files, known)
 
 

@@ -121,10 +121,9 @@ class Views:
 
     @cached_property
     def alias_table(self) -> DataFrame:
-        kind = F.when(F.col("p_size") % 4 == 1, "alias").otherwise("synonym")
+        kind = F.when(F.col("p_size") <= 25, "alias").otherwise("synonym")
         return (
-            self.table("part").where("p_size % 4 = 1 OR p_size % 4 = 2")
-            .select(
+            self.table("part").select(
                 F.concat(F.lower("p_type"), F.lit("."), brand_slug(F.col("p_brand"))).alias("canonical_value"),
                 F.lower(F.concat("p_name", F.lit("x"))).alias("alias"),
                 kind.alias("kind"),
@@ -161,6 +160,45 @@ class Views:
         top = part.groupBy().agg(F.lit("goods").alias("n")).select("n", none, F.lit(None).cast("string"), none, F.lit(0.4))
         return names.union(nouns).union(top)
 
+    @cached_property
+    def entries(self) -> DataFrame:
+        """One catalog entry per part name."""
+        kinds = F.array(*map(F.lit, ("cc0", "cc_by_4", "cc_by_sa_4", "cc_nc", "mit", "apache_2", "odbl", "pddl", "proprietary", "unknown")))
+        n = F.count(F.lit(1))
+        return (
+            self.table("part").groupBy(F.col("p_name").alias("entry_id"))
+            .agg(
+                F.sum("p_size").alias("images"),
+                F.count_if(F.col("p_size") > 45).alias("missing"),
+                F.count_if(F.col("p_size") % 17 == 0).alias("corrupt"),
+                (F.count_if(F.col("p_type") != "ECONOMY") / n).alias("format_consistency"),
+                F.element_at(kinds, (n % 10 + 1).cast("int")).alias("license_id"),
+                F.when(n % 3 == 0, 0.0).otherwise(0.75).alias("license_score"),
+                (F.min("p_partkey") % 10 / 10).alias("source_reliability"),
+                F.round(F.sum("p_retailprice") / 100, 4).alias("storage_mb"),
+                (F.min("p_partkey") % 15).alias("source_id"),
+            )
+            .withColumn("domain", F.concat(F.lit("area"), (F.length("entry_id") % 5).cast("string")))
+        )
+
+    @cached_property
+    def class_profiles(self) -> DataFrame:
+        """Classes of each entry with their counts."""
+        return self.table("part").groupBy(F.col("p_name").alias("entry_id"), brand_slug(F.col("p_brand")).alias("class_name")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        """Events as curation actions."""
+        kind = F.col("event_type")
+        action = (
+            F.when(kind == "signup", "create").when(kind == "purchase", "approve").when(kind == "error", "reject").otherwise("submit")
+        )
+        return self.table("events").select(
+            F.col("user_id").alias("entry_id"), "ts", "event_id", F.date_trunc("hour", "ts").alias("hour"), action.alias("action")
+        )
+
     @cached_property
     def taxonomy(self) -> DataFrame:
         """Region, nation and supplier as a three-level tree."""
@@ -263,7 +301,7 @@ SQL = {
     WHEN 4 THEN p_name || 'q' WHEN 5 THEN p_type WHEN 6 THEN replace(p_brand, '#', ' ') ELSE 'zz ' || p_brand END AS label FROM part)""",
     "alias_table": f"""alias_table AS (
   SELECT DISTINCT lower(p_type) || '.' || {_SLUG} AS canonical_value, lower(p_name || 'x') AS alias,
-    CASE WHEN p_size % 4 = 1 THEN 'alias' ELSE 'synonym' END AS kind FROM part WHERE p_size % 4 IN (1, 2))""",
+    CASE WHEN p_size <= 25 THEN 'alias' ELSE 'synonym' END AS kind FROM part)""",
     "pattern_table": f"""pattern_table AS (
   SELECT '^' || split_part(p_name, ' ', 1) || ' .*Q$' AS pattern, min(lower(p_type) || '.' || {_SLUG}) AS canonical_value, 0.7 AS confidence
   FROM part GROUP BY split_part(p_name, ' ', 1))""",
@@ -279,6 +317,17 @@ nodes AS (
   SELECT value, upper(split_part(value, '.', -1)[1]) || replace(split_part(value, '.', -1)[2:], '_', ' ') AS name,
     split_part(value, '.', 1) AS category, parent, depth, depth = 2 AS is_leaf FROM prefixes
   UNION ALL SELECT 'root', 'Root', 'root', NULL, 0, false)""",
+    "entries": """entries AS (
+  SELECT p_name AS entry_id, CAST(sum(p_size) AS BIGINT) AS images, count_if(p_size > 45) AS missing, count_if(p_size % 17 = 0) AS corrupt,
+    count_if(p_type <> 'ECONOMY') / count(*) AS format_consistency,
+    list_extract(['cc0', 'cc_by_4', 'cc_by_sa_4', 'cc_nc', 'mit', 'apache_2', 'odbl', 'pddl', 'proprietary', 'unknown'], CAST(count(*) % 10 + 1 AS INT)) AS license_id,
+    CASE WHEN count(*) % 3 = 0 THEN 0.0 ELSE 0.75 END AS license_score, (min(p_partkey) % 10) / 10.0 AS source_reliability,
+    round(sum(p_retailprice) / 100, 4) AS storage_mb, min(p_partkey) % 15 AS source_id, 'area' || CAST(length(p_name) % 5 AS VARCHAR) AS domain
+  FROM part GROUP BY p_name)""",
+    "class_profiles": f"""class_profiles AS (
+  SELECT p_name AS entry_id, {_SLUG} AS class_name, count(*) AS n FROM part GROUP BY 1, 2)""",
+    "actions": """actions AS (
+  SELECT user_id AS entry_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' ELSE 'submit' END AS action FROM events)""",
     "taxonomy": """taxonomy AS (
   SELECT node_id, name, parent_id, 'domain' || CAST(region_key AS VARCHAR) AS domain,
     (10 - node_key % 10) / 10.0 AS priority,
