@@ -17,6 +17,8 @@ from labelloom.operators.skew import join_group_summary
 from labelloom.operators.stats import with_class
 
 BOX = ("x", "y", "width", "height")
+# Columns that tell annotations of the same id apart.
+SEQUENCE = ("seq1", "seq2", "seq3")
 
 
 def copies(rows: DataFrame, key: Sequence[str], id_col: str, order: Sequence[str]) -> DataFrame:
@@ -61,14 +63,14 @@ def by_metadata(images: DataFrame, ignore_empty: bool = False) -> DataFrame:
 
 def annotations_in_image(annotations: DataFrame) -> DataFrame:
     """Same class and box twice on one image; both ends are the image."""
-    rows = with_class(annotations).select("dataset", "image_id", "class_name", *BOX, "id", "seq1", "seq2")
-    return _links(rows, ["dataset", "image_id", "class_name", *BOX], "image_id", ["id", "seq1", "seq2"], "annotation")
+    rows = with_class(annotations).select("dataset", "image_id", "class_name", *BOX, "id", *SEQUENCE)
+    return _links(rows, ["dataset", "image_id", "class_name", *BOX], "image_id", ["id", *SEQUENCE], "annotation")
 
 
 def objects_across_images(annotations: DataFrame) -> DataFrame:
     """Same class and box anywhere in the data set, repeats on one image included."""
-    rows = with_class(annotations).select("dataset", "image_id", "class_name", *BOX, "id", "seq1", "seq2")
-    return _links(rows, ["dataset", "class_name", *BOX], "image_id", ["image_id", "id", "seq1", "seq2"], "object")
+    rows = with_class(annotations).select("dataset", "image_id", "class_name", *BOX, "id", *SEQUENCE)
+    return _links(rows, ["dataset", "class_name", *BOX], "image_id", ["image_id", "id", *SEQUENCE], "object")
 
 
 def report(images: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -140,8 +142,8 @@ def near_duplicates(images: DataFrame) -> DataFrame:
 
 def annotation_signatures(annotations: DataFrame) -> DataFrame:
     """Annotations that repeat image, box and label, with the first id."""
-    rows = annotations.select("image_id", *BOX, "label", "id", "seq1", "seq2")
-    return copies(rows, ["image_id", *BOX, "label"], "id", ["id", "seq1", "seq2"]).select(
+    rows = annotations.select("image_id", *BOX, "label", "id", *SEQUENCE)
+    return copies(rows, ["image_id", *BOX, "label"], "id", ["id", *SEQUENCE]).select(
         "original_id", F.col("id").alias("duplicate_id"), "image_id"
     )
 

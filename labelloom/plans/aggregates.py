@@ -183,8 +183,8 @@ SELECT dataset, class_name, n FROM counts ORDER BY dataset, n DESC, class_name""
     file_sql = links("filename", "dataset, split_part(file_path, '/', -1)", "id", "id", "images")
     hash_sql = links("hash", "dataset, sha256(content)", "id", "id", "images")
     meta_sql = links("metadata", f"dataset, {META}", "id", "id", "images")
-    ann_sql = links("annotation", "dataset, image_id, class_name, x, y, width, height", "image_id", "id, seq1, seq2", "labels_")
-    obj_sql = links("object", "dataset, class_name, x, y, width, height", "image_id", "image_id, id, seq1, seq2", "labels_")
+    ann_sql = links("annotation", "dataset, image_id, class_name, x, y, width, height", "image_id", "id, seq1, seq2, seq3", "labels_")
+    obj_sql = links("object", "dataset, class_name, x, y, width, height", "image_id", "image_id, id, seq1, seq2, seq3", "labels_")
 
     @r.add("d01_duplicate_file_names", with_views("images") + file_sql)
     def _(v):
@@ -233,7 +233,7 @@ WHERE id <> first_id""")
 
     @r.add("d09_annotation_signatures", with_views("annotations") + """
 SELECT first_value(id) OVER w AS original_id, id AS duplicate_id, image_id FROM annotations
-WINDOW w AS (PARTITION BY image_id, x, y, width, height, label ORDER BY id, seq1, seq2) QUALIFY row_number() OVER w > 1""")
+WINDOW w AS (PARTITION BY image_id, x, y, width, height, label ORDER BY id, seq1, seq2, seq3) QUALIFY row_number() OVER w > 1""")
     def _(v):
         return dedup.annotation_signatures(v.annotations)
 

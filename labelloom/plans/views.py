@@ -82,6 +82,7 @@ class Views:
             (F.col("l_discount") * 100).cast("int").cast("double").alias("score_percent"),
             F.col("l_partkey").alias("seq1"),
             F.col("l_suppkey").alias("seq2"),
+            F.floor("l_extendedprice").cast("long").alias("seq3"),
         )
 
     @cached_property
@@ -285,7 +286,8 @@ SQL = {
     CASE l_linenumber % 4 WHEN 0 THEN 'bbox' WHEN 1 THEN 'polygon' WHEN 2 THEN 'obb' ELSE 'segmentation' END AS geometry_type,
     CAST(l_partkey % 900 - 20 AS DOUBLE) AS x, CAST(l_suppkey % 90 - 5 AS DOUBLE) AS y,
     l_quantity - 1 AS width, CAST(l_suppkey % 40 AS DOUBLE) AS height,
-    CAST(trunc(l_discount * 100) AS DOUBLE) AS score_percent, l_partkey AS seq1, l_suppkey AS seq2
+    CAST(trunc(l_discount * 100) AS DOUBLE) AS score_percent, l_partkey AS seq1, l_suppkey AS seq2,
+    CAST(floor(l_extendedprice) AS BIGINT) AS seq3
   FROM lineitem JOIN part ON l_partkey = p_partkey)""",
     "mapping_rules": f"""mapping_rules AS (
   SELECT p_partkey AS rule_id, p_type AS dataset_name, p_name AS source_label,
