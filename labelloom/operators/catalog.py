@@ -137,7 +137,7 @@ def gap_report(found: DataFrame) -> DataFrame:
     return found.groupBy("domain").agg(
         F.count(F.lit(1)).alias("gaps"),
         *[count_if(F.col("impact") == k).alias(k) for k in ("critical", "high", "medium", "low")],
-        F.round(F.avg("severity"), 4).alias("mean_severity"),
+        F.round(F.avg("severity"), 6).alias("mean_severity"),
     )
 
 

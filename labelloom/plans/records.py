@@ -291,7 +291,7 @@ SELECT scope, count(*) AS entries, round(avg(c), 6) AS coverage FROM (SELECT dom
 
     @r.add("a19_gap_report", with_views(*CAT, more=SCORES + ",\n" + MEANS) + """
 SELECT domain, count(*) AS gaps, count_if(impact = 'critical') AS critical, count_if(impact = 'high') AS high, count_if(impact = 'medium') AS medium, count_if(impact = 'low') AS low,
-  round(avg(severity), 4) AS mean_severity FROM gap GROUP BY 1""")
+  round(avg(severity), 6) AS mean_severity FROM gap GROUP BY 1""")
     def _(v):
         return catalog.gap_report(catalog.gaps(v.class_profiles, v.taxonomy))
 

@@ -176,7 +176,7 @@ class Views:
                 F.element_at(kinds, (n % 10 + 1).cast("int")).alias("license_id"),
                 F.when(n % 3 == 0, 0.0).otherwise(0.75).alias("license_score"),
                 (F.min("p_partkey") % 10 / 10).alias("source_reliability"),
-                F.round(F.sum("p_retailprice") / 100, 4).alias("storage_mb"),
+                (F.sum("p_size") / 4).alias("storage_mb"),
                 (F.min("p_partkey") % 15).alias("source_id"),
             )
             .withColumn("domain", F.concat(F.lit("area"), (F.length("entry_id") % 5).cast("string")))
@@ -324,7 +324,7 @@ nodes AS (
     count_if(p_type <> 'ECONOMY') / count(*) AS format_consistency,
     list_extract(['cc0', 'cc_by_4', 'cc_by_sa_4', 'cc_nc', 'mit', 'apache_2', 'odbl', 'pddl', 'proprietary', 'unknown'], CAST(count(*) % 10 + 1 AS INT)) AS license_id,
     CASE WHEN count(*) % 3 = 0 THEN 0.0 ELSE 0.75 END AS license_score, (min(p_partkey) % 10) / 10.0 AS source_reliability,
-    round(sum(p_retailprice) / 100, 4) AS storage_mb, min(p_partkey) % 15 AS source_id, 'area' || CAST(length(p_name) % 5 AS VARCHAR) AS domain
+    sum(p_size) / 4 AS storage_mb, min(p_partkey) % 15 AS source_id, 'area' || CAST(length(p_name) % 5 AS VARCHAR) AS domain
   FROM part GROUP BY p_name)""",
     "class_profiles": f"""class_profiles AS (
   SELECT p_name AS entry_id, {_SLUG} AS class_name, count(*) AS n FROM part GROUP BY 1, 2)""",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from labelloom.functions.numbers import fixed6
 from labelloom.operators.joins import with_image
 from labelloom.operators.skew import bucketed_row_number
 from labelloom.operators.stats import with_class
@@ -38,7 +39,7 @@ def label_lines(annotations: DataFrame, images: DataFrame) -> DataFrame:
         scaled(F.col("width"), "image_width"),
         scaled(F.col("height"), "image_height"),
     ]
-    return placed.withColumn("line", F.format_string("%d %.6f %.6f %.6f %.6f", F.col("class_id"), *numbers))
+    return placed.withColumn("line", F.concat_ws(" ", F.col("class_id").cast("string"), *[fixed6(n) for n in numbers]))
 
 
 def write_label_files(lines: DataFrame, path: str, split: str = "split") -> None:
