@@ -15,4 +15,4 @@ def catalogue():
     return registry
 
 
-AREAS = ("scalars", "aggregates", "labels", "quality", "records", "exports")
+AREAS = ("scalars", "aggregates", "labels", "quality", "records", "exports", "formats")
