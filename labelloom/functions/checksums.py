@@ -22,19 +22,23 @@ def of_map(c: Column) -> Column:
     return F.sha2(F.to_json(F.array_sort(F.map_entries(c))), 256)
 
 
-def directory(files: DataFrame, group: Sequence[str], path: str, file_hash: str, digits: int = 3) -> DataFrame:
+def directory(files: DataFrame, group: Sequence[str], path: str, file_hash: str, digits: int = 3, step: int = 3) -> DataFrame:
     """One hash per directory over its (relative path, file hash) pairs.
 
-    A two-level hash: files are hashed per bucket of path hashes and the buckets are
-    then hashed in order, so no task has to hold the file list of a whole directory.
+    Files are hashed per bucket of ``digits`` leading digits of the path hash; buckets are
+    then hashed in order, ``step`` digits at a time, up to the whole directory. A task
+    holds the files of one bucket or at most 16^step bucket hashes, so more digits serve
+    a larger directory. The value depends on ``digits`` and ``step``.
     """
-    bucketed = files.withColumn("_bucket", F.substring(F.md5(path), 1, digits))
-    inner = bucketed.groupBy(*group, "_bucket").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(file_hash).alias("h")))).alias("_f")
+    level = files.select(
+        *group, F.substring(F.md5(path), 1, digits).alias("_bucket"), F.struct(F.col(path).alias("p"), F.col(file_hash).alias("h")).alias("_e")
     )
-    part = F.sha2(F.array_join(F.transform("_f", lambda s: F.concat(s["p"], s["h"])), ""), 256)
-    outer = inner.withColumn("_h", part).groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("_bucket", "_h"))).alias("_b")
-    )
-    whole = F.sha2(F.array_join(F.transform("_b", lambda s: F.concat(s["_bucket"], s["_h"])), ""), 256)
-    return outer.select(*group, whole.alias("directory_sha256"))
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list("_e")), lambda s: F.concat(s["p"], s["h"])), "")
+        hashed = level.groupBy(*group, "_bucket").agg(F.sha2(joined, 256).alias("_h"))
+        if digits == 0:
+            return hashed.select(*group, F.col("_h").alias("directory_sha256"))
+        digits = max(0, digits - step)
+        level = hashed.select(
+            *group, F.substring("_bucket", 1, digits).alias("_bucket"), F.struct(F.col("_bucket").alias("p"), F.col("_h").alias("h")).alias("_e")
+        )

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from labelloom import config
 from labelloom.functions import bins, confidence, licenses
@@ -102,10 +101,12 @@ def domain_means(class_profiles: DataFrame, taxonomy: DataFrame) -> DataFrame:
         "domain", "nodes",
         F.coalesce(F.coalesce("hits", F.lit(0)) / F.col("nodes") / F.nullif(entries, F.lit(0)), F.lit(0.0)).alias("coverage"),
     )
-    # One row per taxonomy domain is ranked here.
-    low = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("coverage", "domain"))
-    high = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("coverage"), F.desc("domain")))
-    return means.select("domain", "nodes", "coverage", (low <= 3).alias("is_weakest"), (high <= 3).alias("is_strongest"))
+    low = means.orderBy("coverage", "domain").limit(3).select("domain", F.lit(True).alias("_low"))
+    high = means.orderBy(F.desc("coverage"), F.desc("domain")).limit(3).select("domain", F.lit(True).alias("_high"))
+    return means.join(low, "domain", "left").join(high, "domain", "left").select(
+        "domain", "nodes", "coverage",
+        F.coalesce("_low", F.lit(False)).alias("is_weakest"), F.coalesce("_high", F.lit(False)).alias("is_strongest"),
+    )
 
 
 def coverage_report(entries: DataFrame, class_profiles: DataFrame, taxonomy: DataFrame, entry_ids: Sequence[str] | None = None) -> DataFrame:

@@ -104,28 +104,39 @@ def annotation_issues(annotations: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def annotation_counts(annotations: DataFrame, images: DataFrame) -> DataFrame:
-    """Annotation and geometry counters per data set, from one pass over the join."""
+    """Annotation, geometry and reference counters per data set.
+
+    One join by image serves all of them: its rows are folded per image, where the
+    partitioning still fits, and then per data set. ``annotated`` counts images that have
+    annotations, ``broken_references`` image ids that do not exist.
+    """
     kind = F.col("geometry_type")
     flat = (F.col("width") <= 0) | (F.col("height") <= 0)
-    geometry = {
+    flags = {
+        **_annotation_flags(),
         "bad_bbox": (kind == "bbox") & flat,
         "bad_polygon": (kind == "polygon") & flat,
         "bad_segmentation": (kind == "segmentation") & flat,
         "bad_rotated": (kind == "obb") & flat,
     }
+    known = images.groupBy(F.col("id").alias("image_id")).agg(
+        F.first("width").alias("image_width"), F.first("height").alias("image_height"), F.count(F.lit(1)).alias("_copies")
+    )
     # The columns the counters need, before the shuffle.
     slim = annotations.select("dataset", "image_id", "x", "y", "width", "height", "geometry_type")
-    return with_image(slim, images).groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("annotations"),
-        count_if(~F.col("has_image")).alias("orphans"),
-        *[count_if(c).alias(k) for k, c in {**_annotation_flags(), **geometry}.items()],
+    per_image = (
+        slim.join(known, "image_id", "left")
+        .groupBy("dataset", "image_id")
+        .agg(F.count(F.lit(1)).alias("_n"), F.first("_copies").alias("_copies"), *[count_if(c).alias(k) for k, c in flags.items()])
+    )
+    lost = F.col("_copies").isNull()
+    return per_image.groupBy("dataset").agg(
+        F.sum("_n").alias("annotations"),
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("annotated"),
+        F.sum(F.when(lost, F.col("_n")).otherwise(0)).alias("orphans"),
+        F.count_if(lost).alias("broken_references"),
+        *[F.sum(k).alias(k) for k in flags],
     )
-
-
-def missing_counts(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Images without annotations per data set."""
-    ids = annotations.select(F.col("image_id").alias("id")).distinct()
-    return images.select("dataset", "id").join(ids, "id", "left_anti").groupBy("dataset").agg(F.count(F.lit(1)).alias("missing"))
 
 
 def geometry_issues(annotations: DataFrame) -> DataFrame:
@@ -330,33 +341,43 @@ def verify_checksums(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def integrity(images: DataFrame, annotations: DataFrame, files: DataFrame, ontology_version: str, pipeline_version: str) -> DataFrame:
-    """Five integrity flags per data set. ``images.sha256`` is the expected hash; blank is
-    not compared."""
+def file_integrity(images: DataFrame, files: DataFrame) -> DataFrame:
+    """Missing files and hash mismatches per data set. ``images.sha256`` is the expected
+    hash; blank is not compared."""
     listed = (
         images.select("dataset", "id", F.col("file_path").alias("path"), "sha256")
         .join(files.groupBy("path").agg(F.max("actual").alias("actual"), F.min("actual").alias("_low")), "path", "left")
     )
     expected = text.blank_to_null(F.col("sha256"))
     matches = (F.col("actual") == expected) | (F.col("_low") == expected)
-    image_side = listed.groupBy("dataset").agg(
+    return listed.groupBy("dataset").agg(
         count_if(F.col("actual").isNull()).alias("missing_files"), count_if(~matches).alias("checksum_mismatches")
     )
-    broken = (
-        annotations.select("dataset", "image_id").distinct()
-        .join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti")
-        .groupBy("dataset").agg(F.count(F.lit(1)).alias("broken_references"))
-    )
+
+
+def integrity_flags(counts: DataFrame, ontology_version: str, pipeline_version: str) -> DataFrame:
+    """Number of the five integrity flags that hold, and whether all errors are absent, from
+    missing_files, checksum_mismatches and broken_references."""
     versions = bool(ontology_version and pipeline_version)
-    joined = image_side.join(broken, "dataset", "left").na.fill(0)
     flags = [F.col("checksum_mismatches") == 0, F.lit(True), F.col("missing_files") == 0, F.col("broken_references") == 0, F.lit(versions)]
-    return joined.select(
+    return counts.select(
         "*",
         sum((f.cast("int") for f in flags), F.lit(0)).alias("integrity_flags"),
         (flags[0] & flags[2] & flags[3]).alias("integrity_passed"),
     )
 
 
+def integrity(images: DataFrame, annotations: DataFrame, files: DataFrame, ontology_version: str, pipeline_version: str) -> DataFrame:
+    """File, checksum and reference integrity per data set."""
+    broken = (
+        annotations.select("dataset", "image_id").distinct()
+        .join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti")
+        .groupBy("dataset").agg(F.count(F.lit(1)).alias("broken_references"))
+    )
+    joined = file_integrity(images, files).join(broken, "dataset", "left").na.fill(0)
+    return integrity_flags(joined, ontology_version, pipeline_version)
+
+
 def consistency(
     images: DataFrame, annotations: DataFrame, ontology_version: str, pipeline_version: str, split: str | None = None
 ) -> DataFrame:
@@ -367,8 +388,10 @@ def consistency(
     """
     versions = images.groupBy("dataset", "pipeline_version").agg(F.lit(1)).groupBy("dataset").agg(F.count(F.lit(1)).alias("versions"))
     labels = annotations.groupBy("dataset", "image_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    first = labels.groupBy("dataset").agg(F.min("image_id").alias("image_id"))
-    reference = labels.join(first, ["dataset", "image_id"], "left_semi").select("dataset", "label", F.lit(1).alias("_ref"))
+    first = annotations.groupBy("dataset").agg(F.min("image_id").alias("image_id"))
+    reference = (
+        annotations.join(first, ["dataset", "image_id"], "left_semi").select("dataset", "label").distinct().withColumn("_ref", F.lit(1))
+    )
     sizes = reference.groupBy("dataset").agg(F.count(F.lit(1)).alias("_ref_size"))
     per_image = labels.join(reference, ["dataset", "label"], "left").groupBy("dataset", "image_id").agg(
         F.count(F.lit(1)).alias("own"), F.count("_ref").alias("common"), F.sum("n").alias("n")

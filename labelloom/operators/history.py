@@ -114,7 +114,7 @@ def early_stopping(
     patience: int = config.EARLY_STOP_PATIENCE,
     min_delta: float = config.EARLY_STOP_DELTA,
     mode: str = "min",
-    rows_per_part: int = 10_000,
+    rows_per_part: int = 250_000,
 ) -> DataFrame:
     """Best value, its epoch, the waiting counter and the stop epoch of each experiment.
 
@@ -145,7 +145,7 @@ def early_stopping(
     return state.withColumn("stopped_epoch", F.nullif("stopped_epoch", F.lit(0)))
 
 
-def checkpoints(metrics: DataFrame, keep: int = config.CHECKPOINTS_KEPT, rows_per_part: int = 10_000) -> DataFrame:
+def checkpoints(metrics: DataFrame, keep: int = config.CHECKPOINTS_KEPT, rows_per_part: int = 250_000) -> DataFrame:
     """Per saved checkpoint: was it the best so far, is it the best or the latest of all,
     and is it among the last ``keep``. Higher is better; the first of equals stays best."""
     rows = metrics.withColumn("_part", F.floor((F.col("epoch") - 1) / rows_per_part))

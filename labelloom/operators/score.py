@@ -87,14 +87,13 @@ def scorecard_inputs(
     repeated = dedup.repeated_ids(images, annotations, by=["dataset"]).groupBy("dataset").agg(F.count(F.lit(1)).alias("repeated_ids"))
     sides = [
         checks.annotation_counts(annotations, images),
-        checks.missing_counts(images, annotations),
         classes,
         repeated,
-        checks.integrity(images, annotations, files, ontology_version, pipeline_version),
+        checks.file_integrity(images, files),
         checks.consistency(images, annotations, ontology_version, pipeline_version),
     ]
-    joined = reduce(lambda a, b: a.join(b, "dataset", "left"), sides, checks.image_counts(images))
-    return joined.na.fill(0).na.fill(0.0)
+    joined = reduce(lambda a, b: a.join(b, "dataset", "left"), sides, checks.image_counts(images)).na.fill(0).na.fill(0.0)
+    return checks.integrity_flags(joined.withColumn("missing", F.col("images") - F.col("annotated")), ontology_version, pipeline_version)
 
 
 def scorecard(images: DataFrame, annotations: DataFrame, ontology: DataFrame, files: DataFrame) -> DataFrame:

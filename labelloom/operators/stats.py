@@ -39,7 +39,10 @@ def with_class(annotations: DataFrame, name: str = "class_name") -> DataFrame:
 
 
 def class_counts(annotations: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    return with_class(annotations).groupBy(*by, "class_name").agg(F.count(F.lit(1)).alias("n"))
+    """Annotations per class. Rows are counted by raw label first, so the class name is
+    worked out once per label and not once per row."""
+    raw = annotations.groupBy(*by, "ontology_class", "label").agg(F.count(F.lit(1)).alias("_n"))
+    return with_class(raw).groupBy(*by, "class_name").agg(F.sum("_n").alias("n"))
 
 
 def with_share(counts: DataFrame, by: Sequence[str] = BY, value: str = "n", name: str = "share", digits: int = 6) -> DataFrame:

@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from labelloom.functions import text
 from labelloom.functions.numbers import fixed6
 from labelloom.operators.joins import with_image
 from labelloom.operators.skew import bucketed_row_number
@@ -19,9 +19,13 @@ from labelloom.operators.stats import with_class
 
 
 def class_ids(annotations: DataFrame) -> DataFrame:
-    """(class_name, class_id): 0-based ids in name order. One row per class is ranked."""
-    classes = with_class(annotations).select("class_name").distinct()
-    return classes.withColumn("class_id", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("class_name")) - 1)
+    """(class_name, class_id): 0-based ids in name order.
+
+    Only the distinct classes are ranked, in buckets of their first letters.
+    """
+    classes = with_class(annotations).select("class_name").distinct().withColumn("_bucket", F.substring("class_name", 1, 4))
+    ranked = bucketed_row_number(classes, [], "_bucket", ["class_name"], "_rank")
+    return ranked.select("class_name", (F.col("_rank") - 1).alias("class_id"))
 
 
 def label_lines(annotations: DataFrame, images: DataFrame) -> DataFrame:
@@ -224,7 +228,28 @@ def metadata_record(totals: DataFrame, scores: DataFrame, checksums: DataFrame)
     return rows.withColumn("record", F.to_json(nested))
 
 
+def merged_labels(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """Label texts (path, value) of a file-level export beside the image of the same stem;
+    labels without an image are left out, images without labels keep an empty text."""
+    text_of = labels.select(text.stem(F.col("path")).alias("stem"), F.col("value").alias("labels"))
+    return images.select(F.col("path").alias("image"), text.stem(F.col("path")).alias("stem")).join(text_of, "stem", "left").na.fill("", ["labels"])
+
+
+def write_training_export(lines: DataFrame, annotations: DataFrame, path: str, dataset: str) -> DataFrame:
+    """Label files per split, the class list, a manifest of all files with size and
+    SHA-256, and an info record. ``lines`` has split, image_id and line."""
+    spark = lines.sparkSession
+    write_label_files(lines, f"{path}/labels")
+    class_ids(annotations).orderBy("class_id").select("class_id", "class_name").write.mode("overwrite").json(f"{path}/classes")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/labels")
+    file_manifest(files).write.mode("overwrite").json(f"{path}/manifest")
+    info = lines.groupBy("split").agg(F.count(F.lit(1)).alias("annotations"), F.count_distinct("image_id").alias("images"))
+    info.withColumn("dataset", F.lit(dataset)).write.mode("overwrite").json(f"{path}/dataset_info")
+    return spark.read.json(f"{path}/manifest")
+
+
 WRITERS = {
+    "training": write_training_export,
     "yolo": write_label_files,
     "coco": write_coco,
     "voc": write_voc,
