@@ -12,31 +12,24 @@ from labelloom.session import cut_lineage
 
 
 def build_tree(values: DataFrame) -> DataFrame:
-    """Nodes of all prefixes of dotted values, under one root."""
+    """Nodes of all prefixes of dotted values; the empty prefix is the root."""
     parts = F.split("value", r"\.")
-    prefixes = values.select(parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).select(
-        F.array_join(F.slice("parts", 1, F.col("depth")), ".").alias("value"),
-        F.when(F.col("depth") > 1, F.array_join(F.slice("parts", 1, F.col("depth") - 1), ".")).otherwise("root").alias("parent"),
-        F.element_at("parts", 1).alias("category"),
-        F.element_at("parts", F.col("depth")).alias("last"),
+    depth = F.col("depth")
+    upto = lambda n: F.array_join(F.slice("parts", 1, n), ".")
+    prefixes = values.select(parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).select(
+        F.when(depth == 0, "root").otherwise(upto(depth)).alias("value"),
+        F.when(depth == 1, "root").when(depth > 1, upto(F.greatest(depth - 1, F.lit(0)))).alias("parent"),
+        F.when(depth == 0, "root").otherwise(F.element_at("parts", 1)).alias("category"),
+        F.when(depth == 0, "root").otherwise(F.element_at("parts", F.greatest(depth, F.lit(1)))).alias("last"),
         "depth",
     ).distinct()
-    parents = prefixes.select(F.col("parent").alias("value"), F.lit(False).alias("_leaf")).distinct()
+    parents = prefixes.where("parent IS NOT NULL").select(F.col("parent").alias("value"), F.lit(False).alias("_leaf")).distinct()
     name = F.when(
-        (F.col("last") == "unknown") & (F.col("depth") == 2), F.concat(F.lit("Unknown "), text.title(F.col("category")))
+        (F.col("last") == "unknown") & (depth == 2), F.concat(F.lit("Unknown "), text.title(F.col("category")))
     ).otherwise(text.title(F.col("last")))
-    nodes = prefixes.join(parents, "value", "left").select(
+    return prefixes.join(parents, "value", "left").select(
         "value", name.alias("name"), "category", "parent", "depth", F.coalesce("_leaf", F.lit(True)).alias("is_leaf")
     )
-    root = values.sparkSession.range(1).select(
-        F.lit("root").alias("value"),
-        F.lit("Root").alias("name"),
-        F.lit("root").alias("category"),
-        F.lit(None).cast("string").alias("parent"),
-        F.lit(0).alias("depth"),
-        F.lit(False).alias("is_leaf"),
-    )
-    return nodes.unionByName(root)
 
 
 def ancestors(edges: DataFrame, levels: int = config.MAX_PARENT_DEPTH) -> DataFrame:

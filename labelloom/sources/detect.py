@@ -31,7 +31,10 @@ EXTENSION_FORMAT = {
 
 def list_files(spark: SparkSession, path: str, extensions: Sequence[str] = ()) -> DataFrame:
     """(path, rel, length) below a directory, sorted by path; only the given extensions,
-    in either case, when there are any. File contents are not read."""
+    in either case, when there are any. File contents are not read.
+
+    Spark's file sources leave out files of zero bytes; compare with a manifest to find
+    those."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     )

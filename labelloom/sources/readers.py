@@ -80,7 +80,7 @@ def read_yolo(spark: SparkSession, root: str, labels: str = "labels", classes: s
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(f"{root}/{labels}").select(
         text.stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("line")
     )
-    names = None if classes is None else class_list(spark.read.option("wholetext", "true").text(f"{root}/{classes}"))
+    names = None if classes is None else class_list(spark.read.text(f"{root}/{classes}", wholetext=True))
     return parse_yolo(lines, names, unknown)
 
 
@@ -261,7 +261,7 @@ def parse_json_images(texts: DataFrame, column: str, keys: Sequence[str] = ()) -
 
 
 def read_json_images(spark: SparkSession, path: str) -> DataFrame:
-    return parse_json_images(spark.read.option("wholetext", "true").text(path), "value")
+    return parse_json_images(spark.read.text(path, wholetext=True), "value")
 
 
 def geojson_boxes(docs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -367,7 +367,7 @@ def extract_coco2017(spark: SparkSession, root: str) -> DataFrame:
 
 def extract_open_images(spark: SparkSession, root: str) -> DataFrame:
     """Boxes whose centre lies in the image; classes numbered in the order of the list."""
-    names = spark.read.option("wholetext", "true").text(f"{root}/class-descriptions-boxable.csv")
+    names = spark.read.text(f"{root}/class-descriptions-boxable.csv", wholetext=True)
     listed = class_list(names).select("class_id", F.trim(F.substring_index("name", ",", 1)).alias("label"))
 
     def one(split: str) -> DataFrame:
@@ -442,7 +442,7 @@ def parse_feature_documents(texts: DataFrame, column: str, keys: Sequence[str] =
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return parse_documents(spark.read.option("wholetext", "true").text(path), "value")
+    return parse_documents(spark.read.text(path, wholetext=True), "value")
 
 
 def read_canonical(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -15,9 +15,24 @@ def test_every_sql_belongs_to_a_query():
     assert entry.FLAGSHIP in PLANS
 
 
+# The only two that need Python: the JPEG header probe and the early-stopping fold.
+PYTHON_OK = {"s17_image_headers", "w04_early_stopping"}
+
+
+def check_plan(name, df):
+    """No query pairs all rows with all rows or leaves the JVM without need."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    if name not in PYTHON_OK:
+        assert not any(k in text for k in ("ArrowEval", "BatchEvalPython", "InPandas"))
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    assert difference(spark_rows(PLANS[name](spark, SF)), duck_rows(duck, SQL[name])) is None
+    df = PLANS[name](spark, SF)
+    if name not in ("o16_conflicts", "o11_descendants"):
+        check_plan(name, df)
+    assert difference(spark_rows(df), duck_rows(duck, SQL[name])) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(PLANS) - set(SQL)))
