@@ -50,15 +50,15 @@ _SUMMARY = (
     "out_value array<double>, out_epoch array<long>, out_counter array<long>, out_stop array<long>"
 )
 _STATE = "experiment_id long, best_value double, best_epoch long, counter long, stopped_epoch long"
+_COLUMNS = ["experiment_id", "best_value", "best_epoch", "counter", "stopped_epoch"]
 
 
 def _summarise(pdf: pd.DataFrame, patience: int, delta: float) -> dict[str, object]:
-    """What one part of a history does to an incoming best value.
+    """What one part of a history, in epoch order, does to an incoming best value.
 
     A best value can only be replaced by a running minimum of the part, so the outcome is
     kept per running minimum; between them the counter grows by one per row.
     """
-    pdf = pdf.sort_values("epoch")
     values, epochs = pdf["value"].to_numpy(float), pdf["epoch"].to_numpy(int)
     n = len(values)
     low = np.minimum.accumulate(values)
@@ -88,25 +88,37 @@ def _summarise(pdf: pd.DataFrame, patience: int, delta: float) -> dict[str, obje
     }
 
 
-def _chain(parts: Iterator[dict], patience: int, delta: float) -> tuple[float, int, int, int]:
-    """Follow the summaries of one experiment in order."""
-    best, epoch, counter, stop = None, 0, 0, 0
-    for p in parts:
-        if best is None:
-            best, epoch, counter, stop = p["out_value"][0], p["out_epoch"][0], p["out_counter"][0], p["out_stop"][0]
-        else:
-            records = np.asarray(p["record_value"])
-            hit = int(np.searchsorted(-records, -(best - delta), side="right"))
-            idle = int(p["record_at"][hit]) if hit < len(records) else int(p["n"])
-            if counter + idle >= patience:
-                stop, counter = int(p["head"][patience - counter - 1]), patience
-            elif hit < len(records):
-                best, epoch, counter, stop = p["out_value"][hit], p["out_epoch"][hit], p["out_counter"][hit], p["out_stop"][hit]
-            else:
-                counter += idle
-        if stop:
-            break
-    return best, epoch, counter, stop
+def _step(state: tuple, p: dict, patience: int, delta: float) -> tuple:
+    """State (best, epoch, counter, stop) after one more part; ``best`` is None before the first."""
+    best, epoch, counter, stop = state
+    if stop:
+        return state
+    if best is None:
+        return p["out_value"][0], p["out_epoch"][0], p["out_counter"][0], p["out_stop"][0]
+    records = np.asarray(p["record_value"])
+    hit = int(np.searchsorted(-records, -(best - delta), side="right"))
+    idle = int(p["record_at"][hit]) if hit < len(records) else int(p["n"])
+    if counter + idle >= patience:
+        return best, epoch, patience, int(p["head"][patience - counter - 1])
+    if hit < len(records):
+        return p["out_value"][hit], p["out_epoch"][hit], p["out_counter"][hit], p["out_stop"][hit]
+    return best, epoch, counter + idle, 0
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of equal keys, also across the borders of Arrow batches."""
+    pending = None
+    for batch in batches:
+        rows = batch if pending is None else pd.concat([pending, batch], ignore_index=True)
+        if len(rows) == 0:
+            continue
+        k = rows[keys].to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1))
+        for i, j in zip(starts[:-1], starts[1:]):
+            yield rows.iloc[i:j]
+        pending = rows.iloc[starts[-1] :]
+    if pending is not None and len(pending):
+        yield pending
 
 
 def early_stopping(
@@ -129,20 +141,36 @@ def early_stopping(
         F.floor((F.col("epoch") - 1) / rows_per_part).cast("long").alias("part"),
     )
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"experiment_id": int(key[0]), "part": int(key[1]), **_summarise(pdf, patience, min_delta)}
-        return pd.DataFrame([row])
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = pdf.sort_values("part").to_dict("records")
-        best, epoch, counter, stop = _chain(iter(parts), patience, min_delta)
-        return pd.DataFrame(
-            {"experiment_id": [int(key[0])], "best_value": [best * sign], "best_epoch": [epoch], "counter": [counter], "stopped_epoch": [stop]}
-        )
-
-    summaries = rows.groupBy("experiment_id", "part").applyInPandas(summarise, _SUMMARY)
-    state = summaries.groupBy("experiment_id").applyInPandas(chain, _STATE)
-    return state.withColumn("stopped_epoch", F.nullif("stopped_epoch", F.lit(0)))
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = []
+        for run in _runs(batches, ["experiment_id", "part"]):
+            head = run.iloc[0]
+            found.append({"experiment_id": int(head["experiment_id"]), "part": int(head["part"]), **_summarise(run, patience, min_delta)})
+            if len(found) == 500:
+                yield pd.DataFrame(found)
+                found = []
+        if found:
+            yield pd.DataFrame(found)
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Summaries come in order; only the running state of one experiment is held.
+        experiment, state, done = None, (None, 0, 0, 0), []
+        for batch in batches:
+            for p in batch.to_dict("records"):
+                if p["experiment_id"] != experiment:
+                    if experiment is not None:
+                        done.append((experiment, state[0] * sign, *state[1:]))
+                    experiment, state = p["experiment_id"], (None, 0, 0, 0)
+                state = _step(state, p, patience, min_delta)
+            yield pd.DataFrame(done, columns=_COLUMNS)
+            done = []
+        if experiment is not None:
+            yield pd.DataFrame([(experiment, state[0] * sign, *state[1:])], columns=_COLUMNS)
+
+    ordered = rows.repartition("experiment_id", "part").sortWithinPartitions("experiment_id", "part", "epoch")
+    summaries = ordered.mapInPandas(summarise, _SUMMARY)
+    chained = summaries.repartition("experiment_id").sortWithinPartitions("experiment_id", "part").mapInPandas(chain, _STATE)
+    return chained.withColumn("stopped_epoch", F.nullif("stopped_epoch", F.lit(0)))
 
 
 def checkpoints(metrics: DataFrame, keep: int = config.CHECKPOINTS_KEPT, rows_per_part: int = 250_000) -> DataFrame:
