@@ -117,25 +117,36 @@ def same_bytes(rows: DataFrame, content: Column, path: str) -> DataFrame:
     return copies(hashed, ["hash"], path, [path]).select(F.col(path).alias("duplicate_path"))
 
 
-def near_duplicates(images: DataFrame) -> DataFrame:
-    """Images of equal size and format, linked to the first of their group.
+SIZE_KEY = ("width", "height", "format")
 
-    ``pairs`` is the number of pairs of different path in the whole group. The pairs
-    themselves would grow with the square of the group; the links name the same groups.
-    """
-    key = ["width", "height", "format"]
-    rows = images.select("id", "file_path", *key).where("width IS NOT NULL AND height IS NOT NULL AND format IS NOT NULL")
+
+def _sized(images: DataFrame) -> DataFrame:
+    return images.select("id", "file_path", *SIZE_KEY).where("width IS NOT NULL AND height IS NOT NULL AND format IS NOT NULL")
+
+
+def same_size_groups(images: DataFrame) -> DataFrame:
+    """Groups of images of equal size and format that hold different paths: members, first
+    id, and the number of pairs of different path."""
     choose_two = lambda c: F.col(c) * (F.col(c) - 1) / 2
-    paths = rows.groupBy(*key, "file_path").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first"))
-    groups = (
-        paths.groupBy(*key)
+    paths = _sized(images).groupBy(*SIZE_KEY, "file_path").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first"))
+    return (
+        paths.groupBy(*SIZE_KEY)
         .agg(F.sum("m").alias("members"), F.min("first").alias("first_id"), F.sum(choose_two("m")).alias("same_path"))
         .where("members > 1")
         .withColumn("pairs", (choose_two("members") - F.col("same_path")).cast("long"))
         .where("pairs > 0")
         .drop("same_path")
     )
-    return join_group_summary(rows, groups, key, "members", ["id"]).where("id <> first_id").select(
+
+
+def near_duplicates(images: DataFrame) -> DataFrame:
+    """Images of equal size and format, linked to the first of their group.
+
+    ``pairs`` is the number of pairs of different path in the whole group. The pairs
+    themselves would grow with the square of the group; the links name the same groups.
+    """
+    rows = _sized(images)
+    return join_group_summary(rows, same_size_groups(images), SIZE_KEY, "members", ["id"]).where("id <> first_id").select(
         F.col("first_id").alias("group_id"), F.col("id").alias("member_id"), "members", "pairs"
     )
 

@@ -231,6 +231,13 @@ WHERE id <> first_id""")
     def _(v):
         return dedup.near_duplicates(v.images)
 
+    @r.add("j12_same_size_groups", with_views("images") + """
+, p AS (SELECT a.width, a.height, a.format, count(*) AS pairs FROM images a JOIN images b
+  ON a.width = b.width AND a.height = b.height AND a.format = b.format AND a.id < b.id AND a.file_path <> b.file_path GROUP BY 1, 2, 3)
+SELECT width, height, format, count(*) AS members, min(id) AS first_id, any_value(pairs) AS pairs FROM images JOIN p USING (width, height, format) GROUP BY 1, 2, 3""")
+    def _(v):
+        return dedup.same_size_groups(v.images)
+
     @r.add("d09_annotation_signatures", with_views("annotations") + """
 SELECT first_value(id) OVER w AS original_id, id AS duplicate_id, image_id FROM annotations
 WINDOW w AS (PARTITION BY image_id, x, y, width, height, label ORDER BY id, seq1, seq2, seq3) QUALIFY row_number() OVER w > 1""")

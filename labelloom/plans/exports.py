@@ -184,6 +184,24 @@ SELECT dataset, images, annotations, classes, '1.0.0' AS ontology_version, '1.0.
     def _(v):
         return writers.canonical_info(v.images, v.annotations)
 
+    files = """WITH f AS (SELECT source || '/d' || CAST(doc_id % 300 AS VARCHAR) || CASE WHEN n_chars % 2 = 0 THEN '.jpg' ELSE '.txt' END AS path, 'd' || CAST(doc_id % 300 AS VARCHAR) AS stem, n_chars, text FROM documents)"""
+
+    def doc_files(v):
+        name = F.concat(F.col("source"), F.lit("/d"), (F.col("doc_id") % 300).cast("string"), F.when(F.col("n_chars") % 2 == 0, ".jpg").otherwise(".txt"))
+        return v.table("documents").select(name.alias("path"), F.col("text").alias("value"), "n_chars")
+
+    @r.add("k05_merged_labels", files + """
+SELECT i.path AS image, i.stem, sha256(coalesce(l.text, '')) AS labels FROM f i LEFT JOIN f l ON l.stem = i.stem AND l.path LIKE '%.txt' WHERE i.path LIKE '%.jpg'""")
+    def _(v):
+        found = doc_files(v)
+        merged = writers.merged_labels(found.where("path LIKE '%.txt'"), found.where("path LIKE '%.jpg'"))
+        return merged.withColumn("labels", F.sha2("labels", 256))
+
+    @r.add("k06_file_manifest", files + "SELECT path, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM f")
+    def _(v):
+        content = F.encode("value", "UTF-8")
+        return writers.file_manifest(doc_files(v).select("path", F.octet_length(content).alias("length"), content.alias("content")))
+
     @r.add("k07_rule_export", with_views("mapping_rules") + """
 SELECT rule_id, dataset_name, source_label, canonical_value, match_type, confidence::DOUBLE AS confidence, version, '{"rule_id":' || rule_id || ',"dataset_name":"' || dataset_name || '","source_label":"' || source_label ||
   '","canonical_value":"' || canonical_value || '","match_type":"' || match_type || '","confidence":' || CAST(confidence::DOUBLE AS VARCHAR) || ',"version":"' || version || '"}' AS json FROM mapping_rules""")
@@ -200,7 +218,19 @@ SELECT rule_id, dataset_name, source_label, canonical_value, match_type, confide
     def _(v):
         return manifest_of(v)
 
-    @r.add("k09_quality_report")
+    names = ("image", "annotation", "geometry", "coverage", "balance", "integrity", "consistency")
+    lines = [
+        "'# Quality Report: ' || dataset", "''", "'- **Score:** ' || printf('%.1f', overall) || '/100'", "'- **Grade:** ' || grade",
+        "'- **Production Ready:** ' || CASE WHEN production_ready THEN 'Yes' ELSE 'No' END", "''", "'| Metric | Score |'", "'|--------|-------|'",
+        *[f"'| {n.title()} | ' || printf('%.1f', {n}_score) || '/100 |'" for n in names],
+        "''", "'- **Errors:** ' || errors", "'- **Warnings:** ' || warnings", "'- **Info:** ' || infos",
+    ]
+
+    @r.add(
+        "k09_quality_report",
+        f"""WITH card AS ({r.sql['q02_scorecard']}), roll AS ({r.sql['a23_issue_rollup']})
+SELECT dataset, overall, grade, errors, warnings, infos, {" || chr(10) || ".join(lines)} AS markdown FROM card JOIN roll USING (dataset)""",
+    )
     def _(v):
         found = checks.image_issues(v.images).unionByName(checks.annotation_issues(v.annotations, v.images)).unionByName(checks.geometry_issues(v.annotations))
         card = score.scorecard(hashed_images(v), v.annotations, v.ontology_values, v.files)

@@ -248,6 +248,17 @@ SELECT doc_id, '{"source":"' || source || '"}' AS properties, '{"coordinates":['
         json = F.to_json(F.struct(F.array(feature).alias("features")))
         return readers.parse_feature_documents(v.table("documents").select("doc_id", json.alias("json")), "json", ["doc_id"])
 
+    @r.add("s15_canonical_json", with_views("images") + "SELECT dataset AS dataset_name, CAST(id AS VARCHAR) AS id, file_path AS file_name, width, height FROM images")
+    def _(v):
+        one = F.struct(
+            F.struct(F.col("dataset").alias("dataset_name")).alias("info"),
+            F.array(F.struct("id", F.col("file_path").alias("file_name"), "width", "height")).alias("images"),
+        )
+        docs = readers.parse_canonical(v.images.select(F.to_json(one).alias("json")), "json")
+        return readers.canonical_images(docs).select(
+            "dataset_name", "id", "file_name", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height")
+        )
+
     @r.add("s16_files_by_extension", with_views("images", "files") + """
 SELECT path FROM files WHERE lower(path) SIMILAR TO '.*[.](jpg|png)' ORDER BY path""")
     def _(v):

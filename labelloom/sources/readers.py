@@ -450,6 +450,25 @@ def read_canonical(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("images", "annotations", "categories")}
 
 
+CANONICAL_SCHEMA = (
+    "info struct<dataset_name:string,dataset_id:string,ontology_version:string,pipeline_version:string>, "
+    "images array<struct<id:string,file_name:string,width:int,height:int>>, categories array<struct<id:int,name:string,canonical_label:string>>"
+)
+
+
+def parse_canonical(texts: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Canonical data set JSON as structs; annotations are not restored from it."""
+    return texts.select(*keys, F.from_json(column, f"struct<{_as_fields(CANONICAL_SCHEMA)}>").alias("_d")).select(*keys, "_d.*")
+
+
+def canonical_images(docs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return docs.select(*keys, "info.dataset_name", F.inline("images"))
+
+
+def canonical_categories(docs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return docs.select(*keys, "info.dataset_name", F.inline("categories"))
+
+
 # Image headers --------------------------------------------------------------------
 
 
