@@ -27,11 +27,14 @@ def copies(rows: DataFrame, key: Sequence[str], id_col: str, order: Sequence[str
     ``order`` must tell rows apart; rows with a null key have no copies.
     """
     position = F.struct(*order)
-    summary = (
-        rows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(position.alias("p"), F.col(id_col).alias("i"))).alias("_first"))
-        .where("copies > 1")
-    )
+    if list(order) == [id_col]:
+        # A plain minimum can be aggregated by hash, a minimum of structs only by sort.
+        least = F.struct(F.struct(F.col("_min").alias(id_col)).alias("p"), F.col("_min").alias("i"))
+        found = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("_min"))
+        summary = found.where("copies > 1").select(*key, "copies", least.alias("_first"))
+    else:
+        first = F.min(F.struct(position.alias("p"), F.col(id_col).alias("i")))
+        summary = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), first.alias("_first")).where("copies > 1")
     joined = join_group_summary(rows, summary, key, "copies", order)
     return joined.where(position != F.col("_first.p")).withColumn("original_id", F.col("_first.i")).drop("_first")
 
