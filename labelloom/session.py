@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +36,18 @@ def local_session(cores: str = "8", app: str = "labelloom", memory: str = "12g")
     return spark
 
 
+def ship_code_with_tasks() -> None:
+    """Send the package's Python task functions along with the tasks that run them, so
+    executors need not have the package installed."""
+    from pyspark import cloudpickle
+
+    from labelloom.operators import history
+    from labelloom.sources import readers
+
+    for module in (history, readers):
+        cloudpickle.register_pickle_by_value(module)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there.
 
@@ -46,6 +57,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
