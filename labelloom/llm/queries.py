@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontam, langid, licensescan, linededup, neardup, packing, quality, storage, warc
+from labelloom.llm import decontam, langid, licensescan, linededup, neardup, packing, pii, quality, storage, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,8 +64,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_archives(spark, path))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.personal_data(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict[str, Query]:
-    plans = (op1_decontaminate, op2_near_duplicates, op3_line_dedup, op4_language, op5_pack, op6_quality, op7_license_scan, op9_warc)
+    plans = (op1_decontaminate, op2_near_duplicates, op3_line_dedup, op4_language, op5_pack, op6_quality, op7_license_scan, op9_warc, op10_personal_data)
     return {plan.__name__: plan for plan in plans}
 
 
