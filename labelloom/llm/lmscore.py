@@ -31,11 +31,10 @@ CONTEXTS = 3
 SLOT_BITS = 22
 _BLOCK = 1 << 14
 #: Documents that the mixing weights are fitted on, about.
-SAMPLE_DOCUMENTS = 400
+SAMPLE_DOCUMENTS = 150
 #: Bytes worked on at once; longer texts are cut at a blank, and each piece adapts anew.
-PIECE = 1 << 19
+PIECE = 1 << 16
 _STEP = 1024  # decisions between adaptations
-_GATES = NODES * 9
 _BUCKETS = 33
 #: A group of documents whose words are counted and looked up together.
 GROUP_BYTES, GROUP_DOCUMENTS = 4 << 20, 20_000
@@ -69,52 +68,69 @@ def runs(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield owner, parts
 
 
+_POWERS: dict[int, tuple] = {}
+_BASE = 0x9E3779B97F4A7C15
+_PAD = b"      "
+
+
+def _powers(n: int):
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    import numpy as np
+
+    if not _POWERS or max(_POWERS) < n:
+        size = max(n, 2 * PIECE)
+        up, down = (np.multiply.accumulate(np.concatenate([[1], np.full(size, x, dtype=np.uint64)]).astype(np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        _POWERS.clear()
+        _POWERS[size] = up, down
+    up, down = next(iter(_POWERS.values()))
+    return up[:n], down[:n]
+
+
 class Run:
-    """Contexts and decisions of the concatenated pieces, each preceded by blanks."""
+    """Bytes and contexts of concatenated pieces, each of which begins after blanks."""
 
     def __init__(self, parts: list[bytes], ranks=None):
         import numpy as np
 
-        pad = b"      "
-        data = np.frombuffer(pad + pad.join(parts), dtype=np.uint8)
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        first = np.cumsum(sizes + len(pad)) - sizes
-        self.sizes = sizes
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        self.byte = data[at]
-        self.one = data[at - 1]
-        self.two = data[at - 2].astype(np.uint16) << 8 | self.one
+        data = np.frombuffer(_PAD + _PAD.join(parts), dtype=np.uint8)
+        self.sizes = sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        ends = np.cumsum(sizes + len(_PAD))
+        mark = np.zeros(len(data) + 1, dtype=np.int8)
+        mark[ends - sizes] += 1
+        mark[ends] -= 1
+        own = np.cumsum(mark[:-1]).astype(bool)
+        self.ends = np.cumsum(sizes)
+        self.byte = data[own]
+        one = np.concatenate([[32], data[:-1]]).astype(np.uint8)
+        two = np.concatenate([[32], one[:-1]]).astype(np.uint16) << 8 | one
+        self.two = two[own]
         if ranks is None:
             return
-        self.rank = ranks[self.two, self.byte]
-        old = [data[at - j].astype(np.uint64) for j in (3, 4, 5)]
-        three = self.two | old[0] << np.uint64(16)
-        five = three | old[1] << np.uint64(24) | old[2] << np.uint64(32)
+        self.rank = ranks.ravel()[self.two.astype(np.int32) << 8 | self.byte]
+        self.level = np.minimum(self.rank, NODES)
+        wide = data.astype(np.uint64)
+        three, five = two.astype(np.uint64), None
+        for j in (3, 4, 5):
+            old = np.zeros(len(data), dtype=np.uint64)
+            old[j:] = wide[:-j]
+            if j == 3:
+                three |= old << np.uint64(16)
+                five = three.copy()
+            else:
+                five |= old << np.uint64(8 * (j - 1))
         # Polynomial hash of the word so far: a difference of running sums, brought to a
         # common power by the inverse.
-        base = 0x9E3779B97F4A7C15
         n = len(data)
-        power = np.multiply.accumulate(np.concatenate([[1], np.full(n, base)]).astype(np.uint64))
-        back = np.multiply.accumulate(np.concatenate([[1], np.full(n, pow(base, -1, 1 << 64))]).astype(np.uint64))
-        total = np.concatenate([[0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])]).astype(np.uint64)
-        start = np.maximum.accumulate(np.where(data == 32, np.arange(1, n + 1), 0))
-        begin = np.where(data[at - 1] == 32, at, start[at - 1])
-        word = (total[at] - total[begin]) * back[begin]
-        self.slots = []
+        up, down = _powers(n)
+        total = np.cumsum((wide + np.uint64(1)) * up, dtype=np.uint64)
+        before = np.concatenate([[0], total[:-1]]).astype(np.uint64)
+        begin = np.maximum.accumulate(np.where(one == 32, np.arange(n), 0))
+        word = (before - before[begin]) * down[begin]
+        self.contexts = []
         for k, c in enumerate((three, five, word)):
-            h = (c + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)
+            h = (c[own] + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)
             h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            self.slots.append((h >> np.uint64(64 - SLOT_BITS + 3)).astype(np.int32) << 3)
-        count = np.minimum(self.rank.astype(np.int32) + 1, NODES)
-        self.count = count
-        ends = np.cumsum(count)
-        self.where = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        self.node = np.arange(len(self.where), dtype=np.int32) - np.repeat((ends - count).astype(np.int32), count)
-        self.bit = self.node == self.rank[self.where]
-        self.ends = ends
-
-    def spots(self, k: int):
-        return self.slots[k][self.where] + self.node
+            self.contexts.append((h >> np.uint64(64 - SLOT_BITS + 3)).astype(np.int32))
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -166,57 +182,54 @@ def rank_tables(triples: DataFrame):
 
 
 def count_blocks(texts: DataFrame, ranks) -> DataFrame:
-    """(block, n0, n1): packed counts of decisions per slot, summed over all tasks."""
+    """(block, counts): packed counts per context slot and rank, summed over all tasks."""
     shared = texts.sparkSession.sparkContext.broadcast(ranks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        total = np.zeros(2 << SLOT_BITS, dtype=np.uint32)
+        total = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
         for batch in batches:
             for _, parts in runs(_texts(batch)):
                 run = Run(parts, shared.value)
-                for k in range(CONTEXTS):
-                    np.add.at(total, run.spots(k) * 2 + run.bit, np.uint32(1))
-        for at in range(0, len(total), 2 * _BLOCK):
-            part = total[at : at + 2 * _BLOCK]
+                for context in run.contexts:
+                    np.add.at(total, context << 3 | run.level, np.uint32(1))
+        for at in range(0, len(total), _BLOCK):
+            part = total[at : at + _BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // (2 * _BLOCK)], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([at // _BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        total = np.zeros((_BLOCK, 2), dtype=np.float64)
+        total = np.zeros(_BLOCK, dtype=np.float64)
         for batch in batches:
             for data in batch.column("counts").to_pylist():
-                total += np.frombuffer(zlib.decompress(data), dtype=np.uint32).reshape(_BLOCK, 2)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+                total += np.frombuffer(zlib.decompress(data), dtype=np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "counts"])
 
     parts = texts.mapInArrow(count, "block int, counts binary")
     return parts.groupBy("block").applyInArrow(add, "block int, counts binary")
 
 
-def slot_tables(blocks: DataFrame):
-    """Log odds and confidence (0 to 2) of every slot: 5 bytes each, 2**SLOT_BITS of them."""
+def slot_counts(blocks: DataFrame):
+    """Counts by context and rank; 2**SLOT_BITS numbers whatever the input."""
     import numpy as np
 
-    odds, sure = np.zeros(1 << SLOT_BITS, dtype=np.float32), np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    counts = np.zeros(1 << SLOT_BITS, dtype=np.float32)
     for row in blocks.toLocalIterator():
-        counts = np.frombuffer(row["counts"], dtype=np.float64).reshape(_BLOCK, 2)
-        at = slice(row["block"] * _BLOCK, (row["block"] + 1) * _BLOCK)
-        odds[at] = np.log((counts[:, 1] + 0.3) / (counts[:, 0] + 0.3))
-        n = counts.sum(axis=1)
-        sure[at] = (n >= 3).astype(np.uint8) + (n >= 30)
-    return odds, sure
+        counts[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], dtype=np.float32)
+    return counts.reshape(-1, 8)
 
 
-def _inputs(run: Run, odds, sure):
+def odds_of(counts):
+    """Log odds of each decision, and confidence (0 to 2) of the context."""
     import numpy as np
 
-    spots = [run.spots(k) for k in range(CONTEXTS)]
-    stretched = [odds[s] for s in spots]
-    gate = run.node * 9 + sure[spots[1]] * np.int32(3) + sure[spots[2]]
-    return stretched, gate
+    beyond = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
+    yes, no = counts[:, :NODES], beyond[:, 1 : NODES + 1]
+    seen = beyond[:, 0]
+    return np.log((yes + 0.3) / (no + 0.3)).astype(np.float32), ((seen >= 3).astype(np.int8) + (seen >= 40)).astype(np.int8)
 
 
 def _squash(x):
@@ -225,89 +238,105 @@ def _squash(x):
     return 1 / (1 + np.exp(-x))
 
 
-def fit_mixer(texts: list[bytes], model: dict, rounds: int = 6, rate: float = 0.5) -> dict:
+def _bucket(z):
+    import numpy as np
+
+    return np.clip(np.rint((z + 8) * 2), 0, _BUCKETS - 1).astype(np.int32)
+
+
+def fit_mixer(texts: list[bytes], model: dict, counts, steps: int = 30, rate: float = 0.1) -> dict:
     """Gate weights by gradient descent, and the last map, on a few texts.
 
-    The texts were counted themselves, so each decision is first taken out of its slot.
+    The texts were counted themselves, so each byte is first taken out of its slots.
     """
     import numpy as np
 
-    weights = np.full((_GATES, CONTEXTS + 1), 1.0 / CONTEXTS, dtype=np.float32)
-    weights[:, CONTEXTS] = 0
-    model = model | {"weights": weights, "map": np.linspace(-8, 8, _BUCKETS, dtype=np.float32)[None, :].repeat(NODES, 0)}
+    weights = np.full((CONTEXTS + 1, 9, NODES), 0.4, dtype=np.float32)
+    weights[CONTEXTS] = 0
     held = []
     for _, parts in runs(texts):
         run = Run(parts, model["ranks"])
-        stretched, gate = _inputs(run, model["odds"], model["sure"])
-        for k in range(CONTEXTS):  # a slot seen once tells only about this very decision
-            low = (model["sure"][run.spots(k)] == 0)
-            stretched[k] = np.where(low, stretched[k] * 0.3, stretched[k]).astype(np.float32)
-        held.append((np.stack([*stretched, np.ones_like(stretched[0])]), gate, run.bit, run.node))
-    speed = np.full(weights.shape, 1e-3)
-    for _ in range(rounds):
-        for x, gate, bit, _ in held:
-            z = (weights[gate].T * x).sum(axis=0)
-            err = bit - _squash(z)
-            n = np.maximum(np.bincount(gate, minlength=_GATES), 1)
-            g = np.stack([np.bincount(gate, err * x[k], minlength=_GATES) / n for k in range(CONTEXTS + 1)], axis=1)
-            speed += g**2
-            weights += (rate * g / np.sqrt(speed)).astype(np.float32) * 0.3
-    grid = np.linspace(-8, 8, _BUCKETS)
-    hit, seen = np.zeros((NODES, _BUCKETS)), np.zeros((NODES, _BUCKETS))
-    for x, gate, bit, node in held:
-        z = (weights[gate].T * x).sum(axis=0)
-        bucket = np.clip(np.rint((z + 8) * 2), 0, _BUCKETS - 1).astype(np.int64)
-        np.add.at(hit, (node, bucket), bit)
-        np.add.at(seen, (node, bucket), 1)
-    p = (hit + 20 * _squash(grid)[None, :]) / (seen + 20)
-    model["map"] = np.log(p / (1 - p)).astype(np.float32)
-    return model
-
-
-def bits_of(parts: list[bytes], model: dict, rate: float = 0.01):
+        xs, sure = [], []
+        for context in run.contexts:
+            own = counts[context]
+            own[np.arange(len(own)), run.level] -= 1
+            x, c = odds_of(np.maximum(own, 0))
+            xs.append(x)
+            sure.append(c)
+        asked = np.arange(NODES) <= run.level[:, None]
+        held.append((np.stack([*xs, np.ones_like(xs[0])]), sure[1] * 3 + sure[2], asked, run.level[:, None] == np.arange(NODES)))
+    speed = np.full(weights.shape, 1e-6)
+    for _ in range(steps):
+        grad = np.zeros(weights.shape)
+        seen = np.zeros((9, NODES))
+        for x, gate, asked, hit in held:
+            z = (weights[:, gate] * x).sum(axis=0)
+            err = (hit - _squash(z)) * asked
+            for g in range(9):
+                at = gate == g
+                grad[:, g] += (err[at] * x[:, at]).sum(axis=1)
+                seen[g] += asked[at].sum(axis=0)
+        grad /= np.maximum(seen, 1)
+        speed += grad**2
+        weights += (rate * grad / np.sqrt(speed)).astype(np.float32)
+    yes, all_ = np.zeros((NODES, _BUCKETS)), np.zeros((NODES, _BUCKETS))
+    for x, gate, asked, hit in held:
+        bucket = _bucket((weights[:, gate] * x).sum(axis=0))
+        for j in range(NODES):
+            yes[j] += np.bincount(bucket[asked[:, j], j], hit[asked[:, j], j], minlength=_BUCKETS)
+            all_[j] += np.bincount(bucket[asked[:, j], j], minlength=_BUCKETS)
+    p = (yes + 20 * _squash(np.linspace(-8, 8, _BUCKETS))) / (all_ + 20)
+    return model | {"weights": weights, "map": np.log(p / (1 - p)).astype(np.float32)}
+
+
+def bits_of(parts: list[bytes], model: dict, rate: float = 0.02):
     """Bits that each piece costs."""
     import numpy as np
 
     run = Run(parts, model["ranks"])
-    x, gate = _inputs(run, model["odds"], model["sure"])
-    weights = model["weights"]
-    z = weights[:, CONTEXTS][gate]
-    for k in range(CONTEXTS):
-        z += weights[:, k][gate] * x[k]
-    # Weights adapt from step to step of a piece: each step adds the gradient of the steps
-    # before it in the same piece.
-    ends = run.ends[np.cumsum(run.sizes) - 1]
-    starts = np.concatenate([[0], ends[:-1]])
-    steps = -(-(ends - starts) // _STEP)
-    piece = np.repeat(np.arange(len(parts)), steps)
-    number = np.arange(len(piece)) - np.repeat(np.cumsum(steps) - steps, steps)
-    begin = starts[piece] + number * _STEP
-    err = run.bit - _squash(z)
-    long = np.diff(np.append(begin, len(z)))
-    for k in range(CONTEXTS):
-        grad = np.add.reduceat(err * x[k], begin)
-        past = np.concatenate([[0.0], np.cumsum(grad)[:-1]])
-        past -= np.repeat(past[np.cumsum(steps) - steps], steps)
-        z += np.repeat((rate * past / (_STEP * np.maximum(number, 1) ** 0.5)).astype(np.float32), long) * x[k]
-    bucket = np.clip(np.rint((z + 8) * 2), 0, _BUCKETS - 1).astype(np.int32)
-    z = 0.5 * z + 0.5 * model["map"].ravel()[run.node * _BUCKETS + bucket]
-    cost = np.log1p(np.exp(np.where(run.bit, -z, z)))
-    bits = np.add.reduceat(cost, starts, dtype=np.float64) / np.log(2)
-    rare = np.flatnonzero(run.rank >= NODES)
-    more = model["left"][run.two[rare]] - model["rest"][run.one[rare], run.byte[rare]]
-    which = np.searchsorted(np.cumsum(run.sizes), rare, side="right")
-    return bits + np.bincount(which, more, minlength=len(parts))
+    odds, sure, weights = model["odds"], model["sure"], model["weights"]
+    gate = sure[run.contexts[1]] * np.int8(3) + sure[run.contexts[2]]
+    z = weights[CONTEXTS].take(gate, axis=0)
+    for k, context in enumerate(run.contexts):
+        z += weights[k].take(gate, axis=0) * odds.take(context, axis=0)
+    asked = np.arange(NODES, dtype=np.uint8) <= run.level[:, None]
+    z = z[asked]
+    node = np.broadcast_to(np.arange(NODES, dtype=np.int32), asked.shape)[asked]
+    count = np.minimum(run.level + 1, NODES)
+    ends = np.cumsum(count, dtype=np.int64)
+    bit = np.zeros(len(z), dtype=bool)
+    bit[ends[run.level < NODES] - 1] = True
+    # All weights grow or shrink together as a text goes on: the gain of a step follows the
+    # errors of the steps before it in the same piece.
+    stop = ends[run.ends - 1]
+    start = np.concatenate([[0], stop[:-1]])
+    steps = -(-(stop - start) // _STEP)
+    first = np.cumsum(steps) - steps
+    number = np.arange(steps.sum()) - np.repeat(first, steps)
+    begin = np.repeat(start, steps) + number * _STEP
+    slope = np.add.reduceat((bit - _squash(z)) * z, begin) / _STEP
+    past = np.cumsum(slope) - slope
+    past -= np.repeat(past[first], steps)
+    gain = np.clip(rate * past, -0.3, 0.3).astype(np.float32)
+    z *= np.repeat(1 + gain, np.diff(np.append(begin, len(z))))
+    z = 0.5 * z + 0.5 * model["map"].ravel()[node * _BUCKETS + _bucket(z)]
+    bits = np.add.reduceat(np.log1p(np.exp(np.where(bit, -z, z))), start).astype(np.float64) / np.log(2)
+    rare = np.flatnonzero(run.level == NODES)
+    two = run.two[rare].astype(np.int64)
+    more = model["left"][two] - model["rest"][two & 255, run.byte[rare]]
+    return bits + np.bincount(np.searchsorted(run.ends, rare, side="right"), more, minlength=len(parts))
 
 
 def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCUMENTS) -> dict:
     """Model from all texts of ``docs``; null texts are empty ones."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranks, rest, left = rank_tables(byte_triples(texts))
-    odds, sure = slot_tables(count_blocks(texts, ranks))
+    counts = slot_counts(count_blocks(texts, ranks))
+    odds, sure = odds_of(counts)
     step = max(1, -(-texts.count() // sample))
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select(F.substring("text", 1, PIECE).alias("text")).distinct().orderBy("text").limit(2 * sample)
     bodies = [b" ".join(words_of(r["text"].encode())) + b"\n" for r in some.collect()]
-    return fit_mixer(bodies, {"ranks": ranks, "rest": rest, "left": left, "odds": odds, "sure": sure})
+    return fit_mixer(bodies, {"ranks": ranks, "rest": rest, "left": left, "odds": odds, "sure": sure}, counts)
 
 
 _HEAD = "grp long, doc_ids array<long>, n_tokens array<long>, scores array<double>, bits_per_byte array<double>, token_docs binary, token_sizes binary, tokens array<long>, learned array<long>"
@@ -361,3 +390,48 @@ def _groups(texts: DataFrame, model: dict) -> DataFrame:
             yield out()
 
     return texts.mapInArrow(score, _HEAD)
+
+
+def held_out(doc_id: Column) -> Column:
+    return text_crc(doc_id, 7) == 2
+
+
+_RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
+
+
+def _finisher(train_tokens: int, vocabulary: int):
+    def finish(key: tuple, head: pa.Table, counts: pa.Table) -> pa.Table:
+        import numpy as np
+
+        row = head.to_pylist()[0]
+        doc = np.frombuffer(row["token_docs"], dtype=np.uint16)
+        sizes = np.frombuffer(row["token_sizes"], dtype=np.uint32)
+        seen = np.zeros(len(sizes), dtype=np.int64)
+        seen[counts.column("pos").to_numpy()] = counts.column("c").to_numpy()
+        n = len(row["doc_ids"])
+        base = np.bincount(doc, np.repeat(np.log10((seen + 1) / (train_tokens + vocabulary + 1)), sizes), minlength=n)
+        known = np.bincount(doc, np.repeat(seen > 0, sizes), minlength=n).astype(np.int64)
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(row["n_tokens"], pa.int64()), "n_known": known, "base_score": base, "score": pa.array(row["scores"], pa.float64()), "bits_per_byte": pa.array(row["bits_per_byte"], pa.float64())})
+
+    return finish
+
+
+def scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: tokens (words and an end), known ones, the number of
+    learning tokens, log10 probability by word counts, by the model, and its bits per byte.
+
+    Rows where ``train`` is true are learned from. Null and empty texts are an end alone.
+    Repeated rows give repeated results and are learned as often, null ids stay null, other
+    columns are not read. Without a learning row, every token is unknown and all decisions
+    are even; an empty table gives no rows.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    model = learn(rows.where("train"))
+    groups = storage.stored(_groups(rows, model), "scored")
+    tokens = groups.select("grp", F.posexplode(F.arrays_zip("tokens", "learned")).alias("pos", "t")).select("grp", "pos", F.col("t.tokens").alias("token"), F.col("t.learned").alias("learned"))
+    counts = storage.stored(tokens.where("learned > 0").groupBy("token").agg(F.sum("learned").alias("c")), "counts")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    known = tokens.join(counts, "token", "left").select(F.col("grp").alias("own"), "pos", F.coalesce("c", F.lit(0)).alias("c"))
+    heads = groups.drop("tokens", "learned").withColumnRenamed("grp", "head")
+    done = heads.groupBy("head").cogroup(known.groupBy("own")).applyInArrow(_finisher(total["n"], total["v"]), _RESULT)
+    return done.withColumn("train_tokens", F.lit(total["n"]).cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontam, langid, licensescan, linededup, neardup, packing, pii, quality, storage, warc
+from labelloom.llm import decontam, langid, licensescan, linededup, lmscore, neardup, packing, pii, quality, storage, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licensescan.scan(_read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under counts and the mixed model."""
+    out = lmscore.held_out(F.col("doc_id"))
+    found = lmscore.scores(_read(spark, sf_dir, "documents"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     warc.register(spark)
@@ -71,7 +78,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    plans = (op1_decontaminate, op2_near_duplicates, op3_line_dedup, op4_language, op5_pack, op6_quality, op7_license_scan, op9_warc, op10_personal_data)
+    plans = (op1_decontaminate, op2_near_duplicates, op3_line_dedup, op4_language, op5_pack, op6_quality, op7_license_scan, op8_lm_scores, op9_warc, op10_personal_data)
     return {plan.__name__: plan for plan in plans}
 
 
