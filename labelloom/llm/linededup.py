@@ -21,7 +21,7 @@ NEAR = 0.25
 
 
 def _words(line: Column) -> Column:
-    return F.trim(F.lit(" \t\r\f\x0b"), line)
+    return F.trim(line, F.lit(" \t\r\f\x0b"))
 
 
 def _key(doc_id: Column, text: Column) -> Column:

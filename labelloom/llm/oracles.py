@@ -1,3 +1,72 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from labelloom.llm import decontam, linededup, neardup, warc
+from labelloom.llm.words import LOWER, TERM, UPPER, WORD
+
+_DOCUMENT_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')"
+_DOCUMENT_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
+
+DECONTAMINATE = f"""
+WITH d AS (SELECT doc_id, {_DOCUMENT_TERMS} AS w FROM documents),
+b AS (SELECT item_id, {_DOCUMENT_TERMS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, least(len(w), {decontam.WINDOW}) AS size,
+    array_to_string(list_slice(w, i, i + least(len(w), {decontam.WINDOW}) - 1), ' ') AS gram
+  FROM b, unnest(generate_series(1, greatest(len(w) - {decontam.WINDOW} + 1, 1))) AS s(i) WHERE len(w) > 0
+),
+g AS (
+  SELECT doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS gram
+  FROM d, (SELECT DISTINCT size FROM p) AS sizes, unnest(generate_series(1, len(w) - size + 1)) AS s(i)
+),
+h AS (SELECT doc_id, i, g.size, item_id FROM g JOIN p ON g.size = p.size AND g.gram = p.gram),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM h, unnest(generate_series(i, i + size - 1)) AS s(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_DOCUMENT_WORDS} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 4) - 1), ' ') AS g
+  FROM d, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS t(i) WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b
+  WHERE 100 * c >= {neardup.PERCENT} * (p.n + q.n - c)
+),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a),
+roots AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM roots LEFT JOIN n USING (doc_id)
+"""
+
+LINE_DEDUP = f"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, coalesce(source, '') AS site, trim(parts[i], ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM d, unnest(generate_series(1, len(parts))) AS s(i)),
+b AS (SELECT line, min(doc_id) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {linededup.MIN_SITES}),
+gone AS (SELECT l.doc_id, list(DISTINCT l.line) AS lines, count(*) AS n_removed FROM l JOIN b ON l.line = b.line AND l.doc_id <> b.first GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) FILTER (line <> '') AS n_lines FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter(parts, lambda x: NOT list_contains(lines, trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)))), chr(10)) END AS text
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+WARC = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM h)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} AND page_id <> first THEN first END AS refers_to
+FROM r
+"""
+
+SQL: dict[str, str] = {
+    "op1_decontaminate": DECONTAMINATE,
+    "op2_near_duplicates": NEAR_DUPLICATES,
+    "op3_line_dedup": LINE_DEDUP,
+    "op9_warc": WARC,
+}
