@@ -100,7 +100,3 @@ KEYWORD_BOOST = 1.5
 CHECKPOINTS_KEPT = 3
 EARLY_STOP_PATIENCE = 10
 EARLY_STOP_DELTA = 0.001
-
-# Skew: a key with more rows than this is handled apart from the shuffle.
-# N rows hold at most N / HOT_KEY_ROWS such keys, which bounds what is broadcast.
-HOT_KEY_ROWS = 5_000_000

@@ -11,7 +11,7 @@ def parse(version: Column) -> Column:
     parts = F.split(version, r"\.")
 
     def part(i: int) -> Column:
-        return F.coalesce(F.try_element_at(parts, F.lit(i + 1)).cast("int"), F.lit(0))
+        return F.coalesce(F.try_element_at(parts, F.lit(i + 1)).try_cast("int"), F.lit(0))
 
     return F.struct(part(0).alias("major"), part(1).alias("minor"), part(2).alias("patch"))
 

@@ -52,22 +52,22 @@ def ancestors(edges: DataFrame, levels: int = config.MAX_PARENT_DEPTH) -> DataFr
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(node, ancestor, distance) at any depth, by doubling the reach until nothing is new."""
+    """(node, ancestor, distance) at any depth; the reach doubles until nothing is new.
+
+    A path longer than the reach begins with one of exactly that length, so each round joins
+    only the pairs at the rim, not all pairs, with what is known.
+    """
     pairs = cut_lineage(
         edges.where("parent IS NOT NULL AND parent <> node").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     )
-    known = pairs.count()
-    while True:
+    reach = 1
+    while not pairs.where(F.col("distance") == reach).isEmpty():
+        rim = pairs.where(F.col("distance") == reach).select("node", "ancestor", "distance")
         hop = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("distance").alias("_d"))
-        longer = pairs.join(hop, "ancestor").select(
-            "node", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance")
-        )
-        grown = pairs.unionByName(longer).where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
-        pairs = cut_lineage(grown)
-        count = pairs.count()
-        if count == known:
-            return pairs
-        known = count
+        longer = rim.join(hop, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"))
+        pairs = cut_lineage(pairs.unionByName(longer).where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        reach *= 2
+    return pairs
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def resolve(nodes: DataFrame) -> DataFrame:
     edges = nodes.select(F.col("value").alias("node"), "parent")
     children = nodes.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
     path = (
-        ancestors(edges)
+        closure(edges)
         .groupBy(F.col("node").alias("value"))
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("_up"))
     )

@@ -57,7 +57,9 @@ def _summarise(pdf: pd.DataFrame, patience: int, delta: float) -> dict[str, obje
     """What one part of a history, in epoch order, does to an incoming best value.
 
     A best value can only be replaced by a running minimum of the part, so the outcome is
-    kept per running minimum; between them the counter grows by one per row.
+    worked out per running minimum; between them the counter grows by one per row. A first
+    improvement at row ``patience`` or later comes too late, so only the running minima
+    before it are kept: at most ``patience``, however long the part.
     """
     values, epochs = pdf["value"].to_numpy(float), pdf["epoch"].to_numpy(int)
     n = len(values)
@@ -67,24 +69,22 @@ def _summarise(pdf: pd.DataFrame, patience: int, delta: float) -> dict[str, obje
     # First running minimum that is better by more than delta, for each of them.
     after = np.searchsorted(-records, -(records - delta), side="right")
     k = len(at)
-    out: list[tuple[float, int, int, int]] = [(0.0, 0, 0, 0)] * k
-    for i in range(k - 1, -1, -1):
-        j = int(after[i])
-        end = int(at[j]) if j < k else n
-        waited = end - int(at[i]) - 1
-        if waited >= patience:
-            out[i] = (records[i], int(epochs[at[i]]), patience, int(epochs[at[i] + patience]))
-        else:
-            out[i] = out[j] if j < k else (records[i], int(epochs[at[i]]), waited, 0)
+    waited = np.append(at, n)[after] - at - 1
+    stops = waited >= patience
+    # Follow each running minimum to the one at which the part ends or stops, by doubling.
+    final = np.where(stops | (after >= k), np.arange(k), np.minimum(after, k - 1))
+    while (final[final] != final).any():
+        final = final[final]
+    final = final[: np.searchsorted(at, patience)]
     return {
         "n": n,
         "head": epochs[:patience].tolist(),
-        "record_value": records.tolist(),
-        "record_at": at.tolist(),
-        "out_value": [o[0] for o in out],
-        "out_epoch": [o[1] for o in out],
-        "out_counter": [o[2] for o in out],
-        "out_stop": [o[3] for o in out],
+        "record_value": records[: len(final)].tolist(),
+        "record_at": at[: len(final)].tolist(),
+        "out_value": records[final].tolist(),
+        "out_epoch": epochs[at[final]].tolist(),
+        "out_counter": np.where(stops[final], patience, waited[final]).tolist(),
+        "out_stop": np.where(stops[final], epochs[np.minimum(at[final] + patience, n - 1)], 0).tolist(),
     }
 
 
@@ -132,14 +132,14 @@ def early_stopping(
 
     The best value moves only on an improvement above ``min_delta``; after ``patience``
     epochs without one the experiment stops. ``metrics`` has experiment_id, epoch (dense,
-    from 1) and value. Parts of bounded size are summarised in parallel and the
+    from 1) and value; rows without a value (null or NaN) are passed over. Parts of bounded size are summarised in parallel and the
     summaries, not the rows, are chained per experiment.
     """
     sign = 1.0 if mode == "min" else -1.0
     rows = metrics.select(
         "experiment_id", "epoch", (F.col("value") * sign).alias("value"),
         F.floor((F.col("epoch") - 1) / rows_per_part).cast("long").alias("part"),
-    )
+    ).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []

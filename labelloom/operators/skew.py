@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from labelloom import config
-
 
 def _over_group(group: Sequence[str], bucket: str):
     partition = list(group) or [F.lit(0)]
@@ -46,7 +44,7 @@ def bucketed_row_number(
         F.coalesce(F.sum("_n").over(_before(_over_group(group, bucket))), F.lit(0)).alias("_offset"),
     )
     return (
-        local.join(offsets, keys)
+        join_on(local, offsets, keys)
         .withColumn(name, F.col("_offset") + F.col("_local"))
         .drop("_offset", "_local")
     )
@@ -68,7 +66,7 @@ def bucketed_running(
     local = df.withColumn("_local", agg(value).over(inside))
     totals = df.groupBy(*keys).agg(agg(value).alias("_t"))
     carried = totals.select(*keys, agg("_t").over(_before(_over_group(group, bucket))).alias("_carry"))
-    joined = local.join(carried, keys)
+    joined = join_on(local, carried, keys)
     if how == "sum":
         merged = F.coalesce("_carry", F.lit(0)) + F.coalesce("_local", F.lit(0))
     else:
@@ -93,49 +91,29 @@ def bucketed_lag(
     last = df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("_last"))
     carried = last.select(*keys, F.lag("_last").over(_over_group(group, bucket)).alias("_carry"))
     return (
-        local.join(carried, keys)
+        join_on(local, carried, keys)
         .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_lag", "_first", "_carry")
     )
 
 
-def join_group_summary(
-    rows: DataFrame,
-    summary: DataFrame,
-    keys: Sequence[str],
-    size: str,
-    spread: Sequence[str],
-    hot_rows: int = config.HOT_KEY_ROWS,
-    salts: int = 1024,
-) -> DataFrame:
-    """Inner join rows to a summary that has one row and a row count per key.
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join by names in which null keys meet null keys; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(renamed, condition, how).drop(*[f"_k_{k}" for k in keys])
 
-    Keys counted above ``hot_rows`` number at most total / ``hot_rows``; they are
-    broadcast, so their rows are never shuffled to one task. All other keys go
-    through an ordinary shuffled join.
+
+def join_group_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str], size: str, spread: Sequence[str]) -> DataFrame:
+    """Inner join rows to a summary that has one row per key; null is a key like others.
+
+    One shuffled join for all sizes of groups: nothing above it relies on its
+    partitioning by key, so adaptive execution splits the partitions of hot keys.
     """
     extra = [c for c in summary.columns if c not in keys]
-    hot = summary.where(F.col(size) > hot_rows).select(
-        *keys, F.struct(*extra).alias("_hot")
-    )
-    cold = summary.where(F.col(size) <= hot_rows).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*extra).alias("_cold"), F.lit(0).alias("_s")
-    )
-    tagged = rows.join(F.broadcast(hot), list(keys), "left")
-    is_hot = F.col("_hot").isNotNull()
-    # Hot rows take a null key and a spread salt: they pass the second join evenly.
-    tagged = tagged.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts)) + 1).otherwise(0).cast("int")
-    )
-    for k in keys:
-        tagged = tagged.withColumn(f"_j_{k}", F.when(~is_hot, F.col(k)))
-    condition = F.col("_salt") == F.col("_s")
-    for k in keys:
-        condition = condition & (F.col(f"_j_{k}") == F.col(f"_k_{k}"))
-    joined = tagged.join(cold, condition, "left").withColumn("_g", F.coalesce("_hot", "_cold"))
-    return joined.where(F.col("_g").isNotNull()).select(
-        *rows.columns, *[F.col(f"_g.{c}").alias(c) for c in extra]
-    )
+    return join_on(rows, summary, keys).select(*rows.columns, *extra)
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank") -> DataFrame:

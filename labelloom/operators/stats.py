@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from labelloom import config
 from labelloom.functions import bins, geometry, text
+from labelloom.operators.skew import join_on
 
 BY = ("dataset",)
 
@@ -47,7 +48,7 @@ def class_counts(annotations: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def with_share(counts: DataFrame, by: Sequence[str] = BY, value: str = "n", name: str = "share", digits: int = 6) -> DataFrame:
     totals = counts.groupBy(*by).agg(F.sum(value).alias("_total"))
-    return counts.join(totals, list(by)).withColumn(name, F.round(F.col(value) / F.col("_total"), digits)).drop("_total")
+    return join_on(counts, totals, list(by)).withColumn(name, F.round(F.col(value) / F.col("_total"), digits)).drop("_total")
 
 
 def class_distribution(annotations: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labelloom.plans.views import Views
+from labelloom.session import SETTINGS
 
 Query = Callable[[Views], DataFrame]
 
@@ -29,6 +30,11 @@ class Registry:
 
     def callables(self) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         def bind(plan: Query) -> Callable[[SparkSession, str], DataFrame]:
-            return lambda spark, sf_dir: plan(Views(spark, sf_dir))
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                for key, value in SETTINGS.items():
+                    spark.conf.set(key, value)
+                return plan(Views(spark, sf_dir))
+
+            return run
 
         return {name: bind(plan) for name, plan in self.plans.items()}

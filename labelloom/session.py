@@ -36,18 +36,6 @@ def local_session(cores: str = "8", app: str = "labelloom", memory: str = "12g")
     return spark
 
 
-def ship_code_with_tasks() -> None:
-    """Send the package's Python task functions along with the tasks that run them, so
-    executors need not have the package installed."""
-    from pyspark import cloudpickle
-
-    from labelloom.operators import history
-    from labelloom.sources import readers
-
-    for module in (history, readers):
-        cloudpickle.register_pickle_by_value(module)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there.
 

@@ -54,15 +54,22 @@ def class_list(files: DataFrame) -> DataFrame:
     return files.select(F.posexplode(lines).alias("class_id", "name"))
 
 
+def _fields(lines: DataFrame, separator: str, least: int, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and the fields ``_p`` of lines that have at least ``least``.
+
+    The generator keeps later filters from being pushed below the split, which would split
+    the line again for every condition.
+    """
+    split = F.array(F.struct(F.split(F.trim("line"), separator).alias("_p")))
+    return lines.select(*keys, F.inline(split)).where(F.size("_p") >= least)
+
+
 def parse_yolo(lines: DataFrame, classes: DataFrame | None = None, unknown: str | None = None) -> DataFrame:
     """``class cx cy w h`` lines (stem, line). Short or unreadable lines are skipped.
 
     A class id beyond the list is named by itself, or ``unknown`` where that is given.
     """
-    parts = F.split(F.trim("line"), r"\s+")
-    kept = lines.withColumn("_p", parts).where(F.size("_p") >= 5)
-    numbers = [_number(F.get("_p", i)) for i in range(1, 5)]
-    rows = kept.select("stem", F.get("_p", 0).try_cast("int").alias("class_id"), *[n.alias(f"_{i}") for i, n in enumerate(numbers)])
+    rows = _fields(lines, r"\s+", 5, ["stem"]).select("stem", F.get("_p", 0).try_cast("int").alias("class_id"), *[_number(F.get("_p", i + 1)).alias(f"_{i}") for i in range(4)])
     rows = rows.where("class_id IS NOT NULL AND _0 IS NOT NULL AND _1 IS NOT NULL AND _2 IS NOT NULL AND _3 IS NOT NULL")
     fallback = F.col("class_id").cast("string") if unknown is None else F.lit(unknown)
     if classes is None:
@@ -141,7 +148,10 @@ def _as_fields(ddl: str) -> str:
 
 
 def read_coco(spark: SparkSession, path: str, missing: str | None = None) -> DataFrame:
-    return coco_annotations(spark.read.schema(COCO_SCHEMA).option("multiLine", "true").json(path), (), missing)
+    """Annotations of one or many COCO documents; ``source_file`` names the document, since
+    ids are unique only within one."""
+    docs = spark.read.schema(COCO_SCHEMA).option("multiLine", "true").json(path)
+    return coco_annotations(docs.select("*", F.col("_metadata.file_path").alias("source_file")), ("source_file",), missing)
 
 
 def coco_categories(docs: DataFrame) -> DataFrame:
@@ -218,9 +228,8 @@ def parse_open_images(lines: DataFrame, names: DataFrame | None = None) -> DataF
     The header and lines of fewer than eight fields are skipped; confidence 1 counts as
     not given; values are normalised. ``names`` has (label, name).
     """
-    p = F.split(F.trim("line"), ",")
     x1, x2, y1, y2 = [_number(F.get("_p", i)) for i in range(4, 8)]
-    rows = lines.withColumn("_p", p).where(F.size("_p") >= 8).where(x1.isNotNull() & x2.isNotNull() & y1.isNotNull() & y2.isNotNull())
+    rows = _fields(lines, ",", 8, []).where(x1.isNotNull() & x2.isNotNull() & y1.isNotNull() & y2.isNotNull())
     given = F.get("_p", 3)
     out = rows.select(
         F.get("_p", 0).alias("image_id"), F.get("_p", 2).alias("label"),
@@ -314,8 +323,7 @@ COMMON = ("stem", "class_id", "cx", "cy", "w", "h")
 def parse_visdrone(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """``left,top,width,height,score,category,...`` lines in centre form, scaled by the
     image where ``sizes`` (stem, image_width, image_height) knows it."""
-    p = F.split(F.trim("line"), ",")
-    rows = lines.withColumn("_p", p).where(F.size("_p") >= 6)
+    rows = _fields(lines, ",", 6, ["stem"])
     left, top, w, h = [_number(F.get("_p", i)) for i in range(4)]
     kind = F.get("_p", 5).try_cast("int")
     rows = rows.where(left.isNotNull() & top.isNotNull() & w.isNotNull() & h.isNotNull() & kind.isNotNull())
@@ -473,12 +481,27 @@ def canonical_categories(docs: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 
 
 def _jpeg_size(head: bytes) -> tuple[int, int] | None:
-    """Width and height from the first frame marker of a JPEG header."""
-    at = 2
-    while at + 9 <= len(head) and head[at] == 0xFF:
-        if head[at + 1] in (0xC0, 0xC2):
+    """Width and height from the first frame header of a JPEG file.
+
+    By the JPEG standard, segments follow each other up to the start of scan: a marker (FF,
+    any number of fill bytes FF, a code), and a two-byte length unless the code stands alone.
+    Codes C0 to CF are frame headers but for C4, C8 and CC.
+    """
+    at = 0
+    while at + 2 <= len(head) and head[at] == 0xFF:
+        code = head[at + 1]
+        if code == 0xFF:
+            at += 1
+        elif code == 0x01 or 0xD0 <= code <= 0xD8:
+            at += 2
+        elif code in (0xD9, 0xDA):
+            return None
+        elif 0xC0 <= code <= 0xCF and code not in (0xC4, 0xC8, 0xCC):
+            if at + 9 > len(head):
+                return None
             return int.from_bytes(head[at + 7 : at + 9], "big"), int.from_bytes(head[at + 5 : at + 7], "big")
-        at += 2 + int.from_bytes(head[at + 2 : at + 4], "big")
+        else:
+            at += 2 + int.from_bytes(head[at + 2 : at + 4], "big")
     return None
 
 
@@ -490,12 +513,13 @@ def _jpeg(heads: pd.Series) -> pd.DataFrame:
     )
 
 
-def image_headers(files: DataFrame, probe_jpeg: bool = True, head: int = 200) -> DataFrame:
-    """Width and height from the first bytes of PNG, BMP and JPEG contents.
+def image_headers(files: DataFrame, probe_jpeg: bool = True) -> DataFrame:
+    """Width and height of PNG, BMP and JPEG contents.
 
-    PNG and BMP are read with built-in functions; only JPEG heads are sent to Python.
+    PNG and BMP sizes stand in the first 26 bytes and are read with built-in functions. A
+    JPEG's frame header comes after segments of any length, so Python gets its content whole.
     """
-    digits = F.hex(F.substring("content", 1, head))
+    digits = F.hex(F.substring("content", 1, 26))
 
     def big(start: int) -> Column:
         return F.conv(F.substring("_x", 2 * start + 1, 8), 16, 10).cast("long")
@@ -508,7 +532,7 @@ def image_headers(files: DataFrame, probe_jpeg: bool = True, head: int = 200) ->
     signed = little(22)
     rows = files.withColumn("_x", digits)
     if probe_jpeg:
-        rows = rows.withColumn("_j", _jpeg(F.when(jpeg, F.substring("content", 1, head))))
+        rows = rows.withColumn("_j", _jpeg(F.when(jpeg, F.col("content"))))
     else:
         rows = rows.withColumn("_j", F.lit(None).cast("struct<width:long,height:long>"))
     long_enough = F.length("_x") >= 52
@@ -524,7 +548,7 @@ def image_headers(files: DataFrame, probe_jpeg: bool = True, head: int = 200) ->
 
 def read_image_headers(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return image_headers(files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 200).alias("content")))
+    return image_headers(files.select("path", "length", F.sha2("content", 256).alias("sha256"), "content"))
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,15 +3,17 @@
 import pytest
 
 import __spark_entry__ as entry
+from labelloom.plans import catalogue
 from tests.compare import difference, duck_rows, spark_rows
 from tests.conftest import SF
 
-PLANS = entry.queries()
-SQL = entry.oracle_sql()
+# Those of the training-data subpackage are tested in tests/llm.
+PLANS = catalogue().callables()
+SQL = dict(catalogue().sql)
 
 
 def test_every_sql_belongs_to_a_query():
-    assert set(SQL) <= set(PLANS)
+    assert set(SQL) <= set(PLANS) <= set(entry.queries())
     assert entry.FLAGSHIP in PLANS
 
 
