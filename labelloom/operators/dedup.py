@@ -35,7 +35,7 @@ def copies(rows: DataFrame, key: Sequence[str], id_col: str, order: Sequence[str
     else:
         first = F.min(F.struct(position.alias("p"), F.col(id_col).alias("i")))
         summary = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), first.alias("_first")).where("copies > 1")
-    joined = join_group_summary(rows, summary, key, "copies", order)
+    joined = rows.join(summary, list(key))
     return joined.where(position != F.col("_first.p")).withColumn("original_id", F.col("_first.i")).drop("_first")
 
 

@@ -198,9 +198,15 @@ SELECT dataset, class_name, n FROM counts ORDER BY dataset, n DESC, class_name""
     def _(v):
         return dedup.by_metadata(hashed_images(v))
 
-    @r.add("d04_duplicate_annotations", with_views("annotations", more=LABELS) + ann_sql)
+    # Every fifth annotation stands on its image twice.
+    twice_sql = "doubled AS (SELECT * FROM annotations UNION ALL SELECT * REPLACE (seq3 + 1 AS seq3) FROM annotations WHERE id % 5 = 0)"
+
+    def doubled(v):
+        return v.annotations.unionByName(v.annotations.where("id % 5 = 0").withColumn("seq3", F.col("seq3") + 1))
+
+    @r.add("d04_duplicate_annotations", with_views("annotations", more=twice_sql + ",\n" + LABELS.replace("FROM annotations", "FROM doubled")) + ann_sql)
     def _(v):
-        return dedup.annotations_in_image(v.annotations)
+        return dedup.annotations_in_image(doubled(v))
 
     @r.add("d05_duplicate_objects", with_views("annotations", more=LABELS) + obj_sql)
     def _(v):
@@ -238,11 +244,11 @@ SELECT width, height, format, count(*) AS members, min(id) AS first_id, any_valu
     def _(v):
         return dedup.same_size_groups(v.images)
 
-    @r.add("d09_annotation_signatures", with_views("annotations") + """
-SELECT first_value(id) OVER w AS original_id, id AS duplicate_id, image_id FROM annotations
+    @r.add("d09_annotation_signatures", with_views("annotations", more=twice_sql) + """
+SELECT first_value(id) OVER w AS original_id, id AS duplicate_id, image_id FROM doubled
 WINDOW w AS (PARTITION BY image_id, x, y, width, height, label ORDER BY id, seq1, seq2, seq3) QUALIFY row_number() OVER w > 1""")
     def _(v):
-        return dedup.annotation_signatures(v.annotations)
+        return dedup.annotation_signatures(doubled(v))
 
     @r.add("d10_repeated_ids", with_views("images", "annotations") + """
 SELECT id, count(*) AS uses FROM (SELECT id FROM images UNION ALL SELECT id FROM annotations) GROUP BY id HAVING count(*) > 1""")

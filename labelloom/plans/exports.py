@@ -70,12 +70,13 @@ UNION ALL SELECT value, 'unused' FROM ontology_values WHERE value NOT IN (SELECT
         return merge_split.class_differences(found, v.ontology_values.select(F.col("value").alias("class_name")))
 
     @r.add("m04_common_unique_all", """
-WITH a AS (SELECT DISTINCT p_name AS c FROM part WHERE p_size > 45), b AS (SELECT DISTINCT p_name AS c FROM part WHERE p_type = 'PROMO' AND p_size > 30)
+WITH a AS (SELECT DISTINCT p_name AS c FROM part), b AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' ' || p_type END AS c FROM part)
 SELECT c AS class_name, 'common' AS kind FROM a WHERE c IN (FROM b) UNION ALL SELECT c, 'only_left' FROM a WHERE c NOT IN (FROM b)
 UNION ALL SELECT c, 'only_right' FROM b WHERE c NOT IN (FROM a) UNION ALL SELECT c, 'all' FROM (FROM a UNION FROM b)""")
     def _(v):
-        names = lambda cond: v.table("part").where(cond).select(F.col("p_name").alias("class_name")).distinct()
-        return merge_split.common_unique_all(names("p_size > 45"), names("p_type = 'PROMO' AND p_size > 30"))
+        names = lambda c: v.table("part").select(c.alias("class_name")).distinct()
+        other = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", "p_type"))
+        return merge_split.common_unique_all(names(F.col("p_name")), names(other))
 
     # Splits ---------------------------------------------------------------------
     def split_sql(train: str, validation: str) -> str:

@@ -262,9 +262,7 @@ SELECT doc_id, '{"source":"' || source || '"}' AS properties, '{"coordinates":['
     @r.add("s16_files_by_extension", with_views("images", "files") + """
 SELECT path FROM files WHERE lower(path) SIMILAR TO '.*[.](jpg|png)' ORDER BY path""")
     def _(v):
-        from labelloom.functions import text
-
-        return v.files.where(text.extension(F.col("path")).isin(".jpg", ".png")).select("path").orderBy("path")
+        return detect.with_extensions(v.files.select("path"), (".JPG", ".png"))
 
     @r.add("s17_image_headers", with_views("images") + "SELECT id, nullif(width, -1) AS width, height FROM images")
     def _(v):

@@ -187,8 +187,10 @@ LEFT JOIN ranked r ON l.label = r.label AND rank BETWEEN 2 AND 4 AND tier = best
 SELECT canonical_value, alias AS entry, kind, CASE kind WHEN 'alias' THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM alias_table
 UNION ALL SELECT canonical_value, pattern, 'regex', confidence::DOUBLE FROM pattern_table""")
     def _(v):
-        named = v.alias_table.select("canonical_value", F.col("alias").alias("entry"), "kind", F.when(F.col("kind") == "alias", 0.9).otherwise(0.7).alias("confidence"))
-        return named.unionByName(v.pattern_table.select("canonical_value", F.col("pattern").alias("entry"), F.lit("regex").alias("kind"), "confidence"))
+        value, c = F.col("canonical_value"), F.col
+        kinds = [mapping.alias_rows(v.alias_table.where(c("kind") == kind), value, F.upper("alias"), kind).select("canonical_value", c("alias").alias("entry"), "kind", F.lit(weight).alias("confidence")) for kind, weight in (("alias", 0.9), ("synonym", 0.7))]
+        patterns = mapping.regex_rows(v.pattern_table, value, c("pattern"), c("confidence"))
+        return kinds[0].unionByName(kinds[1]).unionByName(patterns.select("canonical_value", c("pattern").alias("entry"), F.lit("regex").alias("kind"), "confidence"))
 
     @r.add("o13_apply_mapping", with_views("annotations", "mapping_rules") + """
 , t AS (SELECT label, canonical_value FROM (SELECT p_brand AS label, min(lower(p_type)) || '.mapped' AS canonical_value FROM part WHERE p_size < 3 GROUP BY 1))

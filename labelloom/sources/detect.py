@@ -40,10 +40,14 @@ def list_files(spark: SparkSession, path: str, extensions: Sequence[str] = ()) -
     )
     base = path.rstrip("/")
     rel = F.regexp_replace(F.substring_index(F.col("path"), base + "/", -1), "^/+", "")
-    out = files.withColumn("rel", rel)
+    return with_extensions(files.withColumn("rel", rel), extensions)
+
+
+def with_extensions(files: DataFrame, extensions: Sequence[str] = ()) -> DataFrame:
+    """Rows of a listing whose ``path`` has one of the extensions, in either case, by path."""
     if extensions:
-        out = out.where(text.extension(F.col("path")).isin(*[e.lower() for e in extensions]))
-    return out.orderBy("path")
+        files = files.where(text.extension(F.col("path")).isin(*[e.lower() for e in extensions]))
+    return files.orderBy("path")
 
 
 def _any(condition: Column) -> Column:

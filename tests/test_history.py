@@ -97,3 +97,39 @@ def test_best_and_latest_metric_skip_null_and_keep_first(spark):
     assert (best.value, best.event_id) == (5.0, 2)
     assert history.best_metric(df, "max").first().event_id == 4
     assert history.latest_metric(df).first().event_id == 4
+
+
+def test_early_stopping_summaries_are_bounded_and_skip_nulls(spark):
+    import numpy as np
+    import pandas as pd
+
+    from labelloom.operators import history
+
+    falling = pd.DataFrame({"value": np.linspace(9, 1, 5000), "epoch": np.arange(1, 5001)})
+    part = history._summarise(falling, 10, 0.0001)
+    assert all(len(v) <= 10 for k, v in part.items() if k != "n")
+    rows = [(1, 1, 5.0), (1, 2, None), (1, 3, 1.0), (1, 4, float("nan")), (1, 5, 0.5)]
+    got = history.early_stopping(spark.createDataFrame(rows, "experiment_id long, epoch long, value double"), patience=3).first()
+    assert (got.best_value, got.best_epoch, got.counter, got.stopped_epoch) == (0.5, 5, 0, None)
+
+
+def test_null_groups_stay(spark):
+    from labelloom.operators import merge_split, stats
+
+    images = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(10)], "id long, dataset string")
+    assert merge_split.random_split(images, group=["dataset"]).count() == 10
+    labels = spark.createDataFrame([(None, "Car", None), ("a", "Van", None)], "dataset string, label string, ontology_class string")
+    assert stats.class_distribution(labels, ["dataset"]).count() == 2
+
+
+def test_paths_reach_the_root_and_odd_versions_pass(spark):
+    from pyspark.sql import functions as F
+
+    from labelloom.functions import versions
+    from labelloom.operators import hierarchy
+
+    parts = "a.b.c.d.e.f".split(".")
+    nodes = [("root", None)] + [(".".join(parts[: i + 1]), ".".join(parts[:i]) or "root") for i in range(6)]
+    found = {r.value: r.path for r in hierarchy.resolve(spark.createDataFrame(nodes, "value string, parent string")).collect()}
+    assert found["a.b.c.d.e.f"] == " > ".join(n for n, _ in nodes)
+    assert spark.range(1).select(versions.parse(F.lit("1.0.0-rc1"))["major"]).first()[0] == 1

@@ -234,3 +234,26 @@ def test_closure_and_cycles(spark):
     four = hierarchy.ancestors(chain)
     assert four.where("node = 'n0'").count() == 4
     assert rows(four.where("node = 'w'"), "ancestor", "distance") == [("x", 1), ("y", 2), ("z", 3)]
+
+
+def test_jpeg_header_after_long_segments(spark):
+    size = (480).to_bytes(2, "big") + (640).to_bytes(2, "big")
+    exif = b"\xff\xe1" + (4002).to_bytes(2, "big") + b"\xff\xc0" * 2000
+    frame = b"\x00\x11\x08" + size + b"\x03"
+    bodies = [b"\xff\xd8" + exif + fill + b"\xff" + code + frame for code in (b"\xc0", b"\xc1", b"\xc2", b"\xcf") for fill in (b"", b"\xff\xff")]
+    bodies += [b"\xff\xd8" + exif + b"\xff\xc4\x00\x04ab" + b"\xff\xda\x00\x02\xff\xc0" + frame, b"\xff\xd8", b"", None]
+    files = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, content binary")
+    got = {r.id: (r.width, r.height) for r in readers.image_headers(files).collect()}
+    assert [got[i] for i in range(8)] == [(640, 480)] * 8
+    assert [got[i] for i in range(8, 12)] == [(None, None)] * 4
+
+
+def test_coco_files_keep_their_own_ids(spark, tmp_path):
+    for name, width, kind in (("a", 100, "car"), ("b", 50, "ship")):
+        put(tmp_path / f"{name}.json", json.dumps({
+            "images": [{"id": 1, "file_name": f"{name}.jpg", "width": width, "height": 10}],
+            "annotations": [{"id": 1, "image_id": 1, "category_id": 1, "bbox": [0, 0, 5, 5]}],
+            "categories": [{"id": 1, "name": kind}],
+        }))
+    found = readers.read_coco(spark, str(tmp_path))
+    assert rows(found, "file_name", "image_width", "class_name") and sorted(rows(found, "file_name", "image_width", "class_name")) == [("a.jpg", 100, "car"), ("b.jpg", 50, "ship")]
