@@ -85,14 +85,8 @@ def name_matches(names: DataFrame, others: DataFrame, name: str = "name", other:
 
 
 def _pieces(c: Column, sizes: Sequence[int]) -> Column:
-    """Distinct substrings of the given sizes."""
-
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(c) - (n - 1))
-        cut = F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))
-        return F.when(F.length(c) >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
+    """Distinct substrings of the given sizes, cut in one pass over the text for each size."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
 
 
 def contains_join(needles: DataFrame, needle: str, haystacks: DataFrame, haystack: str) -> DataFrame:
@@ -100,16 +94,17 @@ def contains_join(needles: DataFrame, needle: str, haystacks: DataFrame, haystac
 
     A needle is looked up by its rarest piece of three characters (or by itself when it
     is shorter), so the candidates are few; ``contains`` then decides. Empty needles
-    match nothing. Salts spread a piece that occurs in most haystacks.
+    match nothing. Pieces carry a digest of their text, not the text, and salts spread a
+    piece that occurs in most haystacks.
     """
     words = needles.where(F.length(needle) > 0).select(needle).distinct()
     keyed = words.select(
         needle,
         F.explode(F.when(F.length(needle) >= 3, _pieces(F.col(needle), (3,))).otherwise(F.array(F.col(needle)))).alias("_piece"),
     )
-    texts = haystacks.select(haystack).distinct()
+    texts = haystacks.select(haystack, F.md5(F.col(haystack).cast("binary")).alias("_text_id")).dropDuplicates(["_text_id"])
     wanted = keyed.select("_piece").distinct()
-    posted = texts.select(haystack, F.explode(_pieces(F.col(haystack), (1, 2, 3))).alias("_piece")).join(
+    posted = texts.select("_text_id", F.explode(_pieces(F.col(haystack), (1, 2, 3))).alias("_piece")).join(
         wanted, "_piece", "left_semi"
     )
     frequency = posted.groupBy("_piece").agg(F.count(F.lit(1)).alias("_df"))
@@ -119,9 +114,8 @@ def contains_join(needles: DataFrame, needle: str, haystacks: DataFrame, haystac
         .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_piece").alias("p"))).alias("_best"))
         .select(needle, F.col("_best.p").alias("_piece"))
     )
-    return (
-        salted_join(posted, rarest, ["_piece"], [haystack]).where(F.contains(haystack, needle)).select(needle, haystack)
-    )
+    met = salted_join(posted, rarest, ["_piece"], ["_text_id"]).select(needle, "_text_id")
+    return met.join(texts, "_text_id").where(F.contains(haystack, needle)).select(needle, haystack)
 
 
 def labels_in_nodes(labels: DataFrame, nodes: DataFrame) -> DataFrame:
