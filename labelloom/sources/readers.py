@@ -345,9 +345,19 @@ def _both(reader: Callable[[str], DataFrame], train: str, val: str) -> DataFrame
     return reader(train).withColumn("split", F.lit("train")).unionByName(reader(val).withColumn("split", F.lit("val")))
 
 
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, image_width, image_height) of the images anywhere below a folder."""
+    wanted = "*.{jpg,jpeg,png,bmp,JPG,JPEG,PNG,BMP}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).load(path)
+    sized = image_headers(files.select(text.stem(F.col("path")).alias("stem"), "content"))
+    return sized.select("stem", F.col("width").alias("image_width"), F.col("height").alias("image_height")).dropDuplicates(["stem"])
+
+
 def extract_visdrone(spark: SparkSession, root: str) -> DataFrame:
+    """Boxes scaled by the size of their image; pixels where the image is missing."""
     return _both(
-        lambda d: parse_visdrone(_lines(spark, f"{root}/{d}/annotations")), "VisDrone2019-DET-train", "VisDrone2019-DET-val"
+        lambda d: parse_visdrone(_lines(spark, f"{root}/{d}/annotations"), image_sizes(spark, f"{root}/{d}")),
+        "VisDrone2019-DET-train", "VisDrone2019-DET-val",
     )
 
 
@@ -453,6 +463,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return parse_documents(spark.read.text(path, wholetext=True), "value")
 
 
+def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One document per row of CSV files with a header; empty fields are left out."""
+    lines = spark.read.option("header", "true").option("multiLine", "true").csv(path)
+    return parse_documents(lines.select(F.to_json(F.struct("*")).alias("value")), "value")
+
+
 def read_canonical(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables written by :func:`labelloom.sources.writers.write_canonical`."""
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("images", "annotations", "categories")}
@@ -560,6 +576,7 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json": read_json_images,
     "geojson": read_geojson,
     "documents": read_documents,
+    "csv_documents": read_csv_documents,
 }
 EXTRACTORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coco": extract_coco2017,

@@ -257,3 +257,20 @@ def test_coco_files_keep_their_own_ids(spark, tmp_path):
         }))
     found = readers.read_coco(spark, str(tmp_path))
     assert rows(found, "file_name", "image_width", "class_name") and sorted(rows(found, "file_name", "image_width", "class_name")) == [("a.jpg", 100, "car"), ("b.jpg", 50, "ship")]
+
+
+def test_visdrone_boxes_follow_image_sizes(spark, tmp_path):
+    for split in ("train", "val"):
+        put(tmp_path / f"VisDrone2019-DET-{split}/annotations/i.txt", "10,20,4,8,1,4,0,0\n")
+    folder = tmp_path / "VisDrone2019-DET-train/images"
+    folder.mkdir()
+    (folder / "i.jpg").write_bytes(b"\xff\xd8\xff\xc0\x00\x11\x08" + (240).to_bytes(2, "big") + (48).to_bytes(2, "big") + b"\x03")
+    got = {r.split: (r.cx, r.cy, r.w, r.h) for r in readers.extract_visdrone(spark, str(tmp_path)).collect()}
+    assert got == {"train": (0.25, 0.1, 4 / 48, 8 / 240), "val": (12.0, 24.0, 4.0, 8.0)}
+
+
+def test_csv_documents(spark, tmp_path):
+    put(tmp_path / "d.csv", 'document_id,name,category,note\nd1,First,air,"two\nlines"\nd2,,sea,\n')
+    got = {r.document_id: r for r in readers.read_csv_documents(spark, str(tmp_path / "d.csv")).collect()}
+    assert (got["d1"].name, got["d1"].category, json.loads(got["d1"].document)["note"]) == ("First", "air", "two\nlines")
+    assert got["d2"].name is None and not got["d2"].is_bad
