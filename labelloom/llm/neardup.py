@@ -1,10 +1,11 @@
 """Near-duplicates by MinHash bands and odd sketches (operator 2).
 
 Documents with the same shingle set fold into one node at once, however many there are.
-Nodes meet in the buckets of MinHash bands. First every node is compared to the smallest
-node of each of its buckets, which joins groups of copies without pairing them all; then the
-nodes that are not yet joined to their bucket's smallest are compared to all others of the
-bucket outside their own component, so no link between components is passed over. Pairs
+Nodes meet in the buckets of MinHash bands. Places in buckets where too many of a node's
+shingles are its own for any link are given up. Then every node is compared to the head of
+each of its buckets, which joins groups of copies without pairing them all; and the nodes
+that are not yet joined to their bucket's head are compared, by prefix filtering, to all others
+outside their own component, so no link between components is passed over. Pairs
 must be close by the exclusive-or of their odd sketches before their full sets are compared.
 """
 
@@ -159,6 +160,31 @@ def _close(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     return full.where(100 * common >= percent * (F.size("a_shingles") + F.size("b_shingles") - common)).select("a", "b")
 
 
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(band, node, head): places in buckets where a link is possible at all.
+
+    A node with ``own`` shingles that no other set has can share no more than the rest, and
+    the union with a partner has at least ``own`` more than the partner. So it can be linked
+    in a bucket only if rest / (partner + own) is high enough for the smallest partner there.
+    Heavily edited copies of one text, which meet in the same buckets in great numbers without
+    being similar enough to anything, fall out here by proof and not by a cap. The head of a
+    bucket is the node with the smallest share of own shingles: the likely original.
+    """
+    ids = [F.xxhash64("node").alias("i1"), F.xxhash64("node", F.lit(1)).alias("i2")]
+    holders = sets.select(*ids, F.explode("shingles").alias("shingle")).groupBy("shingle")
+    # Where one set alone has a shingle, the exclusive-or over holders is that set's id.
+    lone = holders.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("i1").alias("i1"), F.bit_xor("i2").alias("i2")).where("n = 1")
+    own = lone.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("own"))
+    sized = sets.select("node", F.size("shingles").alias("n"), *ids).join(own, ["i1", "i2"], "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    placed = storage.stored(members.join(sized, "node"), "sized")
+    least = placed.groupBy("band").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    able = placed.join(least, "band").where(100 * (F.col("n") - F.col("own")) >= percent * (partner + F.col("own"))).select("band", "node", "n", "own")
+    rank = F.struct((F.col("own") / F.col("n")).alias("share"), F.xxhash64("node", "band").alias("by"), "node")
+    heads = able.groupBy("band").agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return able.join(heads.select("band", F.col("head.node").alias("head")), "band").select("band", "node", "head")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): the smallest node of its component.
 
@@ -182,6 +208,37 @@ def components(links: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _across(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link different components, of nodes not in their head's component
+    with any other node of such buckets.
+
+    By prefix filtering: in one order of all shingles, rarest first, let the first shingle
+    that two sets share stand at places i and j. Then they share at most the smaller of
+    n_a - i and n_b - j, which must reach the overlap that the similarity asks for. So it is
+    enough to join on shingles near the front, and copies that differ in many rare shingles
+    do not meet on their common ones.
+    """
+    placed = members.join(known, "node", "left").select("band", "node", "head", F.coalesce("root", "node").alias("root"))
+    heads = known.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
+    marked = placed.join(heads, "head", "left").withColumn("apart", F.col("root") != F.coalesce("head_root", "head"))
+    open_bands = marked.where("apart").select("band").distinct()
+    roles = marked.join(open_bands, "band").groupBy("node", "root").agg(F.max("apart").alias("apart"))
+    nodes = storage.stored(sets.join(roles, "node"), "open")
+    cut = nodes.select("node", F.explode("shingles").alias("shingle"))
+    often = cut.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ordered = cut.join(often, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ordered"))
+    size = F.size("ordered")
+    front = F.slice("ordered", 1, size - F.ceil(size * percent / 100).cast("int") + 1)
+    fronts = ordered.select("node", size.alias("n"), F.posexplode(front).alias("at", "s")).select("node", "n", "at", F.col("s.shingle").alias("shingle"))
+    fronts = storage.stored(fronts.join(nodes.drop("shingles"), "node"), "fronts")
+    left = fronts.where("apart").select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "at", "root")])
+    right = fronts.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "at", "root")])
+    reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    enough = (100 + percent) * reach >= percent * (F.col("a_n") + F.col("b_n"))
+    met = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("a_root") != F.col("b_root")) & enough)
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id that links
     lead to, its own included) and kept (the two ids are equal).
@@ -197,26 +254,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = storage.stored(
         used.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "body")).alias("from")), "nodes"
     )
-    # Bucket members: buckets of one node are dropped at once.
     slots = nodes.select(F.explode("bands").alias("band"), "node")
-    heads = slots.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
-    members = storage.stored(slots.join(heads, "band"), "members")
+    shared = slots.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    members = storage.stored(slots.join(shared, "band"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "from"), "node")
     # The sets of nodes that meet any other, cut from the text of one document each.
     source = wanted.select("node", F.col("from.doc_id").alias("w_id"), F.col("from.body").alias("w_body"))
     sets = base.join(source, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("body") == F.col("w_body"))).select("node", _shingler(shingle)(F.col("text")).alias("shingles"))
     sets = storage.stored(sets.dropDuplicates(["node"]), "sets")
+    members = storage.stored(_linkable(members, sets, percent), "linkable")
 
-    first = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    first = members.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     stars = storage.stored(_close(first, nodes, sets, percent), "stars")
     known = storage.stored(components(stars), "roots")
-    root = F.coalesce("root", "node")
-    placed = members.join(known, "node", "left").select("band", "node", "head", root.alias("root"))
-    head_roots = known.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
-    open_ = placed.join(head_roots, "head", "left").where(F.col("root") != F.coalesce("head_root", "head"))
-    left = open_.select("band", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    right = placed.where("node <> head").select("band", F.col("node").alias("b"), F.col("root").alias("b_root"))
-    rest = left.join(right, "band").where("a_root <> b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = _across(members, known, sets, percent)
     more = _close(rest, nodes, sets, percent)
     final = storage.stored(components(stars.unionByName(more)), "roots")
     grouped = signed.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
