@@ -37,7 +37,7 @@ PIECE = 1 << 16
 _STEP = 1024  # decisions between adaptations
 _BUCKETS = 33
 #: A group of documents whose words are counted and looked up together.
-GROUP_BYTES, GROUP_DOCUMENTS = 4 << 20, 20_000
+GROUP_BYTES, GROUP_DOCUMENTS = 16 << 20, 20_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
