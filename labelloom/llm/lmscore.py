@@ -3,14 +3,15 @@
 A text is its words with A-Z in lower case, one blank between them and an end mark. Each byte
 is told by yes-or-no decisions: is it the most frequent one after the two bytes before, is
 it the next, and so on for ``NODES`` decisions; what is rarer still is told at once by its
-share after the byte before. Every decision is predicted from several hashed contexts (three
+share after the byte before. Every decision is predicted from several contexts (three
 and five bytes, and the word so far). The predictions are mixed in the logistic domain by
-weights that a gate selects (decision and confidence of the longer contexts), adapted within the text
-by the errors on its earlier parts, and refined by a last map from mixed to observed odds.
+weights that a gate selects (decision and confidence of the longer contexts) and refined by a
+last map from mixed to observed odds.
 
-Counts come from all learning documents: tasks sum them in numpy, Spark adds the tasks'
-blocks. All tables have sizes fixed by parameters. Only the mixing weights, some hundred numbers,
-are fitted on a bounded sample.
+Counts come from all learning documents, one entry for each different context, told apart by
+60 bits of hash. Texts are kept in groups; each group asks blocks of the hash range, whose
+number grows with the input, for the sums of the contexts it holds. Only weights and map are
+fitted on a bounded sample of each group.
 """
 
 from __future__ import annotations
@@ -27,15 +28,20 @@ from labelloom.llm.words import text_crc
 
 NODES = 6
 CONTEXTS = 3
-#: Slots for counts; eight neighbouring ones belong to one context.
+#: Slots, eight a context, where texts are not given a table of their contexts.
 SLOT_BITS = 22
-_BLOCK = 1 << 14
-#: Documents that the mixing weights are fitted on, about.
-SAMPLE_DOCUMENTS = 150
-#: Bytes worked on at once; longer texts are cut at a blank, and each piece adapts anew.
+#: Bytes worked on at once; longer texts are cut at a blank, and carry their state on.
 PIECE = 1 << 16
-_STEP = 1024  # decisions between adaptations
+RUN_BYTES = 1 << 20
+#: Bytes of a text that are mixed together.
+STEP = 64
 _BUCKETS = 33
+#: Texts of a group that the mixing weights are fitted on, at most.
+SAMPLE_DOCUMENTS = 150
+#: Rounds of Newton's method for the weights.
+ROUNDS = 2
+#: Bytes of text for one block of the range of context hashes.
+BLOCK_BYTES = 32 << 20
 #: A group of documents whose words are counted and looked up together.
 GROUP_BYTES, GROUP_DOCUMENTS = 16 << 20, 20_000
 
@@ -44,32 +50,42 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def pieces(body: bytes) -> Iterator[bytes]:
-    at = 0
+def pieces(body: bytes) -> Iterator[tuple[bytes, tuple]]:
+    """Parts of a text, each with its lead: the bytes before, and hash and power of the word
+    that it begins within."""
+    at, word, power = 0, 0, 1
     while at < len(body):
         end = len(body) if len(body) - at <= PIECE else body.rfind(b" ", at, at + PIECE) + 1
         end = min(at + PIECE, len(body)) if end <= at else end
-        yield body[at:end]
+        yield body[at:end], ((_PAD + body[max(0, at - len(_PAD)) : at])[-len(_PAD) :], word, power)
+        if body[end - 1 : end] == b" ":
+            word, power = 0, 1
+        else:
+            more, by = _word_hash(body[body.rfind(b" ", at, end) + 1 if b" " in body[at:end] else at : end])
+            word, power = ((word + power * more) & _MASK, power * by & _MASK) if b" " not in body[at:end] else (more, by)
         at = end
 
 
-def runs(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Pieces of texts in runs of about PIECE bytes, with the numbers of their texts."""
-    owner, parts, size = [], [], 0
+def runs(texts: list[bytes], most: int = RUN_BYTES) -> Iterator[tuple[list[int], list[bytes], list[tuple]]]:
+    """Pieces of texts in runs of about ``most`` bytes, with the numbers of their texts and
+    their leads. A run holds no two pieces of one text."""
+    owner, parts, leads, size = [], [], [], 0
     for i, text in enumerate(texts):
-        for part in pieces(text):
+        for part, lead in pieces(text):
+            if parts and (size >= most or owner[-1] == i):
+                yield owner, parts, leads
+                owner, parts, leads, size = [], [], [], 0
             owner.append(i)
             parts.append(part)
+            leads.append(lead)
             size += len(part)
-            if size >= PIECE:
-                yield owner, parts
-                owner, parts, size = [], [], 0
     if parts:
-        yield owner, parts
+        yield owner, parts, leads
 
 
 _POWERS: dict[int, tuple] = {}
 _BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
 _PAD = b"      "
 
 
@@ -78,21 +94,30 @@ def _powers(n: int):
     import numpy as np
 
     if not _POWERS or max(_POWERS) < n:
-        size = max(n, 2 * PIECE)
-        up, down = (np.multiply.accumulate(np.concatenate([[1], np.full(size, x, dtype=np.uint64)]).astype(np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        size = max(n, 2 * RUN_BYTES)
+        up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, x, dtype=np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
         _POWERS.clear()
         _POWERS[size] = up, down
     up, down = next(iter(_POWERS.values()))
     return up[:n], down[:n]
 
 
+def _word_hash(word: bytes) -> tuple[int, int]:
+    """Polynomial hash of the bytes of a word, and the power that follows its last."""
+    import numpy as np
+
+    up, _ = _powers(len(word) + 1)
+    return int(((np.frombuffer(word, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * up[:-1]).sum(dtype=np.uint64)), int(up[-1])
+
+
 class Run:
-    """Bytes and contexts of concatenated pieces, each of which begins after blanks."""
+    """Bytes and contexts of concatenated pieces. Pieces without lead begin after blanks."""
 
-    def __init__(self, parts: list[bytes], ranks=None):
+    def __init__(self, parts: list[bytes], ranks=None, leads: list[tuple] | None = None, table: Table | None = None, hashed: bool = False):
         import numpy as np
 
-        data = np.frombuffer(_PAD + _PAD.join(parts), dtype=np.uint8)
+        leads = leads or [(_PAD, 0, 1)] * len(parts)
+        data = np.frombuffer(b"".join(x for (pad, _, _), part in zip(leads, parts) for x in (pad, part)), dtype=np.uint8)
         self.sizes = sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         ends = np.cumsum(sizes + len(_PAD))
         mark = np.zeros(len(data) + 1, dtype=np.int8)
@@ -104,10 +129,11 @@ class Run:
         one = np.concatenate([[32], data[:-1]]).astype(np.uint8)
         two = np.concatenate([[32], one[:-1]]).astype(np.uint16) << 8 | one
         self.two = two[own]
-        if ranks is None:
+        if ranks is not None:
+            self.rank = ranks.ravel()[self.two.astype(np.int32) << 8 | self.byte]
+            self.level = np.minimum(self.rank, NODES)
+        elif not hashed:
             return
-        self.rank = ranks.ravel()[self.two.astype(np.int32) << 8 | self.byte]
-        self.level = np.minimum(self.rank, NODES)
         wide = data.astype(np.uint64)
         three, five = two.astype(np.uint64), None
         for j in (3, 4, 5):
@@ -119,40 +145,77 @@ class Run:
             else:
                 five |= old << np.uint64(8 * (j - 1))
         # Polynomial hash of the word so far: a difference of running sums, brought to a
-        # common power by the inverse.
+        # common power by the inverse. A word that began before its piece goes on from the lead.
         n = len(data)
         up, down = _powers(n)
         total = np.cumsum((wide + np.uint64(1)) * up, dtype=np.uint64)
-        before = np.concatenate([[0], total[:-1]]).astype(np.uint64)
-        begin = np.maximum.accumulate(np.where(one == 32, np.arange(n), 0))
+        before = np.concatenate([np.zeros(1, dtype=np.uint64), total[:-1]])
+        fresh = one == 32
+        fresh[ends - sizes] = True
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         word = (before - before[begin]) * down[begin]
-        self.contexts = []
+        for i, (_, old, power) in enumerate(leads):
+            if power != 1:
+                first = ends[i] - sizes[i]
+                inside = slice(first, first + int(np.searchsorted(begin[first : ends[i]], first, side="right")))
+                word[inside] = np.uint64(old) + np.uint64(power) * word[inside]
+        self.hashes = []
         for k, c in enumerate((three, five, word)):
             h = (c[own] + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)
             h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            self.contexts.append((h >> np.uint64(64 - SLOT_BITS + 3)).astype(np.int32))
+            self.hashes.append(h ^ h >> np.uint64(32))
+        self.contexts = [h >> np.uint64(64 - SLOT_BITS + 3) if table is None else table.find(h) for h in self.hashes] if ranks is not None else []
+        self.contexts = [c.astype(np.int32) for c in self.contexts]
+
+
+class Table:
+    """Ascending context hashes (60 bits) of a group of texts, found by their leading bits."""
 
+    def __init__(self, keys):
+        import numpy as np
+
+        self.keys = keys
+        self.shift = np.uint64(60 - max(1, len(keys).bit_length()))
+        self.start = np.searchsorted(keys, np.arange(1 << 60 - int(self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [b" ".join(words_of(t)) + b"\n" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+    def find(self, hashes):
+        """Places of hashes, all of which are in the table."""
+        import numpy as np
 
+        h = hashes >> np.uint64(4)
+        at = self.start.take(h >> self.shift)
+        left = np.flatnonzero(self.keys.take(at) != h)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys.take(at[left]) != h[left]]
+        return at
 
-def byte_triples(texts: DataFrame) -> DataFrame:
-    """(two bytes before, byte, n) over a table with a ``text`` column."""
+
+def byte_triples(groups: DataFrame) -> DataFrame:
+    """(two bytes before, byte, n) over the learning texts of groups."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        total = np.zeros(1 << 24, dtype=np.int32)
+        total = np.zeros(1 << 24, dtype=np.int64)
         for batch in batches:
-            for _, parts in runs(_texts(batch)):
-                run = Run(parts)
-                codes, n = np.unique(run.two.astype(np.uint32) << 8 | run.byte, return_counts=True)
-                total[codes] += n.astype(np.int32)
+            for row in batch.to_pylist():
+                for _, parts, leads in runs([b for b, t in zip(_bodies(row), row["trains"]) if t]):
+                    run = Run(parts, leads=leads)
+                    codes, n = np.unique(run.two.astype(np.uint32) << 8 | run.byte, return_counts=True)
+                    total[codes] += n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found >> 8, pa.int32()), pa.array((found & 255), pa.int32()), pa.array(total[found], pa.int64())], ["two", "byte", "n"])
 
-    return texts.mapInArrow(count, "two int, byte int, n long").groupBy("two", "byte").agg(F.sum("n").alias("n"))
+    return groups.select("trains", "sizes", "bodies").mapInArrow(count, "two int, byte int, n long").groupBy("two", "byte").agg(F.sum("n").alias("n"))
+
+
+def _bodies(row: dict) -> list[bytes]:
+    data, at, out = zlib.decompress(row["bodies"]), 0, []
+    for size in row["sizes"]:
+        out.append(data[at : at + size])
+        at += size
+    return out
 
 
 def rank_tables(triples: DataFrame):
@@ -181,45 +244,86 @@ def rank_tables(triples: DataFrame):
     return ranks, np.log2(rest), np.log2(rest.sum(axis=1)[np.arange(65536) & 255] - top)
 
 
-def count_blocks(texts: DataFrame, ranks) -> DataFrame:
-    """(block, counts): packed counts per context slot and rank, summed over all tasks."""
-    shared = texts.sparkSession.sparkContext.broadcast(ranks)
+def _add_up(keys, n):
+    """Distinct keys, ascending, and the sums of their numbers."""
+    import numpy as np
+
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+def context_counts(groups: DataFrame, ranks, blocks: int) -> DataFrame:
+    """(grp, block, keys, counts): the contexts of each group's texts, ascending, and how often
+    each rank follows them in all learning texts."""
+    shared = groups.sparkSession.sparkContext.broadcast(ranks)
+    bits = (blocks - 1).bit_length()
+    names, types = ["grp", "block", "keys", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def found(grp, block, keys, counts):
+        return [grp, block, keys.tobytes(), zlib.compress(counts.astype("uint32").T.tobytes(), 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        total = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
         for batch in batches:
-            for _, parts in runs(_texts(batch)):
-                run = Run(parts, shared.value)
-                for context in run.contexts:
-                    np.add.at(total, context << 3 | run.level, np.uint32(1))
-        for at in range(0, len(total), _BLOCK):
-            part = total[at : at + _BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // _BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in batch.to_pylist():
+                trains = np.array(row["trains"], dtype=bool)
+                keys, n = [], []
+                for owner, parts, leads in runs(_bodies(row)):
+                    run = Run(parts, shared.value, leads, hashed=True)
+                    low = (run.level.astype(np.uint64) << np.uint64(1)) | np.repeat(trains[owner], run.sizes).astype(np.uint64)
+                    code = np.sort(np.concatenate([h & np.uint64(_MASK - 15) | low for h in run.hashes]))
+                    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                    keys.append(code[first])
+                    n.append(np.diff(np.append(first, len(code))))
+                code, n = _add_up(np.concatenate(keys), np.concatenate(n))
+                n *= (code & np.uint64(1)).astype(np.int64)
+                context = code >> np.uint64(4)
+                fresh = np.concatenate([[True], context[1:] != context[:-1]])
+                counts = np.zeros((fresh.sum(), NODES + 1), dtype=np.int64)
+                np.add.at(counts, (np.cumsum(fresh) - 1, (code >> np.uint64(1) & np.uint64(7)).astype(np.int64)), n)
+                context = context[fresh]
+                cuts = np.searchsorted(context, np.arange(1 << bits, dtype=np.uint64) << np.uint64(60 - bits)).tolist() + [len(context)]
+                rows = [found(row["grp"], b, context[i:j], counts[i:j]) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    def total(part: pa.Table) -> pa.Table:
         import numpy as np
 
-        total = np.zeros(_BLOCK, dtype=np.float64)
-        for batch in batches:
-            for data in batch.column("counts").to_pylist():
-                total += np.frombuffer(zlib.decompress(data), dtype=np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "counts"])
+        rows = part.to_pylist()
+        keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.zeros((len(every), NODES + 1), dtype=np.int64)
+        ends = np.cumsum([len(k) for k in keys])
+        for r, k, end in zip(rows, keys, ends):
+            sums[place[end - len(k) : end]] += _counts(r["counts"])
+        out = [found(r["grp"], r["block"], k, sums[place[end - len(k) : end]]) for r, k, end in zip(rows, keys, ends)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    parts = texts.mapInArrow(count, "block int, counts binary")
-    return parts.groupBy("block").applyInArrow(add, "block int, counts binary")
+    schema = "grp long, block int, keys binary, counts binary"
+    return groups.select("grp", "trains", "sizes", "bodies").mapInArrow(count, schema).groupBy("block").applyInArrow(total, schema)
 
 
-def slot_counts(blocks: DataFrame):
-    """Counts by context and rank; 2**SLOT_BITS numbers whatever the input."""
+def _counts(data: bytes):
     import numpy as np
 
-    counts = np.zeros(1 << SLOT_BITS, dtype=np.float32)
-    for row in blocks.toLocalIterator():
-        counts[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], dtype=np.float32)
-    return counts.reshape(-1, 8)
+    return np.frombuffer(zlib.decompress(data), dtype=np.uint32).reshape(NODES + 1, -1).T
+
+
+def _contexts(row: dict):
+    """Table and counts (eight a context) of the contexts of a group."""
+    import numpy as np
+
+    keys = np.concatenate([np.frombuffer(c["keys"], dtype=np.uint64) for c in row["contexts"]])
+    counts = np.zeros((len(keys), 8), dtype=np.float32)
+    at = 0
+    for c in row["contexts"]:
+        part = _counts(c["counts"])
+        counts[at : at + len(part), : NODES + 1] = part
+        at += len(part)
+    return Table(keys), counts
 
 
 def odds_of(counts):
@@ -244,110 +348,185 @@ def _bucket(z):
     return np.clip(np.rint((z + 8) * 2), 0, _BUCKETS - 1).astype(np.int32)
 
 
-def fit_mixer(texts: list[bytes], model: dict, counts, steps: int = 30, rate: float = 0.1) -> dict:
-    """Gate weights by gradient descent, and the last map, on a few texts.
+def _decisions(run: Run):
+    """Byte, node and outcome of every decision."""
+    import numpy as np
 
-    The texts were counted themselves, so each byte is first taken out of its slots.
-    """
+    count = np.minimum(run.level.astype(np.int64) + 1, NODES)
+    row = np.repeat(np.arange(len(count)), count)
+    node = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, node, node == run.level[row]
+
+
+def _first_weights():
     import numpy as np
 
-    weights = np.full((CONTEXTS + 1, 9, NODES), 0.4, dtype=np.float32)
+    weights = np.full((CONTEXTS + 1, 9, NODES), 0.4, dtype=np.float64)
     weights[CONTEXTS] = 0
-    held = []
-    for _, parts in runs(texts):
-        run = Run(parts, model["ranks"])
-        xs, sure = [], []
-        for context in run.contexts:
-            own = counts[context]
-            own[np.arange(len(own)), run.level] -= 1
-            x, c = odds_of(np.maximum(own, 0))
-            xs.append(x)
-            sure.append(c)
-        asked = np.arange(NODES) <= run.level[:, None]
-        held.append((np.stack([*xs, np.ones_like(xs[0])]), sure[1] * 3 + sure[2], asked, run.level[:, None] == np.arange(NODES)))
-    speed = np.full(weights.shape, 1e-6)
-    for _ in range(steps):
-        grad = np.zeros(weights.shape)
-        seen = np.zeros((9, NODES))
-        for x, gate, asked, hit in held:
-            z = (weights[:, gate] * x).sum(axis=0)
-            err = (hit - _squash(z)) * asked
-            for g in range(9):
-                at = gate == g
-                grad[:, g] += (err[at] * x[:, at]).sum(axis=1)
-                seen[g] += asked[at].sum(axis=0)
-        grad /= np.maximum(seen, 1)
-        speed += grad**2
-        weights += (rate * grad / np.sqrt(speed)).astype(np.float32)
-    yes, all_ = np.zeros((NODES, _BUCKETS)), np.zeros((NODES, _BUCKETS))
-    for x, gate, asked, hit in held:
-        bucket = _bucket((weights[:, gate] * x).sum(axis=0))
-        for j in range(NODES):
-            yes[j] += np.bincount(bucket[asked[:, j], j], hit[asked[:, j], j], minlength=_BUCKETS)
-            all_[j] += np.bincount(bucket[asked[:, j], j], minlength=_BUCKETS)
+    return weights
+
+
+def error_sums(texts: list[bytes], model: dict, counts, weights, last: bool):
+    """Sums over all decisions on learning texts: gradients and curvatures of the weights, or,
+    when ``last``, outcomes and numbers for the last map.
+
+    The texts were counted themselves, so each byte is first taken out of its contexts.
+    """
+    import numpy as np
+
+    k, cells = CONTEXTS + 1, 9 * NODES
+    sums = np.zeros((2, NODES * _BUCKETS) if last else (k + k * (k + 1) // 2, cells))
+    beyond = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
+    yes, no, seen = np.ascontiguousarray(counts[:, :NODES]).ravel(), np.ascontiguousarray(beyond[:, 1 : NODES + 1]).ravel(), beyond[:, 0]
+    flat = weights.reshape(k, cells).astype(np.float32)
+    for _, parts, leads in runs(texts):
+        run = Run(parts, model["ranks"], leads, model.get("table"))
+        row, node, hit = _decisions(run)
+        x = np.ones((k, len(row)), dtype=np.float32)
+        sure = []
+        for i, context in enumerate(run.contexts):
+            at = context[row].astype(np.int64) * NODES + node
+            x[i] = np.log((np.maximum(yes[at] - hit, 0) + np.float32(0.3)) / (np.maximum(no[at] - ~hit, 0) + np.float32(0.3)))
+            others = seen[context] - 1
+            sure.append((others >= 3).astype(np.int64) + (others >= 40))
+        cell = (sure[1] * 3 + sure[2])[row] * NODES + node
+        z = (flat.take(cell, axis=1) * x).sum(axis=0)
+        if last:
+            bucket = node * _BUCKETS + _bucket(z)
+            sums += [np.bincount(bucket, hit, NODES * _BUCKETS), np.bincount(bucket, minlength=NODES * _BUCKETS)]
+            continue
+        p = _squash(z)
+        err, bend = hit - p, p * (1 - p)
+        sums[:k] += [np.bincount(cell, err * x[i], cells) for i in range(k)]
+        sums[k:] += [np.bincount(cell, bend * x[i] * x[j], cells) for i in range(k) for j in range(i + 1)]
+    return sums
+
+
+def _newton(weights, sums):
+    """Weights after one step; a weak pull to the first ones keeps rare cells in place."""
+    import numpy as np
+
+    k = CONTEXTS + 1
+    bend = np.zeros((9 * NODES, k, k))
+    for n, (i, j) in enumerate((i, j) for i in range(k) for j in range(i + 1)):
+        bend[:, i, j] = bend[:, j, i] = sums[k + n]
+    flat = weights.reshape(k, -1)
+    pull = _first_weights().reshape(k, -1) - flat
+    step = np.linalg.solve(bend + np.eye(k), (sums[:k] + pull).T[:, :, None])[:, :, 0].T
+    return (flat + step).reshape(weights.shape)
+
+
+def _fitted(sum_up) -> dict:
+    """Weights and last map from ``sum_up(weights, last)``."""
+    import numpy as np
+
+    weights = _first_weights()
+    for _ in range(ROUNDS):
+        weights = _newton(weights, sum_up(weights, False))
+    yes, all_ = sum_up(weights, True).reshape(2, NODES, _BUCKETS)
     p = (yes + 20 * _squash(np.linspace(-8, 8, _BUCKETS))) / (all_ + 20)
-    return model | {"weights": weights, "map": np.log(p / (1 - p)).astype(np.float32)}
+    return {"weights": weights.astype(np.float32), "map": np.log(p / (1 - p)).astype(np.float32)}
+
+
+def fit_mixer(texts: list[bytes], model: dict, counts) -> dict:
+    """Weights and map for texts at hand."""
+    return model | _fitted(lambda weights, last: error_sums(texts, model, counts, weights, last))
+
+
+def fit(ready: DataFrame, ranks) -> dict:
+    """Weights and map fitted on some texts of each group; Spark adds the sums of the tasks."""
+    import numpy as np
+
+    shared = ready.sparkSession.sparkContext.broadcast(ranks)
+
+    def sum_up(weights, last):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    texts = [b[:PIECE] for b, t in zip(_bodies(row), row["trains"]) if t][:SAMPLE_DOCUMENTS]
+                    if texts:
+                        table, counts = _contexts(row)
+                        sums = error_sums(texts, {"ranks": shared.value, "table": table}, counts, weights, last).ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["i", "v"])
+
+        size = 2 * NODES * _BUCKETS if last else 14 * 9 * NODES
+        sums = np.zeros(size)
+        for r in ready.select("trains", "sizes", "bodies", "contexts").mapInArrow(work, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            sums[r["i"]] = r["v"]
+        return sums.reshape(2 if last else 14, -1)
+
+    return _fitted(sum_up)
 
 
-def bits_of(parts: list[bytes], model: dict, rate: float = 0.02):
-    """Bits that each piece costs."""
+def bits_of(parts: list[bytes], model: dict, leads: list[tuple] | None = None, states: list | None = None):
+    """Bits that each piece costs by the weights and map in ``states``, or those of the model."""
     import numpy as np
 
-    run = Run(parts, model["ranks"])
-    odds, sure, weights = model["odds"], model["sure"], model["weights"]
-    gate = sure[run.contexts[1]] * np.int8(3) + sure[run.contexts[2]]
-    z = weights[CONTEXTS].take(gate, axis=0)
-    for k, context in enumerate(run.contexts):
-        z += weights[k].take(gate, axis=0) * odds.take(context, axis=0)
-    asked = np.arange(NODES, dtype=np.uint8) <= run.level[:, None]
-    z = z[asked]
-    node = np.broadcast_to(np.arange(NODES, dtype=np.int32), asked.shape)[asked]
-    count = np.minimum(run.level + 1, NODES)
-    ends = np.cumsum(count, dtype=np.int64)
-    bit = np.zeros(len(z), dtype=bool)
-    bit[ends[run.level < NODES] - 1] = True
-    # All weights grow or shrink together as a text goes on: the gain of a step follows the
-    # errors of the steps before it in the same piece.
-    stop = ends[run.ends - 1]
-    start = np.concatenate([[0], stop[:-1]])
-    steps = -(-(stop - start) // _STEP)
-    first = np.cumsum(steps) - steps
-    number = np.arange(steps.sum()) - np.repeat(first, steps)
-    begin = np.repeat(start, steps) + number * _STEP
-    slope = np.add.reduceat((bit - _squash(z)) * z, begin) / _STEP
-    past = np.cumsum(slope) - slope
-    past -= np.repeat(past[first], steps)
-    gain = np.clip(rate * past, -0.3, 0.3).astype(np.float32)
-    z *= np.repeat(1 + gain, np.diff(np.append(begin, len(z))))
-    z = 0.5 * z + 0.5 * model["map"].ravel()[node * _BUCKETS + _bucket(z)]
-    bits = np.add.reduceat(np.log1p(np.exp(np.where(bit, -z, z))), start).astype(np.float64) / np.log(2)
+    run = Run(parts, model["ranks"], leads, model.get("table"))
+    k, cells, places, n = CONTEXTS + 1, 9 * NODES, NODES * _BUCKETS, len(parts)
+    states = [None] * n if states is None else states
+    start = model["weights"].reshape(k, cells), model["map"].ravel()
+    weights = np.concatenate([(s or start)[0] for s in states], axis=1).astype(np.float32)
+    maps = np.concatenate([(s or start)[1] for s in states]).astype(np.float32)
+    # The texts of a run take their steps side by side.
+    part = np.repeat(np.arange(n), run.sizes)
+    step = (np.arange(len(part)) - np.repeat(run.ends - run.sizes, run.sizes)) // STEP
+    order = np.argsort(step, kind="stable")
+    row, node, bit = _decisions(run)
+    count = np.minimum(run.level.astype(np.int64) + 1, NODES)
+    ends = np.cumsum(count)
+    sizes = count[order]
+    stop = np.cumsum(sizes)
+    sort = np.arange(len(row)) + np.repeat((ends - count)[order] - (stop - sizes), sizes)
+    row, node, bit = row[sort], node[sort], bit[sort]
+    sure = model["sure"]
+    gate = sure[run.contexts[1]].astype(np.int64) * 3 + sure[run.contexts[2]]
+    x = np.ones((k, len(row)), dtype=np.float32)
+    odds = model["odds"].ravel()
+    for i, context in enumerate(run.contexts):
+        x[i] = odds.take(context[row].astype(np.int64) * NODES + node)
+    own = part[row]
+    cell = own * cells + gate[row] * NODES + node
+    place = own * places + node * _BUCKETS
+    bounds = [0, *stop[np.searchsorted(step[order], np.arange(1, step.max() + 2)) - 1].tolist()]
+    final = np.empty(len(row), dtype=np.float32)
+    for a, b in zip(bounds, bounds[1:]):
+        c, xs = cell[a:b], x[:, a:b]
+        z = np.clip((weights.take(c, axis=1) * xs).sum(axis=0), -30, 30)
+        m = place[a:b] + _bucket(z)
+        refined = maps.take(m)
+        final[a:b] = 0.5 * z + 0.5 * refined
+    for i in range(n):
+        states[i] = weights[:, i * cells : (i + 1) * cells].copy(), maps[i * places : (i + 1) * places].copy()
+    cost = np.log1p(np.exp(np.where(bit, -final, final).astype(np.float64))) / np.log(2)
+    bits = np.bincount(own, cost, minlength=n)
     rare = np.flatnonzero(run.level == NODES)
     two = run.two[rare].astype(np.int64)
     more = model["left"][two] - model["rest"][two & 255, run.byte[rare]]
-    return bits + np.bincount(np.searchsorted(run.ends, rare, side="right"), more, minlength=len(parts))
+    return bits + np.bincount(part[rare], more, minlength=n)
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCUMENTS) -> dict:
-    """Model from all texts of ``docs``; null texts are empty ones."""
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranks, rest, left = rank_tables(byte_triples(texts))
-    counts = slot_counts(count_blocks(texts, ranks))
-    odds, sure = odds_of(counts)
-    step = max(1, -(-texts.count() // sample))
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select(F.substring("text", 1, PIECE).alias("text")).distinct().orderBy("text").limit(2 * sample)
-    bodies = [b" ".join(words_of(r["text"].encode())) + b"\n" for r in some.collect()]
-    return fit_mixer(bodies, {"ranks": ranks, "rest": rest, "left": left, "odds": odds, "sure": sure}, counts)
+def text_bits(texts: list[bytes], model: dict):
+    """Bits that each text costs; state goes on from piece to piece of a text."""
+    import numpy as np
 
+    bits = np.zeros(len(texts))
+    last, state = None, None
+    for owner, parts, leads in runs(texts):
+        states = [state if i == last else None for i in owner]
+        np.add.at(bits, owner, bits_of(parts, model, leads, states))
+        last, state = owner[-1], states[-1]
+    return bits
 
-_HEAD = "grp long, doc_ids array<long>, n_tokens array<long>, scores array<double>, bits_per_byte array<double>, token_docs binary, token_sizes binary, tokens array<long>, learned array<long>"
 
+_GROUP = "grp long, doc_ids array<long>, n_tokens array<long>, trains array<boolean>, sizes array<long>, bodies binary, token_docs binary, token_sizes binary, tokens array<long>, learned array<long>"
 
-def _groups(texts: DataFrame, model: dict) -> DataFrame:
-    """Scored documents in groups, with the words of each group: hash, learning occurrences,
-    and the document of every occurrence."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(texts: DataFrame) -> DataFrame:
+    """Documents in groups, with the words of each group: hash, learning occurrences, and the
+    document of every occurrence."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
         from pyspark import TaskContext
@@ -359,9 +538,6 @@ def _groups(texts: DataFrame, model: dict) -> DataFrame:
         def out():
             nonlocal group
             bodies = [b" ".join(w[:-1]) + b"\n" for _, w, _ in rows]
-            bits = np.zeros(len(rows))
-            for owner, parts in runs(bodies):
-                np.add.at(bits, owner, bits_of(parts, shared.value))
             number: dict[bytes, int] = {}
             every = [number.setdefault(w, len(number)) for _, words, _ in rows for w in words]
             ids = np.array(every, dtype=np.int64)
@@ -370,14 +546,14 @@ def _groups(texts: DataFrame, model: dict) -> DataFrame:
             learned = np.bincount(ids, train[doc], minlength=len(number)).astype(np.int64)
             order = np.argsort(ids, kind="stable")
             fields = [
-                [group], [[r[0] for r in rows]], [[len(r[1]) for r in rows]], [(-bits * np.log10(2)).tolist()], [(bits / [len(b) for b in bodies]).tolist()],
+                [group], [[r[0] for r in rows]], [[len(r[1]) for r in rows]], [[r[2] for r in rows]], [[len(b) for b in bodies]], [zlib.compress(b"".join(bodies), 1)],
                 [doc[order].astype(np.uint16).tobytes()], [np.bincount(ids, minlength=len(number)).astype(np.uint32).tobytes()],
                 [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), dtype=np.uint64, count=len(number)).view(np.int64)], [learned],
             ]
-            longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
-            types = [pa.int64(), longs, longs, doubles, doubles, pa.binary(), pa.binary(), longs, longs]
+            longs = pa.list_(pa.int64())
+            types = [pa.int64(), longs, longs, pa.list_(pa.bool_()), longs, pa.binary(), pa.binary(), pa.binary(), longs, longs]
             group += 1
-            return pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, types)], [c.split()[0] for c in _HEAD.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, types)], [c.split()[0] for c in _GROUP.split(", ")])
 
         for batch in batches:
             for doc_id, text, train in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("train").to_pylist()):
@@ -389,7 +565,47 @@ def _groups(texts: DataFrame, model: dict) -> DataFrame:
         if rows:
             yield out()
 
-    return texts.mapInArrow(score, _HEAD)
+    return texts.mapInArrow(pack, _GROUP)
+
+
+_HEAD = "head long, doc_ids array<long>, n_tokens array<long>, token_docs binary, token_sizes binary, scores array<double>, bits_per_byte array<double>"
+
+
+def _scored(ready: DataFrame, model: dict) -> DataFrame:
+    shared = ready.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                table, counts = _contexts(row)
+                odds, sure = odds_of(counts)
+                bits = text_bits(_bodies(row), shared.value | {"table": table, "odds": odds, "sure": sure})
+                fields = [[row["grp"]], [row["doc_ids"]], [row["n_tokens"]], [row["token_docs"]], [row["token_sizes"]], [(-bits * np.log10(2)).tolist()], [(bits / row["sizes"]).tolist()]]
+                longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
+                types = [pa.int64(), longs, longs, pa.binary(), pa.binary(), doubles, doubles]
+                yield pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, types)], [c.split()[0] for c in _HEAD.split(", ")])
+
+    return ready.mapInArrow(score, _HEAD)
+
+
+def blocks_for(size: int) -> int:
+    """Blocks of context hashes for so many bytes of text, a power of two."""
+    return 1 << max(0, -(-size // BLOCK_BYTES) - 1).bit_length()
+
+
+def prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """Groups of documents, groups with the counts of their contexts, and tables of bytes."""
+    groups = storage.stored(_groups(rows), "groups")
+    ranks, rest, left = rank_tables(byte_triples(groups))
+    total_bytes = groups.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0))).first()[0]
+    contexts = context_counts(groups, ranks, blocks_for(total_bytes))
+    tasks = max(1, -(-total_bytes // BLOCK_BYTES))
+    found = contexts.repartition(tasks, "grp").groupBy(F.col("grp").alias("own")).agg(F.sort_array(F.collect_list(F.struct("block", "keys", "counts"))).alias("contexts"))
+    bodies = groups.drop("tokens", "learned").repartition(tasks, "grp")
+    ready = storage.stored(bodies.join(found, F.col("grp") == F.col("own")).drop("own"), "ready")
+    return groups, ready, {"ranks": ranks, "rest": rest, "left": left}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -426,12 +642,11 @@ def scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
     are even; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    model = learn(rows.where("train"))
-    groups = storage.stored(_groups(rows, model), "scored")
+    groups, ready, tables = prepared(rows)
+    model = tables | fit(ready, tables["ranks"])
     tokens = groups.select("grp", F.posexplode(F.arrays_zip("tokens", "learned")).alias("pos", "t")).select("grp", "pos", F.col("t.tokens").alias("token"), F.col("t.learned").alias("learned"))
     counts = storage.stored(tokens.where("learned > 0").groupBy("token").agg(F.sum("learned").alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     known = tokens.join(counts, "token", "left").select(F.col("grp").alias("own"), "pos", F.coalesce("c", F.lit(0)).alias("c"))
-    heads = groups.drop("tokens", "learned").withColumnRenamed("grp", "head")
-    done = heads.groupBy("head").cogroup(known.groupBy("own")).applyInArrow(_finisher(total["n"], total["v"]), _RESULT)
+    done = _scored(ready, model).groupBy("head").cogroup(known.groupBy("own")).applyInArrow(_finisher(total["n"], total["v"]), _RESULT)
     return done.withColumn("train_tokens", F.lit(total["n"]).cast("long"))
