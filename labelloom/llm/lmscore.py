@@ -10,8 +10,8 @@ last map from mixed to observed odds.
 
 Counts come from all learning documents, one entry for each different context, told apart by
 60 bits of hash. Texts are kept in groups; each group asks blocks of the hash range, whose
-number grows with the input, for the sums of the contexts it holds. Only weights and map are
-fitted on a bounded sample of each group.
+number grows with the input, for the sums of the contexts it holds. Weights and map are
+fitted on all learning texts in a few rounds.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ RUN_BYTES = 1 << 20
 #: Bytes of a text that are mixed together.
 STEP = 64
 _BUCKETS = 33
-#: Texts of a group that the mixing weights are fitted on, at most.
-SAMPLE_DOCUMENTS = 150
 #: Rounds of Newton's method for the weights.
 ROUNDS = 2
 #: Bytes of text for one block of the range of context hashes.
@@ -434,7 +432,7 @@ def fit_mixer(texts: list[bytes], model: dict, counts) -> dict:
 
 
 def fit(ready: DataFrame, ranks) -> dict:
-    """Weights and map fitted on some texts of each group; Spark adds the sums of the tasks."""
+    """Weights and map fitted on all learning texts; Spark adds the sums of the tasks."""
     import numpy as np
 
     shared = ready.sparkSession.sparkContext.broadcast(ranks)
@@ -443,7 +441,7 @@ def fit(ready: DataFrame, ranks) -> dict:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    texts = [b[:PIECE] for b, t in zip(_bodies(row), row["trains"]) if t][:SAMPLE_DOCUMENTS]
+                    texts = [b for b, t in zip(_bodies(row), row["trains"]) if t]
                     if texts:
                         table, counts = _contexts(row)
                         sums = error_sums(texts, {"ranks": shared.value, "table": table}, counts, weights, last).ravel()

@@ -5,9 +5,10 @@ import string
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from labelloom.llm import lmscore
-from tests.llm.data import text
+from tests.llm.data import LONG, text
 
 
 def table(spark, texts, parts=3):
@@ -62,3 +63,22 @@ def test_blocks_and_groups_do_not_change_the_counts(spark, monkeypatch):
     one = sums()
     monkeypatch.setattr(lmscore, "BLOCK_BYTES", 1 << 12)
     assert sums() == one
+
+
+def test_weights_are_fitted_on_all_learning_texts(spark):
+    texts = [LONG + " " + "qz" * 40_000] + [text(i, 30) for i in range(400)]
+    rows = table(spark, texts).withColumn("train", F.lit(True))
+    _, ready, tables = lmscore.prepared(rows)
+    found = lmscore.fit(ready, tables["ranks"])
+    bodies = [t.encode() + b"\n" for t in texts]
+    keys = np.unique(np.concatenate([h for _, p, at in lmscore.runs(bodies) for h in lmscore.Run(p, tables["ranks"], at).hashes]) >> np.uint64(4))
+    model = tables | {"table": lmscore.Table(keys)}
+    counts = np.zeros((len(keys), 8), dtype=np.float32)
+    for _, p, at in lmscore.runs(bodies):
+        run = lmscore.Run(p, tables["ranks"], at, model["table"])
+        for context in run.contexts:
+            np.add.at(counts, (context, run.level), 1)
+    want = lmscore.fit_mixer(bodies, model, counts)
+    assert np.allclose(found["weights"], want["weights"], atol=1e-3) and np.allclose(found["map"], want["map"], atol=1e-3)
+    part = lmscore.fit_mixer([b[: lmscore.PIECE] for b in bodies[:300]], model, counts)
+    assert not np.allclose(found["map"], part["map"], atol=1e-3)
