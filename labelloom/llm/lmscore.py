@@ -6,7 +6,8 @@ it the next, and so on for ``NODES`` decisions; what is rarer still is told at o
 share after the byte before. Every decision is predicted from several contexts (three
 and five bytes, and the word so far). The predictions are mixed in the logistic domain by
 weights that a gate selects (decision and confidence of the longer contexts) and refined by a
-last map from mixed to observed odds.
+last map from mixed to observed odds. Weights and map start from those of the learning texts
+and follow the errors on each text, block by block of ``STEP`` bytes, over its whole length.
 
 Counts come from all learning documents, one entry for each different context, told apart by
 60 bits of hash. Texts are kept in groups; each group asks blocks of the hash range, whose
@@ -33,7 +34,7 @@ SLOT_BITS = 22
 #: Bytes worked on at once; longer texts are cut at a blank, and carry their state on.
 PIECE = 1 << 16
 RUN_BYTES = 1 << 20
-#: Bytes of a text that are mixed together.
+#: Bytes of a text between adaptations.
 STEP = 64
 _BUCKETS = 33
 #: Rounds of Newton's method for the weights.
@@ -209,7 +210,7 @@ def byte_triples(groups: DataFrame) -> DataFrame:
 
 
 def _bodies(row: dict) -> list[bytes]:
-    data, at, out = zlib.decompress(row["bodies"]), 0, []
+    data, at, out = pa.decompress(row["bodies"], sum(row["sizes"]), "zstd", asbytes=True), 0, []
     for size in row["sizes"]:
         out.append(data[at : at + size])
         at += size
@@ -260,7 +261,7 @@ def context_counts(groups: DataFrame, ranks, blocks: int) -> DataFrame:
     names, types = ["grp", "block", "keys", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def found(grp, block, keys, counts):
-        return [grp, block, keys.tobytes(), zlib.compress(counts.astype("uint32").T.tobytes(), 1)]
+        return [grp, block, _packed(keys), zlib.compress(counts.astype("uint32").T.tobytes(), 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -291,7 +292,7 @@ def context_counts(groups: DataFrame, ranks, blocks: int) -> DataFrame:
         import numpy as np
 
         rows = part.to_pylist()
-        keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+        keys = [_unpacked(r["keys"]) for r in rows]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros((len(every), NODES + 1), dtype=np.int64)
         ends = np.cumsum([len(k) for k in keys])
@@ -304,6 +305,22 @@ def context_counts(groups: DataFrame, ranks, blocks: int) -> DataFrame:
     return groups.select("grp", "trains", "sizes", "bodies").mapInArrow(count, schema).groupBy("block").applyInArrow(total, schema)
 
 
+def _packed(keys) -> bytes:
+    """Ascending hashes as the bytes of their steps, one place after the other."""
+    import numpy as np
+
+    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return len(keys).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(steps.T), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes):
+    import numpy as np
+
+    n = int.from_bytes(data[:4], "little")
+    steps = np.frombuffer(pa.decompress(data[4:], 8 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _counts(data: bytes):
     import numpy as np
 
@@ -314,7 +331,7 @@ def _contexts(row: dict):
     """Table and counts (eight a context) of the contexts of a group."""
     import numpy as np
 
-    keys = np.concatenate([np.frombuffer(c["keys"], dtype=np.uint64) for c in row["contexts"]])
+    keys = np.concatenate([_unpacked(c["keys"]) for c in row["contexts"]])
     counts = np.zeros((len(keys), 8), dtype=np.float32)
     at = 0
     for c in row["contexts"]:
@@ -380,11 +397,12 @@ def error_sums(texts: list[bytes], model: dict, counts, weights, last: bool):
     for _, parts, leads in runs(texts):
         run = Run(parts, model["ranks"], leads, model.get("table"))
         row, node, hit = _decisions(run)
+        hit = hit.astype(np.float32)
         x = np.ones((k, len(row)), dtype=np.float32)
         sure = []
         for i, context in enumerate(run.contexts):
             at = context[row].astype(np.int64) * NODES + node
-            x[i] = np.log((np.maximum(yes[at] - hit, 0) + np.float32(0.3)) / (np.maximum(no[at] - ~hit, 0) + np.float32(0.3)))
+            x[i] = np.log((np.maximum(yes[at] - hit, 0) + np.float32(0.3)) / (np.maximum(no[at] - (1 - hit), 0) + np.float32(0.3)))
             others = seen[context] - 1
             sure.append((others >= 3).astype(np.int64) + (others >= 40))
         cell = (sure[1] * 3 + sure[2])[row] * NODES + node
@@ -456,8 +474,10 @@ def fit(ready: DataFrame, ranks) -> dict:
     return _fitted(sum_up)
 
 
-def bits_of(parts: list[bytes], model: dict, leads: list[tuple] | None = None, states: list | None = None):
-    """Bits that each piece costs by the weights and map in ``states``, or those of the model."""
+def bits_of(parts: list[bytes], model: dict, leads: list[tuple] | None = None, states: list | None = None, rate: float = 0.002, map_rate: float = 0.02):
+    """Bits that each piece costs. Weights and map of each piece start from ``states``, or from
+    the model where that is None, and follow the errors after every STEP bytes; the states
+    that they end in replace those in ``states``."""
     import numpy as np
 
     run = Run(parts, model["ranks"], leads, model.get("table"))
@@ -488,12 +508,17 @@ def bits_of(parts: list[bytes], model: dict, leads: list[tuple] | None = None, s
     place = own * places + node * _BUCKETS
     bounds = [0, *stop[np.searchsorted(step[order], np.arange(1, step.max() + 2)) - 1].tolist()]
     final = np.empty(len(row), dtype=np.float32)
+    hit = bit.astype(np.float32)
     for a, b in zip(bounds, bounds[1:]):
-        c, xs = cell[a:b], x[:, a:b]
+        c, xs, h = cell[a:b], x[:, a:b], hit[a:b]
         z = np.clip((weights.take(c, axis=1) * xs).sum(axis=0), -30, 30)
         m = place[a:b] + _bucket(z)
         refined = maps.take(m)
         final[a:b] = 0.5 * z + 0.5 * refined
+        err = (h - _squash(z)) * np.float32(rate)
+        for i in range(k):
+            np.add.at(weights[i], c, err * xs[i])
+        np.add.at(maps, m, (h - _squash(refined)) * np.float32(map_rate))
     for i in range(n):
         states[i] = weights[:, i * cells : (i + 1) * cells].copy(), maps[i * places : (i + 1) * places].copy()
     cost = np.log1p(np.exp(np.where(bit, -final, final).astype(np.float64))) / np.log(2)
@@ -544,7 +569,7 @@ def _groups(texts: DataFrame) -> DataFrame:
             learned = np.bincount(ids, train[doc], minlength=len(number)).astype(np.int64)
             order = np.argsort(ids, kind="stable")
             fields = [
-                [group], [[r[0] for r in rows]], [[len(r[1]) for r in rows]], [[r[2] for r in rows]], [[len(b) for b in bodies]], [zlib.compress(b"".join(bodies), 1)],
+                [group], [[r[0] for r in rows]], [[len(r[1]) for r in rows]], [[r[2] for r in rows]], [[len(b) for b in bodies]], [pa.compress(b"".join(bodies), "zstd", asbytes=True)],
                 [doc[order].astype(np.uint16).tobytes()], [np.bincount(ids, minlength=len(number)).astype(np.uint32).tobytes()],
                 [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), dtype=np.uint64, count=len(number)).view(np.int64)], [learned],
             ]
@@ -566,7 +591,7 @@ def _groups(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(pack, _GROUP)
 
 
-_HEAD = "head long, doc_ids array<long>, n_tokens array<long>, token_docs binary, token_sizes binary, scores array<double>, bits_per_byte array<double>"
+_HEAD = "head long, scores array<double>, bits_per_byte array<double>"
 
 
 def _scored(ready: DataFrame, model: dict) -> DataFrame:
@@ -580,9 +605,8 @@ def _scored(ready: DataFrame, model: dict) -> DataFrame:
                 table, counts = _contexts(row)
                 odds, sure = odds_of(counts)
                 bits = text_bits(_bodies(row), shared.value | {"table": table, "odds": odds, "sure": sure})
-                fields = [[row["grp"]], [row["doc_ids"]], [row["n_tokens"]], [row["token_docs"]], [row["token_sizes"]], [(-bits * np.log10(2)).tolist()], [(bits / row["sizes"]).tolist()]]
-                longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
-                types = [pa.int64(), longs, longs, pa.binary(), pa.binary(), doubles, doubles]
+                fields = [[row["grp"]], [(-bits * np.log10(2)).tolist()], [(bits / row["sizes"]).tolist()]]
+                types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, types)], [c.split()[0] for c in _HEAD.split(", ")])
 
     return ready.mapInArrow(score, _HEAD)
@@ -601,7 +625,7 @@ def prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     contexts = context_counts(groups, ranks, blocks_for(total_bytes))
     tasks = max(1, -(-total_bytes // BLOCK_BYTES))
     found = contexts.repartition(tasks, "grp").groupBy(F.col("grp").alias("own")).agg(F.sort_array(F.collect_list(F.struct("block", "keys", "counts"))).alias("contexts"))
-    bodies = groups.drop("tokens", "learned").repartition(tasks, "grp")
+    bodies = groups.select("grp", "trains", "sizes", "bodies").repartition(tasks, "grp")
     ready = storage.stored(bodies.join(found, F.col("grp") == F.col("own")).drop("own"), "ready")
     return groups, ready, {"ranks": ranks, "rest": rest, "left": left}
 
@@ -646,5 +670,7 @@ def scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
     counts = storage.stored(tokens.where("learned > 0").groupBy("token").agg(F.sum("learned").alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     known = tokens.join(counts, "token", "left").select(F.col("grp").alias("own"), "pos", F.coalesce("c", F.lit(0)).alias("c"))
-    done = _scored(ready, model).groupBy("head").cogroup(known.groupBy("own")).applyInArrow(_finisher(total["n"], total["v"]), _RESULT)
+    scored = storage.stored(_scored(ready, model), "scored")
+    heads = groups.drop("trains", "sizes", "bodies", "tokens", "learned").join(scored, F.col("grp") == F.col("head"))
+    done = heads.groupBy("head").cogroup(known.groupBy("own")).applyInArrow(_finisher(total["n"], total["v"]), _RESULT)
     return done.withColumn("train_tokens", F.lit(total["n"]).cast("long"))

@@ -82,3 +82,46 @@ def test_weights_are_fitted_on_all_learning_texts(spark):
     assert np.allclose(found["weights"], want["weights"], atol=1e-3) and np.allclose(found["map"], want["map"], atol=1e-3)
     part = lmscore.fit_mixer([b[: lmscore.PIECE] for b in bodies[:300]], model, counts)
     assert not np.allclose(found["map"], part["map"], atol=1e-3)
+
+
+def model_of(bodies):
+    run = lmscore.Run(bodies)
+    n = Counter(zip(run.two.tolist(), run.byte.tolist()))
+
+    class Found:
+        def toArrow(self):
+            import pyarrow as pa
+
+            return pa.table({"two": [t for t, _ in n], "byte": [b for _, b in n], "n": list(n.values())})
+
+    ranks, rest, left = lmscore.rank_tables(Found())
+    run = lmscore.Run(bodies, ranks)
+    counts = np.zeros((1 << lmscore.SLOT_BITS - 3, 8), dtype=np.float32)
+    for context in run.contexts:
+        np.add.at(counts, (context, run.level), 1)
+    odds, sure = lmscore.odds_of(counts)
+    return lmscore.fit_mixer(bodies, {"ranks": ranks, "rest": rest, "left": left, "odds": odds, "sure": sure}, counts)
+
+
+def test_short_texts_adapt_too():
+    model = model_of([text(i, 60).encode() + b"\n" for i in range(20)])
+    body = b"theta zeta eta iota " * 12
+    assert len(body) * lmscore.NODES < 2 * 1024
+    states = [None]
+    adapted = lmscore.bits_of([body], model, states=states)[0]
+    fixed = lmscore.bits_of([body], model, rate=0.0, map_rate=0.0)[0]
+    assert adapted != fixed and not np.array_equal(states[0][0], model["weights"].reshape(4, -1))
+    first = lmscore.bits_of([body[: lmscore.STEP]], model)[0]
+    assert np.isclose(first, lmscore.bits_of([body[: lmscore.STEP]], model, rate=0.0, map_rate=0.0)[0])
+
+
+def test_pieces_go_on_where_the_last_one_ended(monkeypatch):
+    model = model_of([text(i, 60).encode() + b"\n" for i in range(20)])
+    body = (text(3, 60) + " " + "nospace" * 90 + " " + text(4, 60)).encode() + b"\n"
+    whole = lmscore.Run([body], model["ranks"]).hashes
+    bits = lmscore.text_bits([body, body], model)
+    monkeypatch.setattr(lmscore, "PIECE", lmscore.STEP)
+    cut = [lmscore.Run(p, model["ranks"], leads) for _, p, leads in lmscore.runs([body])]
+    assert len(cut) > 10
+    assert all(np.array_equal(np.concatenate([r.hashes[k] for r in cut]), whole[k]) for k in range(3))
+    assert bits[0] == bits[1] and np.allclose(lmscore.text_bits([body, body], model), bits, rtol=0.02)
