@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontam, langid, licensescan, linededup, lmscore, neardup, packing, pii, quality, storage, warc
+from labelloom.llm import bpe, decontam, langid, licensescan, linededup, lmscore, neardup, packing, pii, quality, spelling, storage, veccode, warc
+from labelloom.session import SETTINGS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,8 +79,55 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def _with_settings(query: Query) -> Query:
+    """``query`` run under the library's session settings."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
+        return query(spark, sf_dir)
+
+    return run
+
+
+@_with_settings
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the texts they decode to."""
+    definition = _tokenizer("byte_bpe_50k.json")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.decode(bpe.encode(docs, definition), definition)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_with_settings
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings with their errors."""
+    coded, codebooks = veccode.compress(_read(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(codebooks.digest).alias("codebooks_sha256"))
+
+
+@_with_settings
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of the documents."""
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def _tokenizer(name: str) -> bytes:
+    """Content of a public vocabulary file, read where the query is planned."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
 def queries() -> dict[str, Query]:
-    plans = (op1_decontaminate, op2_near_duplicates, op3_line_dedup, op4_language, op5_pack, op6_quality, op7_license_scan, op8_lm_scores, op9_warc, op10_personal_data)
+    plans = (
+        op1_decontaminate, op2_near_duplicates, op3_line_dedup, op4_language, op5_pack, op6_quality, op7_license_scan, op8_lm_scores, op9_warc,
+        op10_personal_data, op11_bpe, op12_vector_codes, op13_spelling,
+    )
     return {plan.__name__: plan for plan in plans}
 
 
