@@ -28,6 +28,8 @@ ROUNDS = 4
 SCALE = 1024
 #: Rows searched at a time, so that a batch's arrays stay small.
 CHUNK = 8192
+#: Points that search together, and entries they look at in a step outward.
+GROUP, BLOCK = 512, 16
 
 
 @dataclass
@@ -53,38 +55,54 @@ def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
 def nearest(points, entries):
     """Index of the nearest entry of each point and the squared distance.
 
-    Ties go to the lower index. Both are arrays of whole numbers, of a float type where all
-    squares stay exact and of Python integers otherwise.
+    Points go together in groups of adjacent sums. A group looks at the entries between its
+    sums, and then at blocks of entries further out on each side, as long as some point's
+    bound allows it; only such points look at a block. Ties go to the lower index. Both are
+    arrays of whole numbers, of a float type where all squares stay exact and of Python
+    integers otherwise.
     """
     import numpy as np
 
-    size, width = len(points), points.shape[1]
-    sums = entries.sum(axis=1)
-    order = np.argsort(sums, kind="stable")
-    sorted_sums, sorted_entries, number = sums[order], entries[order], order.astype(np.int64)
+    size, width, many = len(points), points.shape[1], len(entries)
+    order = np.argsort(entries.sum(axis=1), kind="stable")
+    sorted_entries = entries[order]
+    sums, squares = sorted_entries.sum(axis=1), (sorted_entries * sorted_entries).sum(axis=1)
     own = points.sum(axis=1)
-    middle = np.searchsorted(sorted_sums, own)
-    best = np.full(size, -1, dtype=points.dtype)  # -1: none met
-    index = np.full(size, len(entries), dtype=np.int64)
-    # rows that still look upward, and downward, from their place
-    sides = [[np.arange(size), middle, 1], [np.arange(size), middle - 1, -1]]
-    while sides[0][0].size or sides[1][0].size:
-        for side in sides:
-            rows, at, step = side
-            inside = (at >= 0) & (at < len(entries))
-            rows, at = rows[inside], at[inside]
-            gap = sorted_sums[at] - own[rows]
-            known = best[rows]
-            near = ((known < 0) | (gap * gap <= known * width)).astype(bool)
-            rows, at = rows[near], at[near]
-            if rows.size:
-                apart = points[rows] - sorted_entries[at]
-                distance = np.einsum("ij,ij->i", apart, apart) if apart.dtype != object else (apart * apart).sum(axis=1)
-                known, candidate = best[rows], number[at]
-                better = ((known < 0) | (distance < known) | ((distance == known) & (candidate < index[rows]))).astype(bool)
-                best[rows[better]] = distance[better]
-                index[rows[better]] = candidate[better]
-            side[0], side[1] = rows, at + step
+    by_sum = np.argsort(own, kind="stable")
+    best, index = np.empty(size, dtype=points.dtype), np.empty(size, dtype=np.int64)
+
+    for start in range(0, size, GROUP):
+        rows = by_sum[start : start + GROUP]
+        part, mean = points[rows], own[rows]
+        base = (part * part).sum(axis=1)
+        near, number = np.full(len(rows), -1, dtype=points.dtype), np.full(len(rows), many, dtype=np.int64)
+
+        def look(which, lo, hi, part=part, base=base, near=near, number=number):
+            distance = base[which, None] + squares[lo:hi] - 2 * (part[which] @ sorted_entries[lo:hi].T)
+            least = distance.min(axis=1)
+            first = np.where((distance == least[:, None]).astype(bool), order[lo:hi], many).min(axis=1)
+            known = near[which]
+            better = ((known < 0) | (least < known) | ((least == known) & (first < number[which]))).astype(bool)
+            near[which[better]], number[which[better]] = least[better], first[better]
+
+        low, high = (int(np.searchsorted(sums, mean[k])) for k in (0, -1))
+        low, high = min(low, many - 1), max(high, min(low, many - 1) + 1)
+        look(np.arange(len(rows)), low, high)
+        up = down = True
+        while up or down:
+            if up and (up := high < many):
+                gap = sums[high] - mean
+                which = np.flatnonzero((gap * gap <= near * width).astype(bool))
+                if up := bool(which.size):
+                    look(which, high, min(high + BLOCK, many))
+                    high += BLOCK
+            if down and (down := low > 0):
+                gap = mean - sums[low - 1]
+                which = np.flatnonzero((gap * gap <= near * width).astype(bool))
+                if down := bool(which.size):
+                    look(which, max(low - BLOCK, 0), low)
+                    low -= BLOCK
+        best[rows], index[rows] = near, number
     return index, best
 
 
