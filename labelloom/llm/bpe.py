@@ -13,8 +13,10 @@ from __future__ import annotations
 import gc
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.words import as_bytes
 
+if TYPE_CHECKING:
+    import numpy as np
+
 # The characters that Unicode 17 and later versions made letters or numbers. The
 # vocabulary's own library follows Unicode 16 and takes them as neither.
 LATER_LETTERS = (
@@ -39,8 +44,10 @@ LATER_NUMBERS = r"\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550
 #: Entries kept of the pieces and pairs met lately, so a worker's memory does not grow with
 #: its texts.
 REMEMBERED = 1 << 18
-#: Longer pieces are worked out each time.
-LONG_PIECE = 64
+#: Pairs of tokens are kept in a table of two to the power of this many places.
+FIT_BITS = 20
+#: Pieces worked out together, and characters of one that still goes with the others.
+PIECES, LONG_PIECE = 1 << 15, 64
 #: Characters of texts encoded together.
 GROUP_CHARS = 1 << 22
 
@@ -72,6 +79,45 @@ def _plain_class(kind: str) -> str:
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(first, last, strict=True))
 
 
+class _Table:
+    """Whole numbers by whole numbers of at least 0, looked up many at a time."""
+
+    def __init__(self, bits: int):
+        import numpy as np
+
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+
+    def _slots(self, keys):
+        import numpy as np
+
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys):
+        """Value of each key, -1 where there is none."""
+        import numpy as np
+
+        at = self._slots(keys)
+        held = self.keys[at]
+        found = np.where(held == keys, self.values[at], -1)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while open_.size:
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[open_]]
+            same = held == keys[open_]
+            found[open_[same]] = self.values[at[open_[same]]]
+            open_ = open_[~same & (held >= 0)]
+        return found
+
+    def put(self, keys, values) -> None:
+        """Add keys that are not there yet, each once."""
+        for key, slot, value in zip(keys.tolist(), self._slots(keys).tolist(), values, strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.values[slot] = key, value
+        self.size += len(keys)
+
+
 class Coder:
     """Encoder and decoder for one vocabulary file of byte-level merges."""
 
@@ -105,7 +151,7 @@ class Coder:
                 raise ValueError("each token needs one merge, after those of its parts")
             self.born[new], self.first[new], self.second[new] = rank, left, right
             self.rank[left * size + right] = rank
-        self.fit: dict[int, bool] = {}
+        self.fit = _Table(FIT_BITS)
         # Tokens whose own bytes the merges join to something else never occur.
         for new in sorted((i for i in range(size) if self.born[i] >= 0), key=self.born.__getitem__):
             whole[new] = whole[self.first[new]] and whole[self.second[new]] and self._no_merge_across(self.first[new], self.second[new], self.born[new])
@@ -157,7 +203,13 @@ class Coder:
                 if token_at[state] >= 0:
                     self.shorter[token_at[state]] = longest[state]
                     longest[state] = token_at[state]
+        import numpy as np
+
         self.step, self.link, self.longest = step, link, longest
+        self.steps = _Table(max(len(step), 2).bit_length() + 1)
+        self.steps.put(np.fromiter(step.keys(), dtype=np.int64, count=len(step)), list(step.values()))
+        self.lengths = np.array([len(c) for c in self.content], dtype=np.int64)
+        self.arrays = [np.array(x, dtype=np.int64) for x in (link, longest, self.shorter)]
 
     def _no_merge_across(self, left: int, right: int, end: int) -> bool:
         """If no merge with rank below ``end`` joins two parts across the border.
@@ -180,58 +232,109 @@ class Coder:
             else:
                 x_used, x = born[x], self.second[x]
 
-    def fits(self, left: int, right: int) -> bool:
-        """If the two tokens may stand side by side."""
-        if len(self.fit) >= REMEMBERED:
-            self.fit.clear()
-        known = self.fit[left * self.size + right] = self._no_merge_across(left, right, _NEVER)
-        return known
-
-    def encode_pieces(self, pieces: Iterable[bytes]) -> Iterator[tuple[int, ...]]:
-        """Ids of pieces that no split cuts.
+    def _fits(self, left, right):
+        """For each two tokens, if they may stand side by side."""
+        import numpy as np
 
-        The last tokens of the prefixes that a piece shares with the one before are kept, so
-        sorted pieces cost little more than their differing ends.
+        keys = left * self.size + right
+        found = self.fit.get(keys)
+        new = np.unique(keys[found < 0])
+        if new.size:
+            if self.fit.size + new.size > REMEMBERED:
+                self.fit = _Table(FIT_BITS)
+            answers = [self._no_merge_across(*divmod(key, self.size), _NEVER) for key in new.tolist()]
+            kept = new[:REMEMBERED]
+            self.fit.put(kept, answers[: kept.size])
+            there = np.searchsorted(new, keys[found < 0])
+            found[found < 0] = np.array(answers, dtype=np.int32)[there]
+        return found > 0
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of sorted different pieces that no split cuts, none of them empty.
+
+        All pieces go forward together, a byte at a time. A prefix that several share is
+        worked out for the first of them, which lies next to the others.
         """
+        import numpy as np
+
+        link, longest, shorter = self.arrays
+        count, lengths = len(pieces), np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        longest_piece = int(lengths.max())
+        padded = np.frombuffer(b"".join(p.ljust(longest_piece, b"\0") for p in pieces), dtype=np.uint8).reshape(count, longest_piece)
+        shared = np.zeros(count, dtype=np.int64)
+        differs = padded[1:] != padded[:-1]
+        shared[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), longest_piece)
+        shared[1:] = np.minimum(shared[1:], np.minimum(lengths[1:], lengths[:-1]))
+        numbers = np.arange(count)
+        last = np.full((longest_piece + 1, count), -1, dtype=np.int32)  # last token of each prefix
+        state, owner = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
+        for end in range(1, longest_piece + 1):
+            first = (shared < end) & (lengths >= end)
+            own = np.flatnonzero(first)
+            at, byte = state[owner[own]], padded[own, end - 1].astype(np.int64)
+            following = self.steps.get(at << 8 | byte)
+            lost = np.flatnonzero(following < 0)
+            while lost.size:
+                at[lost] = link[at[lost]]
+                following[lost] = self.steps.get(at[lost] << 8 | byte[lost])
+                lost = lost[following[lost] < 0]
+            # The tokens that end here, longest first: exactly one of them fits.
+            token = longest[following]
+            start = end - self.lengths[token]
+            asked = np.flatnonzero(start > 0)
+            while asked.size:
+                asked = asked[~self._fits(last[start[asked], own[asked]].astype(np.int64), token[asked])]
+                token[asked] = shorter[token[asked]]
+                start[asked] = end - self.lengths[token[asked]]
+                asked = asked[start[asked] > 0]
+            owner = np.maximum.accumulate(np.where(first, numbers, 0))
+            state = np.zeros(count, dtype=np.int64)
+            state[own] = following
+            tokens = np.full(count, -1, dtype=np.int32)
+            tokens[own] = token
+            last[end] = tokens[owner]
+        # Back from the ends of the pieces, one token of each at a time.
+        at, who, steps = lengths.copy(), numbers, []
+        while who.size:
+            token = last[at[who], who]
+            steps.append((who, token))
+            at[who] -= self.lengths[token]
+            who = who[at[who] > 0]
+        many = np.zeros(count, dtype=np.int64)
+        for who, _ in steps:
+            many[who] += 1
+        ends = np.cumsum(many)
+        ids = np.empty(int(ends[-1]), dtype=np.int32)
+        for k, (who, token) in enumerate(steps):
+            ids[ends[who] - 1 - k] = token
+        listed, borders = ids.tolist(), [0, *ends.tolist()]
+        return [tuple(listed[a:b]) for a, b in zip(borders, borders[1:])]  # noqa: B905 - neighbours
+
+    def encode_long(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of one piece of any length, by the same steps."""
         step, link, longest, shorter, length = self.step, self.link, self.longest, self.shorter, self.length
-        size, known, fits = self.size, self.fit, self.fits
-        before, last, states = b"", [-1], [0]
-        for piece in pieces:
-            single = self.whole.get(piece)
-            if single is not None:
-                yield (single,)
-                continue
-            at = 0
-            for x, y in zip(piece, before):  # noqa: B905 - up to the end of the shorter one
-                if x != y:
+        last, state = array("i", [-1]), 0
+        known: dict[tuple[int, int], bool] = {}
+        for end, byte in enumerate(piece, 1):
+            while state << 8 | byte not in step:
+                state = link[state]
+            state = step[state << 8 | byte]
+            token = longest[state]
+            while (start := end - length[token]) > 0:
+                pair = last[start], token
+                if pair not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[pair] = self._no_merge_across(*pair, _NEVER)
+                if known[pair]:
                     break
-                at += 1
-            del last[at + 1 :], states[at + 1 :]
-            before, state = piece, states[at]
-            for end in range(at + 1, len(piece) + 1):
-                byte = piece[end - 1]
-                following = step.get(state << 8 | byte)
-                while following is None:
-                    state = link[state]
-                    following = step.get(state << 8 | byte)
-                state = following
-                # The tokens that end here, longest first: exactly one of them fits.
-                token = longest[state]
-                start = end - length[token]
-                while start:
-                    previous = last[start]
-                    fit = known.get(previous * size + token)
-                    if fits(previous, token) if fit is None else fit:
-                        break
-                    token = shorter[token]
-                    start = end - length[token]
-                last.append(token)
-                states.append(state)
-            found, at = [], len(piece)
-            while at:
-                found.append(last[at])
-                at -= length[last[at]]
-            yield tuple(found[::-1])
+                token = shorter[token]
+            last.append(token)
+        found, at = [], len(piece)
+        while at:
+            found.append(last[at])
+            at -= length[last[at]]
+        return tuple(found[::-1])
 
     def _split(self, text: str) -> list[str]:
         pattern = self.strict if not text.isascii() and max(text) >= LATER_LETTERS[0] else self.pattern
@@ -239,24 +342,26 @@ class Coder:
 
     def _table(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each piece."""
-        table, missing = {}, []
-        for piece in pieces:
-            ids = self.pieces.get(piece) or self.older_pieces.get(piece)
-            if ids is None:
-                missing.append(piece)
-            else:
-                table[piece] = ids
+        known, older = self.pieces.get, self.older_pieces.get
+        table = {piece: ids for piece in pieces if (ids := known(piece) or older(piece))}
+        missing = list(pieces - table.keys())
         missing.sort()
-        for piece, ids in zip(missing, self.encode_pieces(p.encode() for p in missing), strict=True):
-            table[piece] = ids
-            if len(piece) <= LONG_PIECE:
+        short = [p.encode() for p in missing if len(p) <= LONG_PIECE]
+        for start in range(0, len(short), PIECES):
+            part = short[start : start + PIECES]
+            for piece, ids in zip(part, self.encode_pieces(part), strict=True):
+                text = piece.decode()
+                table[text] = ids
                 if len(self.pieces) >= REMEMBERED:
                     self.older_pieces, self.pieces = self.pieces, {}
-                self.pieces[piece] = ids
+                self.pieces[text] = ids
+        for piece in missing:
+            if len(piece) > LONG_PIECE:
+                table[piece] = self.encode_long(piece.encode())
         return table
 
-    def encode_many(self, texts: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of texts; strings of added tokens become those tokens.
+    def encode_many(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of texts as arrays; strings of added tokens become those tokens.
 
         Texts are taken in groups of bounded size, so that each different piece of a group
         is looked up once.
@@ -275,16 +380,25 @@ class Coder:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list]) -> Iterator[list[int]]:
+    def _group(self, group: list[list]) -> Iterator[np.ndarray]:
+        import numpy as np
+
         distinct = set().union(*group)
         added = {p for p in distinct if isinstance(p, tuple)}
         table = self._table(distinct - added) | {p: (self.added[p[0]],) for p in added}
+        number = dict(zip(table, range(len(table)), strict=True))
+        counts = np.fromiter(map(len, table.values()), dtype=np.int64, count=len(table))
+        ids = np.fromiter(chain.from_iterable(table.values()), dtype=np.int32, count=int(counts.sum()))
+        begins = np.cumsum(counts) - counts
         for pieces in group:
-            yield list(chain.from_iterable(map(table.__getitem__, pieces)))
+            which = np.fromiter(map(number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            many = counts[which]
+            ends = np.cumsum(many)
+            yield ids[np.repeat(begins[which] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text."""
-        return next(self.encode_many([text]))
+        return next(self.encode_many([text])).tolist()
 
     def decode(self, ids) -> str:
         """Text of ids; ids outside the vocabulary are passed over, bytes that are no UTF-8 become U+FFFD."""
@@ -316,7 +430,7 @@ def token_ids(spark: SparkSession, text: Column, definition: bytes) -> Column:
         gc.disable()  # nothing here makes cycles, and walking the tables again and again takes time
         try:
             for ids in coder.encode_many((value or b"").decode("utf-8", "replace") for value in as_bytes(column)):
-                parts.append(np.array(ids, dtype=np.int32))
+                parts.append(ids)
                 ends.append(ends[-1] + len(ids))
         finally:
             gc.enable()

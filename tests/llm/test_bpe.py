@@ -42,9 +42,10 @@ def texts(count, seed=5):
 
 
 def test_equals_the_library(coder, library):
-    for text in texts(3000):
+    given = list(texts(3000))
+    for text, found in zip(given, coder.encode_many(given), strict=True):
         ids = library.encode(text, add_special_tokens=False).ids
-        assert coder.encode(text) == ids
+        assert found.tolist() == ids
         assert coder.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
@@ -89,9 +90,11 @@ def test_equals_plain_merging_of_made_up_vocabularies():
         parts["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         coder = bpe.Coder(json.dumps(parts).encode())
         ranks = {(a, b): k for k, (a, b) in enumerate(merges)}
-        for _ in range(200):
-            piece = "".join(pick.choice("abc") for _ in range(pick.randint(1, 14)))
-            assert coder.encode(piece) == merged(piece, vocabulary, ranks), (merges, piece)
+        pieces = ["".join(pick.choice("abc") for _ in range(pick.randint(1, 14))) for _ in range(200)]
+        for piece, found in zip(pieces, coder.encode_many(pieces), strict=True):
+            expected = merged(piece, vocabulary, ranks)
+            assert found.tolist() == expected, (merges, piece)
+            assert list(coder.encode_long(piece.encode())) == expected
 
 
 def test_table_of_edges(spark, definition, coder):
@@ -106,6 +109,15 @@ def test_table_of_edges(spark, definition, coder):
     assert bpe.decode(bpe.encode(edge(spark, []), definition), definition).collect() == []
 
 
+def test_memory_of_pieces_and_pairs_may_be_short(definition, coder, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "PIECES", 7)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 200)
+    given = list(texts(150, 8))
+    short = bpe.Coder(definition)
+    assert [x.tolist() for x in short.encode_many(given)] == [coder.encode(t) for t in given]
+
+
 def test_other_files_are_refused(definition):
     parts = json.loads(definition)
     parts["pre_tokenizer"]["add_prefix_space"] = True
