@@ -33,7 +33,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^ \t-\r]*[0-9@][^ \t-\r]*")
+_WORD = re.compile(r"[^ \t-\r]+")
+_PART = re.compile(r"[^,;|<>\"'()\[\]{}]+")
+_MARK = re.compile(r"[0-9@]").search
 _TRIM = ".,;:!?%&*#$|\"'<>"
 
 
@@ -81,7 +83,7 @@ _RUNS = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"[0-9]+"), "9"))
 
 def _shape(token: str) -> str:
     for run, mark in _RUNS:
-        token = run.sub(mark, token.strip(_TRIM)[:200])
+        token = run.sub(mark, token.strip(_TRIM))
     return token
 
 
@@ -91,24 +93,65 @@ def _code(text: str, size: int) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % size
 
 
+def _pieces(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, label) of the tokens of a text: its words, cut at the borders of base
+    spans, and outside of these at punctuation. The label is the least kind of the base spans
+    around a token, of which any number may overlap."""
+    ordered = sorted((s, e, k) for k, s, e in spans)
+    at, open_spans = 0, []
+    for word in _WORD.finditer(text):
+        start, end = word.span()
+        open_spans = [x for x in open_spans if x[1] > start]
+        while at < len(ordered) and ordered[at][0] < end:
+            if ordered[at][1] > start:
+                open_spans.append(ordered[at])
+            at += 1
+        if not open_spans:
+            if _MARK(word.group()):
+                for part in _PART.finditer(text, start, end):
+                    yield *part.span(), _PLAIN
+            else:
+                yield start, end, _PLAIN
+            continue
+        borders = sorted({start, end} | {b for s, e, _ in open_spans for b in (s, e) if start < b < end})
+        for low, high in zip(borders, borders[1:]):  # noqa: B905 - neighbours
+            label = min((k for s, e, k in open_spans if s <= low and high <= e), default=_PLAIN)
+            if label != _PLAIN:
+                yield low, high, label
+            else:
+                for part in _PART.finditer(text, low, high):
+                    yield *part.span(), _PLAIN
+
+
 def nodes_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     """(start, end, shape, size, shape before, shape after, touches the token before, key,
     label) of each token with a digit or @; texts are read once from left to right."""
-    found, at = [], 0
-    ordered = sorted((s, e, k) for k, s, e in spans)
-    for m in _TOKEN.finditer(text):
-        token, (start, end) = m.group(), m.span()
-        own = token.strip(_TRIM)
-        left = text[max(0, start - 40) : start].split()[-1:] or [""]
-        right = text[end : end + 40].split()[:1] or [""]
-        touches = bool(found) and not text[found[-1][1] : start].strip()
-        while at < len(ordered) and ordered[at][1] <= start:
-            at += 1
-        label = min((k for s, e, k in ordered[at : at + 8] if s < end and e > start), default=_PLAIN)
-        digits = re.sub("[^0-9]", "", own)
-        cut = token.find(own) if own else 0
-        key = digits if len(digits) >= 6 else own.lower()
-        found.append((start + cut, start + cut + len(own) if own else end, _code(_shape(token), _SHAPES), min(len(digits), 20) // 3 if len(digits) < 20 else 7, _code(_shape(left[0]), _AROUND), _code(_shape(right[0]), _AROUND), touches, key, label))
+    found: list[tuple] = []
+    waiting = None  # the node that lacks the token after it
+    before, last_end = "", 0
+
+    def finish(after: str) -> None:
+        found.append((*waiting[:5], _code(_shape(after), _AROUND), *waiting[5:]))
+
+    for start, end, label in _pieces(text, spans):
+        token = text[start:end]
+        if waiting is not None:
+            finish(token)
+            waiting = None
+        if _MARK(token):
+            own = token.strip(_TRIM)
+            digits = re.sub("[^0-9]", "", own)
+            cut = token.find(own)
+            touches = bool(found) and not text[last_end:start].strip()
+            key = digits if len(digits) >= 6 else own.lower()
+            waiting = (
+                start + cut, start + cut + len(own), _code(_shape(token), _SHAPES), min(len(digits), 20) // 3 if len(digits) < 20 else 7, _code(_shape(before), _AROUND),
+                touches, key, label,
+            )
+            last_end = waiting[1]
+        before = token
+    if waiting is not None:
+        finish("")
     return found
 
 
