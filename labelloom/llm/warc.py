@@ -45,7 +45,7 @@ HEADERS = {
     "refers_to": "WARC-Refers-To",
     "payload_length": "Payload-Length",
 }
-READ_SCHEMA = ", ".join(f"{name} string" for name in HEADERS) + ", payload binary"
+READ_SCHEMA = ", ".join(f"{name} string" for name in HEADERS) + ", payload binary, error string"
 WRITE_COLUMNS = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_length", "payload")
 
 
@@ -170,26 +170,30 @@ class WarcReader(DataSourceReader):
         return [_File(f"{self.path.rstrip('/')}/{x.base_name}") for x in sorted(found, key=lambda x: x.path) if x.is_file and x.base_name.endswith(".warc.gz")]
 
     def _wanted(self, head: dict[str, str]) -> bool:
+        head = {name.lower(): value for name, value in head.items()}
         for header, kind, value in self.tests:
-            own = head.get(header)
+            own = head.get(header.lower())
             if kind == "in" and own not in value or kind == "starts" and not (own or "").startswith(value):
                 return False
         return True
 
-    def read(self, partition: _File):
+    def read(self, partition: _File | None):
         import pyarrow as pa
 
+        if partition is None:  # what Spark hands on where there is no partition
+            return
         fs, path = _filesystem(partition.path)
         rows: list[tuple] = []
         size = 0
 
         def batch():
             columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(HEADERS))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([r[-1] for r in rows], pa.binary())], [*HEADERS, "payload"])
+            columns += [pa.array([r[-2] for r in rows], pa.binary()), pa.array([r[-1] for r in rows], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, [*HEADERS, "payload", "error"])
 
         with fs.open_input_file(path) as file:
-            for head, payload in records(file, self._wanted, self.payload):
-                rows.append((*(head.get(header) for header in HEADERS.values()), payload))
+            for head, payload, error in records(file, self._wanted, self.payload):
+                rows.append((*(head.get(header.lower()) for header in HEADERS.values()), payload, error))
                 size += len(payload or b"") + 200
                 if size >= _BATCH_BYTES:
                     yield batch()
@@ -198,39 +202,84 @@ class WarcReader(DataSourceReader):
             yield batch()
 
 
-def records(file, wanted=lambda head: True, payload: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, payload) of the wanted records of one open archive."""
+def fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name: blanks around values do not count, a line that
+    begins with a blank goes on with the one before, and lines without a colon are left out."""
+    found: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t"):
+            if name is not None:
+                found[name] = f"{found[name]} {line.strip()}".strip()
+            continue
+        key, colon, value = line.partition(":")
+        name = key.strip().lower() if colon else None
+        if name is not None:
+            found[name] = value.strip()
+    return found
+
+
+def payload_of(head: dict[str, str], block: bytes) -> bytes:
+    """Payload of a record's block: what follows the HTTP header in a block of that type,
+    else the whole block. A header that never ends leaves nothing after it."""
+    if head.get("content-type", "").lower().startswith("application/http"):
+        for end in (b"\r\n\r\n", b"\n\n"):
+            if end in block:
+                return block.split(end, 1)[1]
+        return b""
+    return block
+
+
+def records(file, wanted=lambda head: True, payload: bool = True) -> Iterator[tuple[dict[str, str], bytes | None, str | None]]:
+    """(header fields by lower-case name, payload, error) of the wanted records of one open
+    archive. A record that is cut off or damaged comes with what is wrong with it; what
+    follows it in the file cannot be found and ends the reading."""
     at, end = 0, file.size()
     while at < end:
         file.seek(at)
         piece = file.read(_HEAD)
         if piece[:3] != b"\x1f\x8b\x08":
-            raise ValueError(f"no gzip member at byte {at}")
+            yield {}, None, f"no gzip member at byte {at}"
+            return
         length = 0
-        if piece[3] & 4 and piece[12:14] == b"sl":
+        if len(piece) >= 20 and piece[3] & 4 and piece[12:14] == b"sl":
             length = struct.unpack("<I", piece[16:20])[0]
         unpack = zlib.decompressobj(31)
-        data = unpack.decompress(piece)
-        while b"\r\n\r\n" not in data and not unpack.eof:
-            data += unpack.decompress(file.read(_HEAD))
-        top, rest = data.split(b"\r\n\r\n", 1)
-        lines = top.decode().split("\r\n")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        keep = wanted(head)
-        if (keep and payload) or not length:
-            parts = [rest]
-            while not unpack.eof:
-                more = file.read(1 << 16)
+        head: dict[str, str] = {}
+        try:
+            data = unpack.decompress(piece)
+            while b"\r\n\r\n" not in data and not unpack.eof:
+                more = file.read(_HEAD)
                 if not more:
-                    raise ValueError(f"the record at byte {at} is cut off")
-                parts.append(unpack.decompress(more))
-            length = file.tell() - len(unpack.unused_data) - at
-            rest = b"".join(parts)
-        if keep:
+                    raise ValueError("the record is cut off")
+                data += unpack.decompress(more)
+            top, blank, rest = data.partition(b"\r\n\r\n")
+            if not blank or not top.startswith(b"WARC/"):
+                raise ValueError("no header of a record")
+            head = fields(top)
+            keep = wanted(head)
+            if (keep and payload) or not length:
+                parts = [rest]
+                while not unpack.eof:
+                    more = file.read(1 << 16)
+                    if not more:
+                        raise ValueError("the record is cut off")
+                    parts.append(unpack.decompress(more))
+                length = file.tell() - len(unpack.unused_data) - at
+                rest = b"".join(parts)
             body = None
-            if payload and head["WARC-Type"] != "revisit":
-                body = rest[: int(head["Content-Length"])].split(b"\r\n\r\n", 1)[1]
-            yield head, body
+            if keep and payload and head.get("warc-type") != "revisit":
+                size = head.get("content-length", "")
+                if not size.isdigit() or int(size) > len(rest):
+                    raise ValueError("the block is shorter than its header says")
+                body = payload_of(head, rest[: int(size)])
+        except (ValueError, zlib.error) as wrong:
+            yield head, None, f"{wrong}, at byte {at}"
+            if not length:
+                return
+        else:
+            if keep:
+                yield head, body, None
         at += length
 
 
@@ -275,7 +324,11 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of all archives in a folder; filters on header columns reach the reader."""
+    """Records of all archives in a folder; filters on header columns reach the reader.
+
+    Header names are told apart whatever their case. Records of any type come back, those
+    that are damaged with a text in ``error``, whatever the filters on headers.
+    """
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
