@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from labelloom.operators.skew import top_k
 
 PROFILE = 300
 NO_LANGUAGE = "und"
@@ -119,8 +120,9 @@ def profiles(docs: DataFrame, lang: str = "lang", text: str = "text", size: int
     """(lang, gram, rank): the most frequent n-grams of each language; ties by n-gram."""
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).dropna()
     summed = gram_counts(rows).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return summed.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # Tasks keep the first of their own n-grams, so a language sends at most ``size`` rows each.
+    first = top_k(summed, ["lang"], [F.desc("n"), "gram"], size)
+    return first.select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 def predictor(profile: DataFrame, size: int = PROFILE):
@@ -141,7 +143,7 @@ def predictor(profile: DataFrame, size: int = PROFILE):
         if not state:
             names, rows = shared.value
             known = np.unique(np.array([r[1] for r in rows], dtype=np.int64))
-            ranks = np.full((len(known) + 1, max(len(names), 1)), -1, dtype=np.int64)
+            ranks = np.full((len(known) + 1, max(len(names), 1)), -1, dtype=np.int16)
             at = {n: i for i, n in enumerate(names)}
             for name, gram, rank in rows:
                 ranks[np.searchsorted(known, gram), at[name]] = rank

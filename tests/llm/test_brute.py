@@ -364,3 +364,125 @@ def test_pipeline_stages(spark, ids):
             assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before}
     whole = c.run(spark, SF)
     assert sorted(whole.collect()) == sorted(rows)
+
+
+def gz(data, extra=b""):
+    import gzip
+
+    return gzip.compress(data)
+
+
+def block(fields, body):
+    return b"WARC/1.0\r\n" + b"".join(f + b"\r\n" for f in fields) + b"\r\n" + body + b"\r\n\r\n"
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    """Records of other types, header names in any case, odd blanks, folded lines."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+    records = [
+        block([b"WARC-Type: warcinfo", b"WARC-Record-ID: <i>", b"Content-Type: application/warc-fields", b"Content-Length: 11"], b"software: x"),
+        block([b"warc-type:request", b"WARC-RECORD-ID:\t <q> ", b"Content-Type: application/http; msgtype=request", b"content-length:  18"], b"GET / HTTP/1.0\r\n\r\n"),
+        block([b"WARC-Type: response", b"WARC-Record-ID: <r>", b"WARC-Target-URI: http://a/", b" b", b"no colon here", b"Content-Type: application/http;msgtype=response", b"Content-Length: %d" % len(http)], http),
+        block([b"WARC-Type: metadata", b"WARC-Record-ID: <m>", b"Content-Length: 4"], b"\r\n\r\n"),
+        block([b"WARC-Type: resource", b"WARC-Record-ID: <s>", b"Content-Type: text/plain", b"Content-Length: 0"], b""),
+        block([b"WARC-Type: response", b"WARC-Record-ID: <z>", b"Content-Type: application/http", b"Content-Length: 3"], b"abc"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gz, records)))
+    (tmp_path / "cut.warc.gz").write_bytes(gz(records[0]) + gz(records[2])[:-30])
+    (tmp_path / "short.warc.gz").write_bytes(gz(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <w>\r\nContent-Length: 99\r\n\r\nabc") + gz(records[3]))
+    (tmp_path / "bad.warc.gz").write_bytes(b"no archive")
+    (tmp_path / "odd.warc.gz").write_bytes(gz(b"not a record\r\n\r\n"))
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    warc.register(spark)
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    good = {r["record_id"]: (r["record_type"], bytes(r["payload"])) for r in rows if r["error"] is None and r["record_id"] != "<i>"}
+    assert good == {"<q>": ("request", b""), "<r>": ("response", b"<p>hi</p>"), "<m>": ("metadata", b"\r\n\r\n"), "<s>": ("resource", b""), "<z>": ("response", b"")}
+    assert [bytes(r["payload"]) for r in rows if r["record_id"] == "<i>"] == [b"software: x"] * 2
+    assert [r["target_uri"] for r in rows if r["record_id"] == "<r>" and r["error"] is None] == ["http://a/ b"]
+    wrong = sorted(r["error"].split(",")[0] for r in rows if r["error"] is not None)
+    assert wrong == ["no gzip member at byte 0", "no header of a record", "the block is shorter than its header says", "the record is cut off"]
+    heads = warc.read_archives(spark, str(tmp_path / "a.warc.gz").rsplit("/", 1)[0], payload=False).where("record_type = 'request'")
+    assert [r["record_id"] for r in heads.collect() if r["error"] is None] == ["<q>"]
+
+
+def test_archives_of_empty_and_repeated_rows(spark, tmp_path):
+    warc.register(spark)
+    schema = "page_id long, url string, html string, payload string, digest string"
+    row = (7, "u", "z" * 1500, "own", "own")
+    for name, rows in (("empty", []), ("twice", [row, row, (5, None, "z" * 1500, "own", "own"), (None, None, None, None, None)])):
+        warc.write_archives(spark.createDataFrame(rows, schema), str(tmp_path / name))
+        (tmp_path / name).mkdir(exist_ok=True)
+        found = sorted(str((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"])) for r in warc.page_records(warc.read_archives(spark, str(tmp_path / name))).collect())
+        assert found == ([] if name == "empty" else ["(5, 'revisit', 7, 1500)", "(7, 'response', None, 1500)", "(7, 'response', None, 1500)", "(None, 'response', None, 0)"])
+
+
+def test_tokens_of_long_and_crowded_texts():
+    import time
+
+    start = time.time()
+    for text in ("語" * 1_000_000 + " 1", "x" * 1_000_000 + "7", "a,b;1" * 200_000, "1 " * 300_000, "@" * 300_000):
+        spans = pii.base_spans(text)
+        nodes = pii.nodes_of(text, spans)
+        assert all(0 <= n[0] <= n[1] <= len(text) for n in nodes)
+    assert time.time() - start < 60
+    text = "to a@b.example,+1 555 010 2345;10.0.3.999x 4111111111111111 and 12@3.4.5.6.7"
+    spans = pii.base_spans(text)
+    nodes = pii.nodes_of(text, spans)
+    labels = {text[n[0] : n[1]]: n[8] for n in nodes}
+    assert labels["a@b.example"] == 0 and labels["+1"] == 3 and labels["10.0.3.999x"] == 4 and labels["4111111111111111"] == 2
+    covered = {(k, s, e) for k, s, e in spans}
+    for n in nodes:  # a labelled token lies within a base span of that kind, a plain one in none
+        around = {k for k, s, e in covered if s <= n[0] and n[1] <= e}
+        assert (n[8] == min(around)) if around else n[8] == 4
+
+
+def test_messages_on_a_loop_come_near_enumeration():
+    """Three tokens, neighbours and the ends linked by one key: a loop of three edges."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        w = pii.train([])
+        for k in w:
+            w[k] = rng.normal(0, 0.4, w[k].shape)
+        nodes = [(10 * i, 10 * i + 3, i, i, i, i, i > 0, "k", 0) for i in range(3)]
+        edges = [(0, 1, "chain"), (1, 2, "chain"), (0, 2, "skip")]
+        alone = pii.marginals(nodes, [], w)
+        # without edges the ends of the skip edge count as unlinked; take that back
+        logs = np.log(alone)
+        logs[0] -= w["skip"][:5, 5]
+        logs[2] -= w["skip"][5][:5]
+        joint = logs[0][:, None, None] + logs[1][None, :, None] + logs[2][None, None, :] + w["chain"][:5, :5][:, :, None] + w["chain"][:5, :5][None, :, :] + w["skip"][:5, :5][:, None, :]
+        joint = np.exp(joint - joint.max())
+        joint /= joint.sum()
+        p = pii.marginals(nodes, edges, w, rounds=80)
+        for i, axes in enumerate(((1, 2), (0, 2), (0, 1))):
+            assert np.abs(p[i] - joint.sum(axis=axes)).max() < 0.05
+
+
+def test_language_equals_a_plain_search(spark):
+    """Ranks and out-of-place sums of all n-grams worked out anew."""
+    docs = documents(spark).where("lang IS NOT NULL")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    table = langid.letter_table()
+    counts = {}
+    for _, text, lang in rows:
+        if text:
+            counts.setdefault(lang, Counter()).update(int(g) for g in langid.grams(langid._codes(text.encode(), table)))
+    ranks = {lang: {g: k for k, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE])} for lang, c in counts.items()}
+    profile = langid.profiles(docs)
+    found = {}
+    for r in profile.collect():
+        found.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
+    assert found == ranks
+    assert "WindowGroupLimit" in profile._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, profile).collect()}
+    for doc_id, text, _ in rows[:150]:
+        own = Counter(int(g) for g in langid.grams(langid._codes((text or "").encode(), table)))
+        top = [g for g, _ in sorted(own.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE]]
+        if not top:
+            assert got[doc_id] == ("und", 0.0)
+            continue
+        away = {lang: sum(abs(r[g] - k) if g in r else langid.PROFILE for k, g in enumerate(top)) for lang, r in ranks.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[doc_id][0] == best and abs(got[doc_id][1] - (1 - away[best] / (langid.PROFILE * len(top)))) < 1e-9
