@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from labelloom import config
 from labelloom.functions import text
+from labelloom.operators.graph import strongly_connected
 from labelloom.operators.joins import contains_join, labels_in_nodes
-from labelloom.session import cut_lineage
+from labelloom.session import stored
 
 
 def build_tree(values: DataFrame) -> DataFrame:
@@ -57,31 +58,22 @@ def closure(edges: DataFrame) -> DataFrame:
     A path longer than the reach begins with one of exactly that length, so each round joins
     only the pairs at the rim, not all pairs, with what is known.
     """
-    pairs = cut_lineage(
-        edges.where("parent IS NOT NULL AND parent <> node").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    pairs = stored(
+        edges.where("parent IS NOT NULL AND parent <> node").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "closure"
     )
     reach = 1
     while not pairs.where(F.col("distance") == reach).isEmpty():
         rim = pairs.where(F.col("distance") == reach).select("node", "ancestor", "distance")
         hop = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("distance").alias("_d"))
         longer = rim.join(hop, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"))
-        pairs = cut_lineage(pairs.unionByName(longer).where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        pairs = stored(pairs.unionByName(longer).where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "closure", pairs)
         reach *= 2
     return pairs
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """Nodes that can be reached from themselves, at any length of the cycle."""
-    pairs = edges.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor")).distinct()
-    known = -1
-    while True:
-        pairs = cut_lineage(pairs)
-        count = pairs.count()
-        if count == known:
-            return pairs.where("node = ancestor").select("node")
-        known = count
-        hop = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"))
-        pairs = pairs.unionByName(pairs.join(hop, "ancestor").select("node", F.col("_up").alias("ancestor"))).distinct()
+    return strongly_connected(edges).select("node")
 
 
 def resolve(nodes: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelloom import config
 from labelloom.functions import versions
-from labelloom.operators.skew import bucketed_lag, bucketed_row_number, bucketed_running, join_group_summary, top_k
+from labelloom.operators.skew import bucketed_lag, bucketed_row_number, bucketed_running, join_group_summary, ranged, top_k
 
 ORDER = ("ts", "event_id")
 
@@ -40,9 +40,15 @@ def metrics_of(metrics: DataFrame, experiment: Column, order: Sequence[str] = OR
     return metrics.where(experiment).orderBy("experiment_id", *order)
 
 
-def with_epoch(metrics: DataFrame, bucket: str = "hour", order: Sequence[str] = ORDER) -> DataFrame:
-    """Number the entries of each experiment from 1."""
-    return bucketed_row_number(metrics, ["experiment_id"], bucket, order, "epoch")
+def with_epoch(metrics: DataFrame, bucket: str | None = None, order: Sequence[str] = ORDER) -> DataFrame:
+    """Number the entries of each experiment from 1.
+
+    The log is cut into ranges of even size by its own quantiles, or by ``bucket``, a column
+    that does not decrease along the order.
+    """
+    if bucket is not None:
+        return bucketed_row_number(metrics, ["experiment_id"], bucket, order, "epoch")
+    return bucketed_row_number(ranged(metrics, ["experiment_id"], order), ["experiment_id"], "_range", order, "epoch").drop("_range")
 
 
 _SUMMARY = (
@@ -205,17 +211,19 @@ def parent_versions(log: DataFrame) -> DataFrame:
     return linked.select("dataset", "version", "parent_version")
 
 
-def curation(events: DataFrame, bucket: str = "hour", limit: int = config.MAX_PENDING_REVIEW) -> DataFrame:
+def curation(events: DataFrame, limit: int = config.MAX_PENDING_REVIEW) -> DataFrame:
     """Replay curation actions: create, submit, approve, reject.
 
     A create starts a draft. The first submit after it leads to review and the first
     decision after that ends it; every other action is illegal and changes nothing. The
     open reviews over all entries are counted along, and marked where above the limit.
+    Both scans, per entry and over all, run over ranges of even size.
     """
     order = list(ORDER)
     action = F.col("action")
     rows = events.withColumn("_create", (action == "create").cast("long"))
-    numbered = bucketed_running(rows, ["entry_id"], bucket, order, "_create", "session")
+    placed_rows = ranged(rows.select("entry_id", *order, "action", "_create"), ["entry_id"], order)
+    numbered = bucketed_running(placed_rows, ["entry_id"], "_range", order, "_create", "session").drop("_range")
     at = F.struct(*order)
     key = ["entry_id", "session"]
     submits = numbered.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(action == "submit", at)).alias("_submit"))
@@ -236,7 +244,7 @@ def curation(events: DataFrame, bucket: str = "hour", limit: int = config.MAX_PE
         .otherwise("draft")
     )
     judged = placed.select(
-        "entry_id", *order, bucket, "action", "session",
+        "entry_id", *order, "action", "session",
         F.coalesce(legal, F.lit(False)).alias("legal"), status.alias("status"),
     )
     # A new draft takes an entry that was still under review out of it.
@@ -250,7 +258,7 @@ def curation(events: DataFrame, bucket: str = "hour", limit: int = config.MAX_PE
         .otherwise(-1)
     )
     moved = judged.join(left_open, ["entry_id", "session"], "left").withColumn("_change", change).drop("_open")
-    counted = bucketed_running(moved, [], bucket, order, "_change", "pending")
+    counted = bucketed_running(ranged(moved, [], order), [], "_range", order, "_change", "pending")
     return counted.select("entry_id", *order, "action", "legal", "status", "pending", (F.col("pending") > limit).alias("over_limit"))
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import text
-from labelloom.operators.skew import salted_join, top_k
+from labelloom.functions.patterns import required
+from labelloom.operators.skew import join_on, salted_join, top_k
+from labelloom.session import stored
 
 
 def with_image(annotations: DataFrame, images: DataFrame, columns: Sequence[str] = ("width", "height")) -> DataFrame:
@@ -53,11 +55,12 @@ def rules_for_labels(labels: DataFrame, rules: DataFrame) -> DataFrame:
     return labels.withColumn("_key", F.lower(F.trim("label"))).join(keyed, "_key").drop("_key")
 
 
-def by_stem(files: DataFrame, others: DataFrame, path: str = "path") -> DataFrame:
-    """Files of two listings that share a name without extension."""
+def by_stem(files: DataFrame, others: DataFrame, path: str = "path", within: Sequence[str] = ()) -> DataFrame:
+    """Files of two listings that share a name without extension and the columns ``within``,
+    such as the data set and the folder, so that one source never meets another."""
     left = files.withColumn("stem", text.stem(F.col(path)))
-    right = others.select(text.stem(F.col(path)).alias("stem"), F.col(path).alias(f"other_{path}"))
-    return left.join(right, "stem")
+    right = others.select(*within, text.stem(F.col(path)).alias("stem"), F.col(path).alias(f"other_{path}"))
+    return join_on(left, right, [*within, "stem"])
 
 
 def name_matches(names: DataFrame, others: DataFrame, name: str = "name", other: str = "other") -> DataFrame:
@@ -128,12 +131,43 @@ def labels_in_nodes(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     return lowered.join(found, "_needle").join(hay, "_hay").select("label", "value", "name").distinct()
 
 
+def pattern_index(rules: DataFrame) -> DataFrame:
+    """``pattern, literal``: texts of which a match of the pattern contains at least one; a
+    null literal where the pattern tells none. Patterns are read once, so it is stored."""
+    patterns = rules.select("pattern").distinct()
+    return stored(patterns.select("pattern", F.explode_outer(required("pattern")).alias("literal")), "pattern-index")
+
+
+def pattern_candidates(labels: DataFrame, index: DataFrame) -> DataFrame:
+    """``label, pattern`` where the label contains a text that the pattern needs.
+
+    The texts are found through their rarest piece of three characters, so a label meets
+    only the patterns that share it.
+    """
+    lowered = labels.select("label", F.lower("label").alias("_low")).distinct()
+    wanted = index.where("literal IS NOT NULL")
+    held = contains_join(wanted, "literal", lowered, "_low")
+    return lowered.join(held, "_low").join(wanted, "literal").select("label", "pattern").distinct()
+
+
 def regex_matches(labels: DataFrame, rules: DataFrame, per_chunk: int = 500) -> DataFrame:
     """Labels with the pattern rules they match, case-insensitively, anywhere.
 
-    A pattern has no key to join on. Rules are cut into chunks of bounded size, each
-    label meets each chunk once, and the patterns of a chunk are tried inside the row.
+    Patterns are tried on the labels that contain a text they need. Those that need none,
+    such as classes of characters alone, are tried on every label, in chunks of bounded size.
     """
+    index = pattern_index(rules)
+    matches = F.regexp_like(F.col("label"), F.concat(F.lit("(?i)"), F.col("pattern")))
+    met = pattern_candidates(labels, index).where(matches)
+    found = met.join(rules.select("pattern", "canonical_value", "confidence"), "pattern").select("label", "pattern", "canonical_value", "confidence")
+    rest = rules.join(index.where("literal IS NULL").select("pattern"), "pattern", "left_semi")
+    if index.where("literal IS NULL").isEmpty():
+        return found
+    return found.unionByName(_tried_in_chunks(labels, rest, per_chunk))
+
+
+def _tried_in_chunks(labels: DataFrame, rules: DataFrame, per_chunk: int) -> DataFrame:
+    """Each label meets each chunk of rules once, and its patterns are tried inside the row."""
     n = rules.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per_chunk)).cast("int").alias("n")).scalar()
     chunks = (
         rules.withColumn("_chunk", F.pmod(F.xxhash64("pattern", "canonical_value"), n).cast("int"))

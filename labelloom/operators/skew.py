@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from labelloom.session import stored
+
 
 def _over_group(group: Sequence[str], bucket: str):
     partition = list(group) or [F.lit(0)]
@@ -28,6 +30,18 @@ def hash_bucket(hash_hex: Column, digits: int = 3) -> Column:
     return F.substring(hash_hex, 1, digits)
 
 
+def ranged(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "_range") -> DataFrame:
+    """``df`` with a bucket column for the scans here, of ranges that hold about as many rows
+    each, however the values of ``order`` lie.
+
+    Spark samples quantiles of (group, order) and sends each range to a partition; its number
+    does not decrease along the order. The result is stored in the shared folder, so that
+    every reader sees the same ranges.
+    """
+    placed = df.repartitionByRange(*group, *order).withColumn(name, F.spark_partition_id())
+    return stored(placed, "ranges")
+
+
 def bucketed_row_number(
     df: DataFrame,
     group: Sequence[str],

@@ -8,7 +8,8 @@ from labelloom.operators import checks, merge_split, score, stats
 from labelloom.plans.aggregates import COUNTS, LABELS, hashed_images
 from labelloom.plans.quality import ANNOTATION_ISSUES, GEOMETRY_ISSUES, IMAGE_ISSUES
 from labelloom.plans.views import with_views
-from labelloom.sources import writers
+from labelloom.session import new_path
+from labelloom.sources import merge, readers, writers
 
 ORDER = "md5(CAST(id AS VARCHAR) || '|42')"
 CLASS_IDS = "ids AS (SELECT class_name, dense_rank() OVER (ORDER BY class_name) - 1 AS class_id FROM (SELECT DISTINCT class_name FROM labels_))"
@@ -135,6 +136,33 @@ SELECT id, image_id, seq1, seq2, printf('%d %.6f %.6f %.6f %.6f', class_id, CASE
     def _(v):
         return writers.label_lines(v.annotations, v.images).select("id", "image_id", "seq1", "seq2", "line")
 
+    yolo_files = """p AS (SELECT a.id, a.image_id, class_id, i.width > 0 AND i.height > 0 AS sized, a.x + a.width / 2 AS cx, a.y + a.height / 2 AS cy, a.width AS w, a.height AS h, i.width AS iw, i.height AS ih
+  FROM labels_ a JOIN images i ON i.id = a.image_id JOIN ids USING (class_name)),
+l AS (SELECT id, image_id, printf('%d %.6f %.6f %.6f %.6f', class_id, CASE WHEN sized THEN cx / iw ELSE cx END, CASE WHEN sized THEN cy / ih ELSE cy END,
+  CASE WHEN sized THEN w / iw ELSE w END, CASE WHEN sized THEN h / ih ELSE h END) AS line FROM p),
+n AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'val' ELSE 'train' END AS split, regexp_replace(split_part(file_path, '/', -1), '[.][^.]+$', '') AS stem FROM images),
+f AS (SELECT id AS image_id, split, CASE WHEN count(*) OVER (PARTITION BY split, stem) > 1 THEN stem || '-' || CAST(id AS VARCHAR) ELSE stem END AS stem FROM n)"""
+
+    def parts_of(v):
+        return v.images.select("id", F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("split"))
+
+    @r.add("k01_label_files", with_views("images", "annotations", more=LABELS + ",\n" + CLASS_IDS + ",\n" + yolo_files) + """
+SELECT split || '/labels/' || stem || '.txt' AS path, line FROM f JOIN l USING (image_id)""")
+    def _(v):
+        path = new_path(v.spark, "yolo")
+        writers.write_yolo(v.annotations, v.images, parts_of(v), path)
+        lines = v.spark.read.text([f"{path}/train/labels", f"{path}/val/labels"])
+        return lines.select(F.substring_index(F.col("_metadata.file_path"), "/", -3).alias("path"), F.col("value").alias("line"))
+
+    @r.add("k06_training_package", with_views("images", "annotations", more=LABELS + ",\n" + CLASS_IDS + ",\n" + yolo_files) + """
+, t AS (SELECT image_id, string_agg(line || chr(10), '' ORDER BY id, line) AS body FROM l GROUP BY 1)
+SELECT 'labels/' || split || '/' || stem || '.txt' AS path, octet_length(encode(coalesce(body, ''))) AS size, sha256(coalesce(body, '')) AS sha256 FROM f LEFT JOIN t USING (image_id)""")
+    def _(v):
+        path = new_path(v.spark, "package")
+        writers.write_training_package(v.annotations, v.images, parts_of(v), path, "driver")
+        found = readers.read_document_list(v.spark, f"{path}/manifest.json", "files", "path string, size_bytes long, sha256 string")
+        return found.where(F.col("path").startswith("labels/")).select("path", F.col("size_bytes").alias("size"), "sha256")
+
     coco_i = "ci AS (SELECT id, row_number() OVER (ORDER BY id) AS coco_id, split_part(file_path, '/', -1) AS file_name, width, height FROM images)"
 
     def numbered(v):
@@ -161,6 +189,16 @@ UNION ALL SELECT 'categories', '{"id":' || (class_id + 1) || ',"name":"' || clas
     def _(v):
         return writers.coco_json(numbered(v), boxes(v), writers.coco_categories(v.annotations))
 
+    @r.add("k02_coco_document", with_views("images", "annotations", more=LABELS + ",\n" + CLASS_IDS + ",\n" + coco_i) + """
+SELECT CAST(row_number() OVER (ORDER BY a.id, seq1, seq2, seq3) AS VARCHAR) AS annotation_id, CAST(coalesce(coco_id, 0) AS VARCHAR) AS image_id, file_name, class_name,
+  x, y, a.width AS width, a.height AS height, ci.width AS image_width, ci.height AS image_height FROM labels_ a LEFT JOIN ci ON ci.id = a.image_id""")
+    def _(v):
+        path = f"{new_path(v.spark, 'coco')}.json"
+        writers.write_coco_document(numbered(v), boxes(v), writers.coco_categories(v.annotations), path)
+        found = readers.read_coco(v.spark, path, split=True)
+        sides = [F.col(c).cast("long").alias(c) for c in ("image_width", "image_height")]
+        return found.select("annotation_id", "image_id", "file_name", "class_name", "x", "y", "width", "height", *sides)
+
     @r.add("k03_voc_documents", with_views("images", "annotations", more=LABELS) + """
 , o AS (SELECT image_id, count(*) AS objects, CAST(sum(trunc(x)) AS BIGINT) AS xmin_sum, CAST(sum(trunc(y + height)) AS BIGINT) AS ymax_sum, min(class_name) AS first_name FROM labels_ GROUP BY 1)
 SELECT split_part(file_path, '/', -1) AS filename, width, height, coalesce(objects, -1) AS objects, xmin_sum, ymax_sum, first_name FROM images LEFT JOIN o ON image_id = id""")
@@ -185,19 +223,42 @@ SELECT dataset, images, annotations, classes, '1.0.0' AS ontology_version, '1.0.
     def _(v):
         return writers.canonical_info(v.images, v.annotations)
 
-    files = """WITH f AS (SELECT source || '/d' || CAST(doc_id % 300 AS VARCHAR) || CASE WHEN n_chars % 2 = 0 THEN '.jpg' ELSE '.txt' END AS path, 'd' || CAST(doc_id % 300 AS VARCHAR) AS stem, n_chars, text FROM documents)"""
+    files = """WITH f AS (SELECT source || '/d' || CAST(doc_id % 300 AS VARCHAR) || CASE WHEN n_chars % 2 = 0 THEN '.jpg' ELSE '.txt' END AS path, 'd' || CAST(doc_id % 300 AS VARCHAR) AS stem, n_chars, text, source FROM documents)"""
 
     def doc_files(v):
         name = F.concat(F.col("source"), F.lit("/d"), (F.col("doc_id") % 300).cast("string"), F.when(F.col("n_chars") % 2 == 0, ".jpg").otherwise(".txt"))
-        return v.table("documents").select(name.alias("path"), F.col("text").alias("value"), "n_chars")
+        return v.table("documents").select(name.alias("path"), F.col("text").alias("value"), "n_chars", "source")
 
     @r.add("k05_merged_labels", files + """
-SELECT i.path AS image, i.stem, sha256(coalesce(l.text, '')) AS labels FROM f i LEFT JOIN f l ON l.stem = i.stem AND l.path LIKE '%.txt' WHERE i.path LIKE '%.jpg'""")
+SELECT i.source, i.path AS image, i.stem, sha256(coalesce(l.text, '')) AS labels FROM f i LEFT JOIN f l ON l.stem = i.stem AND l.source = i.source AND l.path LIKE '%.txt' WHERE i.path LIKE '%.jpg'""")
     def _(v):
         found = doc_files(v)
-        merged = writers.merged_labels(found.where("path LIKE '%.txt'"), found.where("path LIKE '%.jpg'"))
+        merged = writers.merged_labels(found.where("path LIKE '%.txt'"), found.where("path LIKE '%.jpg'"), ["source"])
         return merged.withColumn("labels", F.sha2("labels", 256))
 
+    @r.add("k05_merged_coco", with_views("images", "annotations") + """
+, d AS (SELECT concat_ws('-', a.id, seq1, seq2, seq3) || '.json' AS source_file, a.*, i.width AS iw FROM annotations a JOIN images i ON i.id = image_id),
+c AS (SELECT name, row_number() OVER (ORDER BY name) AS category_id FROM (SELECT DISTINCT unnest([label, 'kind' || (seq1 % 3)]) AS name FROM d)),
+n AS (SELECT *, row_number() OVER (ORDER BY source_file) AS image FROM d)
+SELECT n.source_file, k AS annotation_id, 2 * (image - 1) + k AS coco_id, CASE k WHEN 1 THEN image ELSE 0 END AS coco_image_id, category_id, n.x, n.y, n.width, n.height
+FROM n, (VALUES (1), (2)) AS two(k) JOIN c ON c.name = CASE k WHEN 1 THEN label ELSE 'kind' || (seq1 % 3) END""")
+    def _(v):
+        # One file per annotation, all with image 1 and annotations 1 and 2, the second of an image that is not there.
+        pics = v.images.select(F.col("id").alias("image_id"), F.col("width").alias("iw"))
+        name = F.concat(F.concat_ws("-", *[F.col(c).cast("string") for c in ("id", "seq1", "seq2", "seq3")]), F.lit(".json"))
+        files_ = v.annotations.join(pics, "image_id").withColumn("source_file", name)
+        one, two = F.lit("1"), F.lit("2")
+        images = files_.select("source_file", one.alias("id"), F.col("source_file").alias("file_name"), F.col("iw").alias("width"), F.col("iw").alias("height"))
+        bbox = F.array("x", "y", "width", "height").alias("bbox")
+        rest = [bbox, F.lit(None).cast("double").alias("area"), F.lit(0).alias("iscrowd")]
+        boxes_ = files_.select("source_file", one.alias("id"), one.alias("image_id"), one.alias("category_id"), *rest)
+        boxes_ = boxes_.union(files_.select("source_file", two, two, two, *rest))
+        kind = F.concat(F.lit("kind"), (F.col("seq1") % 3).cast("string"))
+        categories = files_.select("source_file", one.alias("id"), F.col("label").alias("name"), F.lit("object").alias("supercategory"))
+        categories = categories.union(files_.select("source_file", two, kind, F.lit("object")))
+        found = merge.merge_coco(images, boxes_, categories)[1]
+        return found.select("source_file", F.col("annotation_id").cast("int").alias("annotation_id"), "coco_id", "coco_image_id", "category_id", "x", "y", "width", "height")
+
     @r.add("k06_file_manifest", files + "SELECT path, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM f")
     def _(v):
         content = F.encode("value", "UTF-8")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from labelloom.operators import stats
 from labelloom.plans.views import with_views
-from labelloom.sources import detect, readers, writers
+from labelloom.session import new_path
+from labelloom.sources import detect, files, readers, writers
 
 LISTING = """listing AS (SELECT source || '/' || lang AS root, CASE
     WHEN n_chars % 11 = 0 THEN 'images/' || doc_id || '.jpg' WHEN n_chars % 11 = 1 THEN 'sub/' || doc_id || '.xml' WHEN n_chars % 11 = 2 THEN doc_id || '.csv'
@@ -65,7 +66,7 @@ SELECT root, rel, CASE WHEN layout IS NOT NULL THEN 'coco_json' WHEN contains(lo
         files = listing(v)
         return files.join(detect.detect_layout(files), "root").select("root", "rel", detect.conversion_format(F.col("layout"), F.col("rel")).alias("format"))
 
-    names = "names AS (SELECT DISTINCT CAST(substring(p_brand, 7) AS INT) AS class_id, p_brand AS name FROM part WHERE p_size > 40)"
+    names = "names AS (SELECT DISTINCT CASE WHEN b % 4 = 0 THEN b + 1000 ELSE b END AS class_id, p_brand AS name FROM (SELECT *, CAST(substring(p_brand, 7) AS INT) AS b FROM part))"
 
     def yolo_lines(v):
         last = F.when(F.col("seq2") % 6 == 0, "").otherwise((F.col("height") / 64).cast("string"))
@@ -79,7 +80,8 @@ SELECT concat_ws('-', id, seq1, seq2, seq3) AS stem, seq1 % 30 AS class_id, coal
         ) + " FROM annotations LEFT JOIN names ON class_id = seq1 % 30 WHERE seq2 % 6 <> 0"
 
     def brand_names(v):
-        return v.table("part").where("p_size > 40").select(F.substring("p_brand", 7, 9).cast("int").alias("class_id"), F.col("p_brand").alias("name")).distinct()
+        number = F.substring("p_brand", 7, 9).cast("int")
+        return v.table("part").select(F.when(number % 4 == 0, number + 1000).otherwise(number).alias("class_id"), F.col("p_brand").alias("name")).distinct()
 
     @r.add("s04_yolo_labels", yolo_sql("CAST(seq1 % 30 AS VARCHAR)"))
     def _(v):
@@ -168,7 +170,9 @@ SELECT CAST(id AS VARCHAR) AS image_id, CAST(seq1 % 5 AS VARCHAR) AS label, CASE
         nums = [(e / 64).cast("string") for e in (c("x"), c("x") + c("width"), c("y"), c("y") + c("height"))]
         line = F.concat_ws(",", c("id").cast("string"), F.lit("src"), (c("seq1") % 5).cast("string"), conf, *nums)
         head = v.table("region").select(F.lit("ImageID,Source,LabelName,Confidence,XMin,XMax,YMin,YMax").alias("line"))
-        names = v.annotations.select((c("seq1") % 5).alias("k")).distinct().where("k < 3").select(c("k").cast("string").alias("label"), F.concat(F.lit("name"), c("k").cast("string")).alias("name"))
+        kind = (c("seq1") % 5).cast("string")
+        listed = F.when(c("seq1") % 5 < 3, kind).otherwise(F.concat(F.lit("x"), kind))
+        names = v.annotations.select(listed.alias("label"), F.concat(F.lit("name"), kind).alias("name")).distinct()
         return readers.parse_open_images(v.annotations.select(line.alias("line")).union(head), names).select(
             "image_id", "label", "class_name", "confidence", "x", "y", "width", "height"
         )
@@ -264,8 +268,9 @@ SELECT path FROM files WHERE lower(path) SIMILAR TO '.*[.](jpg|png)' ORDER BY pa
     def _(v):
         return detect.with_extensions(v.files.select("path"), (".JPG", ".png"))
 
-    @r.add("s17_image_headers", with_views("images") + "SELECT id, nullif(width, -1) AS width, height FROM images")
-    def _(v):
+    headers_sql = with_views("images") + "SELECT id, nullif(width, -1) AS width, height FROM images"
+
+    def image_bodies(v):
         hx = lambda c: F.lpad(F.hex(c), 8, "0")
         w, h = hx(F.col("width")), hx(F.col("height"))
         swap = lambda c: F.concat(*[F.substring(c, i, 2) for i in (7, 5, 3, 1)])
@@ -273,10 +278,21 @@ SELECT path FROM files WHERE lower(path) SIMILAR TO '.*[.](jpg|png)' ORDER BY pa
         bmp = F.concat(F.lit("424D"), F.lit("00" * 16), swap(w), swap(h), F.lit("01001800"))
         jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), F.substring(h, 5, 4), F.substring(w, 5, 4), F.lit("03012200"))
         body = F.when(F.col("format") == "png", png).when(F.col("format") == "bmp", bmp).otherwise(jpeg)
-        return readers.image_headers(v.images.select("id", F.unhex(body).alias("content")))
+        return v.images.select("id", "format", F.unhex(body).alias("content"))
+
+    @r.add("s17_image_headers", headers_sql)
+    def _(v):
+        return readers.image_headers(image_bodies(v).select("id", "content"))
+
+    @r.add("s17_image_files", headers_sql)
+    def _(v):
+        path = new_path(v.spark, "images")
+        files.write_named(image_bodies(v).withColumn("name", F.concat_ws(".", F.col("id").cast("string"), "format")), path, "name", "content")
+        found = files.image_files(v.spark, path)
+        return found.select(F.regexp_extract("path", r"([0-9]+)[.][a-z]+$", 1).cast("long").alias("id"), "width", "height")
 
     @r.add("g07_canonical_rows", with_views("annotations") + """
-, t AS (SELECT DISTINCT p_brand AS label, 'veh.' || replace(lower(p_brand), '#', '-') AS value FROM part WHERE p_size > 40)
+, t AS (SELECT DISTINCT CASE WHEN CAST(substring(p_brand, 7) AS INT) % 4 = 0 THEN p_brand || '?' ELSE p_brand END AS label, 'veh.' || replace(lower(p_brand), '#', '-') AS value FROM part)
 SELECT id, seq1, seq2, seq3, value AS canonical_label, CASE WHEN value IS NOT NULL THEN 'Veh_Brand_' || substring(label, 7) END AS canonical_name,
   CASE WHEN seq1 % 2 = 0 THEN x * 128 ELSE x END AS x, CASE WHEN seq1 % 2 = 0 THEN y * 64 ELSE y END AS y, CASE WHEN seq1 % 2 = 0 THEN width * 128 ELSE width END AS width,
   CASE WHEN seq1 % 2 = 0 THEN height * 64 ELSE height END AS height, CASE WHEN seq2 % 4 = 0 THEN 1.0 ELSE score_percent END AS confidence, value IS NULL AS is_unmapped FROM annotations LEFT JOIN t USING (label)""")
@@ -289,5 +305,7 @@ SELECT id, seq1, seq2, seq3, value AS canonical_label, CASE WHEN value IS NOT NU
             F.when(c("seq1") % 2 == 0, "normalized").otherwise("pixel").alias("coordinate_system"), F.when(c("seq2") % 4 != 0, c("score_percent")).alias("confidence"),
             F.lit(128).alias("image_width"), F.lit(64).alias("image_height"),
         )
-        table = v.table("part").where("p_size > 40").select(c("p_brand").alias("label"), F.concat(F.lit("veh."), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-"))).alias("canonical_value")).distinct()
+        brand = c("p_brand")
+        label = F.when(F.substring(brand, 7, 9).cast("int") % 4 == 0, F.concat(brand, F.lit("?"))).otherwise(brand)
+        table = v.table("part").select(label.alias("label"), F.concat(F.lit("veh."), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-"))).alias("canonical_value")).distinct()
         return convert.to_canonical(source, table).select(*KEY, "canonical_label", "canonical_name", "x", "y", "width", "height", "confidence", "is_unmapped")

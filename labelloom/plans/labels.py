@@ -66,11 +66,12 @@ FROM annotations a LEFT JOIN images i ON a.image_id = i.id""")
         )
 
     @r.add("j02_annotation_category", """
-WITH c AS (SELECT p_partkey AS id, p_type AS name FROM part WHERE p_type <> 'PROMO')
+WITH c AS (SELECT CASE WHEN p_type = 'PROMO' THEN -1 - p_partkey ELSE p_partkey END AS id, p_type AS name FROM part)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(name, CAST(l_partkey AS VARCHAR)) AS category_name FROM lineitem LEFT JOIN c ON l_partkey = id""")
     def _(v):
         lines = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.col("l_partkey").alias("category_id"))
-        cats = v.table("part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
+        moved = F.when(F.col("p_type") == "PROMO", -1 - F.col("p_partkey")).otherwise(F.col("p_partkey"))
+        cats = v.table("part").select(moved.alias("id"), F.col("p_type").alias("name"))
         return joins.with_category(lines, cats).drop("category_id")
 
     @r.add("j03_images_without_annotations", with_views("images", "annotations") + """
@@ -163,9 +164,10 @@ GROUP BY 1, 2""")
 
     @r.add("j15_stem_join", with_views("images", "files") + """
 SELECT i.id, i.file_path AS path, f.path AS other_path, regexp_replace(split_part(i.file_path, '/', -1), '[.][^.]+$', '') AS stem
-FROM images i JOIN files f ON regexp_replace(split_part(i.file_path, '/', -1), '[.][^.]+$', '') = regexp_replace(split_part(f.path, '/', -1), '[.][^.]+$', '')""")
+FROM images i JOIN files f ON split_part(i.file_path, '/', 1) = split_part(f.path, '/', 1) AND regexp_replace(split_part(i.file_path, '/', -1), '[.][^.]+$', '') = regexp_replace(split_part(f.path, '/', -1), '[.][^.]+$', '')""")
     def _(v):
-        return joins.by_stem(v.images.select("id", F.col("file_path").alias("path")), v.files.select("path"))
+        found = joins.by_stem(v.images.select("id", "dataset", F.col("file_path").alias("path")), v.files.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("dataset"), "path"), within=["dataset"])
+        return found.drop("dataset")
 
     # Mapping --------------------------------------------------------------------
     @r.add("o01_map_labels", with_views(*RULE_VIEWS, more=MAPPED) + """
@@ -193,10 +195,12 @@ UNION ALL SELECT canonical_value, pattern, 'regex', confidence::DOUBLE FROM patt
         return kinds[0].unionByName(kinds[1]).unionByName(patterns.select("canonical_value", c("pattern").alias("entry"), F.lit("regex").alias("kind"), "confidence"))
 
     @r.add("o13_apply_mapping", with_views("annotations", "mapping_rules") + """
-, t AS (SELECT label, canonical_value FROM (SELECT p_brand AS label, min(lower(p_type)) || '.mapped' AS canonical_value FROM part WHERE p_size < 3 GROUP BY 1))
+, t AS (SELECT CASE WHEN CAST(substring(p_brand, 7) AS INT) % 3 = 0 THEN p_brand || '?' ELSE p_brand END AS label, min(lower(p_type)) || '.mapped' AS canonical_value FROM part GROUP BY 1)
 SELECT id, seq1, seq2, label, coalesce(t.canonical_value, nullif(ontology_class, '')) AS ontology_class FROM annotations LEFT JOIN t USING (label)""")
     def _(v):
-        table = v.table("part").where("p_size < 3").groupBy(F.col("p_brand").alias("label")).agg(F.concat(F.min(F.lower("p_type")), F.lit(".mapped")).alias("canonical_value"))
+        brand = F.col("p_brand")
+        label = F.when(F.substring(brand, 7, 9).cast("int") % 3 == 0, F.concat(brand, F.lit("?"))).otherwise(brand)
+        table = v.table("part").groupBy(label.alias("label")).agg(F.concat(F.min(F.lower("p_type")), F.lit(".mapped")).alias("canonical_value"))
         return mapping.apply_mapping(v.annotations, table).select("id", "seq1", "seq2", "label", "ontology_class")
 
     best = "best AS (SELECT lower(trim(source_label)) AS label, canonical_value FROM mapping_rules QUALIFY row_number() OVER (PARTITION BY lower(trim(source_label)) ORDER BY created_at) = 1)"
@@ -288,11 +292,12 @@ FROM pairs JOIN st a ON source = a.dataset_name JOIN st b ON target = b.dataset_
         return mapping.compatibility(mapping.statistics(v.mapping_rules, nodes_of(v)), pairs)
 
     @r.add("a17_mapping_report", with_views("annotations", "mapping_rules", more=COUNTS) + """
-, t AS (SELECT DISTINCT canonical_value AS label FROM mapping_rules WHERE confidence >= 0.5)
+, t AS (SELECT DISTINCT CASE WHEN confidence >= 0.5 THEN canonical_value ELSE canonical_value || '?' END AS label FROM mapping_rules)
 SELECT dataset, count(*) AS classes, count(label) AS mapped, count(*) - count(label) AS unmapped, round(count(label) / count(*), 6) AS coverage
 FROM counts LEFT JOIN t ON class_name = label GROUP BY 1""")
     def _(v):
-        table = v.mapping_rules.where("confidence >= 0.5").select(F.col("canonical_value").alias("label")).distinct()
+        value = F.col("canonical_value")
+        table = v.mapping_rules.select(F.when(F.col("confidence") >= 0.5, value).otherwise(F.concat(value, F.lit("?"))).alias("label")).distinct()
         return mapping.mapping_report(stats.class_counts(v.annotations), table)
 
     # Concepts -------------------------------------------------------------------

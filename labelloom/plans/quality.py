@@ -58,7 +58,7 @@ consistency AS (
   JOIN (SELECT near.dataset, count_if(common < least(own, s) * 0.5) AS distant_images FROM near JOIN (SELECT dataset, count(*) AS s FROM ref GROUP BY 1) z USING (dataset) GROUP BY 1) USING (dataset))"""
 
 IMPORTS = """imported AS (SELECT id, image_id, dataset, label, x / 500 AS x1, y / 500 AS y1, (x + width) / 500 AS x2, (y + height - 3) / 500 AS y2 FROM annotations),
-known AS (SELECT p_brand AS class_name FROM part GROUP BY 1 HAVING max(p_size) = 50),
+known AS (SELECT CASE WHEN max(p_size) = 50 THEN p_brand ELSE p_brand || '?' END AS class_name FROM part GROUP BY p_brand),
 there AS (SELECT * FROM images WHERE file_path IN (SELECT path FROM files)),
 isum AS (SELECT dataset, count(*) AS images, count_if(file_path NOT IN (SELECT path FROM files)) AS missing_images FROM images GROUP BY 1),
 tsum AS (SELECT dataset, count(*) - count(DISTINCT id) AS duplicate_ids, count_if(width <= 0 OR height <= 0) AS invalid_dimensions,
@@ -101,7 +101,8 @@ def imports(v):
         "id", "image_id", "dataset", "label", (x / 500).alias("x1"), (y / 500).alias("y1"),
         ((x + F.col("width")) / 500).alias("x2"), ((y + F.col("height") - 3) / 500).alias("y2"),
     )
-    known = v.table("part").groupBy(F.col("p_brand").alias("class_name")).agg(F.max("p_size").alias("s")).where("s = 50").select("class_name")
+    largest = v.table("part").groupBy("p_brand").agg(F.max("p_size").alias("s"))
+    known = largest.select(F.when(F.col("s") == 50, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("?"))).alias("class_name"))
     return checks.import_validation(v.images, boxes, v.files, known)
 
 
@@ -275,12 +276,13 @@ UNION ALL SELECT 'missing_root', 'root' WHERE NOT EXISTS (SELECT 1 FROM bad WHER
 
     @r.add("v19_verify_checksums", """
 SELECT a.doc_id AS path, b.doc_id IS NULL AS is_missing, coalesce(sha256(b.text) = sha256(CASE WHEN a.n_chars % 9 = 0 THEN a.text || ' ' ELSE a.text END), false) AS matches
-FROM documents a LEFT JOIN (SELECT * FROM documents WHERE lang <> 'de') b USING (doc_id)""")
+FROM documents a LEFT JOIN (SELECT CASE WHEN lang = 'de' THEN -1 - doc_id ELSE doc_id END AS doc_id, text FROM documents) b USING (doc_id)""")
     def _(v):
         docs = v.table("documents")
         changed = F.when(F.col("n_chars") % 9 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
         manifest = docs.select(F.col("doc_id").alias("path"), F.sha2(changed, 256).alias("expected"))
-        return checks.verify_checksums(manifest, docs.where("lang <> 'de'").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("actual")))
+        moved = F.when(F.col("lang") == "de", -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+        return checks.verify_checksums(manifest, docs.select(moved.alias("path"), F.sha2("text", 256).alias("actual")))
 
     @r.add("v20_ready_datasets", """
 SELECT user_id AS dataset, arg_max(value, (ts, event_id)) AS overall, arg_max(event_type = 'purchase', (ts, event_id)) AS production_ready, count(*) AS reports FROM events GROUP BY 1""")

@@ -203,19 +203,20 @@ WHERE rn = 1 AND event_type <> 'error'""")
         return registry.latest(log_, ["user_id"], ["ts", "event_id"], ["value", "event_type"], "deleted")
 
     @r.add("c02_catalog_entries", """
-WITH e AS (SELECT o_orderkey AS id, 'old' AS origin, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P'),
+WITH e AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey ELSE o_orderkey END AS id, 'old' AS origin, o_totalprice AS v FROM orders),
 n AS (SELECT o_orderkey AS id, 'new' AS origin, o_totalprice AS v FROM orders), a AS (SELECT * FROM e UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM e)),
-u AS (SELECT o_orderkey AS id, 'changed' AS origin, o_totalprice * 2 AS v FROM orders WHERE o_orderpriority = '1-URGENT'),
+u AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey ELSE o_orderkey + 1000000000000 END AS id, 'changed' AS origin, o_totalprice * 2 AS v FROM orders),
 x AS (SELECT * FROM a WHERE id NOT IN (SELECT id FROM u) UNION ALL SELECT * FROM u WHERE id IN (SELECT id FROM a))
-SELECT origin, count(*) AS entries FROM x WHERE id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 3) GROUP BY 1""")
+SELECT origin, count(*) AS entries FROM x WHERE id NOT IN (SELECT CASE WHEN l_quantity < 3 THEN l_orderkey ELSE l_orderkey + 1000000000000 END FROM lineitem) GROUP BY 1""")
     def _(v):
         orders = v.table("orders")
-        row = lambda df, origin, value: df.select(F.col("o_orderkey").alias("id"), F.lit(origin).alias("origin"), value.alias("v"))
-        price = F.col("o_totalprice")
-        old = row(orders.where("o_orderstatus <> 'P'"), "old", price)
-        full = registry.insert(old, row(orders, "new", price), ["id"])
-        changed = registry.update(full, row(orders.where("o_orderpriority = '1-URGENT'"), "changed", price * 2), ["id"])
-        gone = v.table("lineitem").where("l_quantity < 3").select(F.col("l_orderkey").alias("id")).distinct()
+        row = lambda key, origin, value: orders.select(key.alias("id"), F.lit(origin).alias("origin"), value.alias("v"))
+        key, price, away = F.col("o_orderkey"), F.col("o_totalprice"), 1_000_000_000_000
+        old = row(F.when(F.col("o_orderstatus") == "P", -1 - key).otherwise(key), "old", price)
+        full = registry.insert(old, row(key, "new", price), ["id"])
+        changed = registry.update(full, row(F.when(F.col("o_orderpriority") == "1-URGENT", key).otherwise(key + away), "changed", price * 2), ["id"])
+        line = F.col("l_orderkey")
+        gone = v.table("lineitem").select(F.when(F.col("l_quantity") < 3, line).otherwise(line + away).alias("id")).distinct()
         return registry.count_by(registry.remove(changed, gone, ["id"]), ["origin"])
 
     @r.add("c03_sources_by_type", "SELECT c_custkey AS source_id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -251,13 +252,14 @@ SELECT user_id AS source_id, count(*) AS fetches, count_if(event_type <> 'error'
         return catalog.source_reliability(v.table("events").select(F.col("user_id").alias("source_id"), (F.col("event_type") != "error").alias("success")))
 
     @r.add("j07_enriched_entries", with_views(*CAT) + """
-, p AS (SELECT entry_id, count(*) AS classes, CAST(sum(n) AS BIGINT) AS annotations FROM class_profiles WHERE n > 1 GROUP BY 1),
+, p AS (SELECT CASE WHEN n > 1 THEN entry_id ELSE entry_id || '?' END AS entry_id, count(*) AS classes, CAST(sum(n) AS BIGINT) AS annotations FROM class_profiles GROUP BY 1),
 s AS (SELECT user_id AS source_id, round(greatest(0.1, least(1.0, count_if(event_type <> 'error') / count(*))), 6) AS reliability FROM events GROUP BY 1)
 SELECT entry_id, source_id, classes, annotations, reliability, CASE license_id WHEN 'cc0' THEN 0.0 WHEN 'cc_by_4' THEN 0.1 WHEN 'cc_by_sa_4' THEN 0.2 WHEN 'cc_nc' THEN 0.6
   WHEN 'mit' THEN 0.05 WHEN 'apache_2' THEN 0.05 WHEN 'odbl' THEN 0.3 WHEN 'pddl' THEN 0.0 WHEN 'proprietary' THEN 1.0 ELSE 0.8 END::DOUBLE AS license_risk
 FROM entries LEFT JOIN p USING (entry_id) LEFT JOIN s USING (source_id)""")
     def _(v):
-        profiles = v.class_profiles.where("n > 1").groupBy("entry_id").agg(F.count("*").alias("classes"), F.sum("n").alias("annotations"))
+        entry = F.when(F.col("n") > 1, F.col("entry_id")).otherwise(F.concat("entry_id", F.lit("?")))
+        profiles = v.class_profiles.groupBy(entry.alias("entry_id")).agg(F.count("*").alias("classes"), F.sum("n").alias("annotations"))
         fetches = v.table("events").select(F.col("user_id").alias("source_id"), (F.col("event_type") != "error").alias("success"))
         sources = catalog.source_reliability(fetches).select("source_id", "reliability")
         return catalog.enriched(v.entries, profiles, sources).select("entry_id", "source_id", "classes", "annotations", "reliability", "license_risk")

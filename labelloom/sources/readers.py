@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from labelloom.functions import geometry, text
 from labelloom.functions.geometry import Box
+from labelloom.sources import files, jsonsplit
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -82,12 +83,23 @@ def parse_yolo(lines: DataFrame, classes: DataFrame | None = None, unknown: str
     return named.select("stem", "class_id", F.coalesce("name", fallback).alias("class_name"), *corners.named(CORNERS))
 
 
+def yaml_classes(documents: DataFrame) -> DataFrame:
+    """(class_id, name) from the ``names`` list of whole ``data.yaml`` texts, where it
+    stands in one line, quoted in either way."""
+    listed = F.regexp_extract("value", r"(?m)^names:[ \t]*(\[.*\])[ \t]*$", 1)
+    return documents.select(F.posexplode(F.from_json(listed, "array<string>", {"allowSingleQuotes": "true"})).alias("class_id", "name"))
+
+
 def read_yolo(spark: SparkSession, root: str, labels: str = "labels", classes: str | None = "classes.txt", unknown: str | None = None) -> DataFrame:
-    """Label files below ``root/labels`` with the classes of ``root/classes.txt``."""
+    """Label files below ``root/labels`` with the classes of ``root/classes.txt`` or of a
+    ``data.yaml``."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(f"{root}/{labels}").select(
         text.stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("line")
     )
-    names = None if classes is None else class_list(spark.read.text(f"{root}/{classes}", wholetext=True))
+    names = None
+    if classes is not None:
+        text_of = spark.read.text(f"{root}/{classes}", wholetext=True)
+        names = yaml_classes(text_of) if classes.endswith((".yaml", ".yml")) else class_list(text_of)
     return parse_yolo(lines, names, unknown)
 
 
@@ -104,16 +116,20 @@ def images_of_stems(stems: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def coco_annotations(docs: DataFrame, keys: Sequence[str] = (), missing: str | None = None) -> DataFrame:
-    """Annotations of COCO structs with image size and category name.
+    """Annotations of COCO structs with image size and category name; see ``coco_rows``."""
+    parts = [docs.select(*keys, F.inline(name)) for name in ("images", "annotations", "categories")]
+    return coco_rows(*parts, keys, missing)
+
+
+def coco_rows(images: DataFrame, annotations: DataFrame, categories: DataFrame, keys: Sequence[str] = (), missing: str | None = None) -> DataFrame:
+    """Annotations with image size and category name, from the elements of the three lists.
 
     ``keys`` tell documents apart; ids are unique within one. A missing category is named
     by its id, or ``missing``. A filled segmentation makes the geometry a segmentation.
     """
-    images = docs.select(*keys, F.inline("images")).select(
-        *keys, F.col("id").alias("image_id"), "file_name", F.col("width").alias("image_width"), F.col("height").alias("image_height")
-    )
-    names = docs.select(*keys, F.inline("categories")).select(*keys, F.col("id").alias("category_id"), F.col("name").alias("_name"))
-    boxes = docs.select(*keys, F.inline("annotations")).withColumnRenamed("id", "annotation_id")
+    images = images.select(*keys, F.col("id").alias("image_id"), "file_name", F.col("width").alias("image_width"), F.col("height").alias("image_height"))
+    names = categories.select(*keys, F.col("id").alias("category_id"), F.col("name").alias("_name"))
+    boxes = annotations.withColumnRenamed("id", "annotation_id")
     box = _box_of("bbox")
     outlined = ~F.coalesce(F.regexp_replace("segmentation", r"\s+", ""), F.lit("")).isin("", "[]", "{}", "null")
     fallback = F.col("category_id") if missing is None else F.lit(missing)
@@ -147,13 +163,36 @@ def _as_fields(ddl: str) -> str:
     return ",".join(":".join(field.strip().split(" ", 1)) for field in out)
 
 
-def read_coco(spark: SparkSession, path: str, missing: str | None = None) -> DataFrame:
+def element_fields(ddl: str, name: str) -> str:
+    """Fields of the structs in the list ``name`` of a schema."""
+    listed = T.StructType.fromDDL(ddl)[name].dataType
+    return listed.elementType.simpleString()
+
+
+def _is_split(spark: SparkSession, path: str, split: bool | None) -> bool:
+    return jsonsplit.largest_file(spark, path) > jsonsplit.partition_bytes(spark) if split is None else split
+
+
+def read_coco(spark: SparkSession, path: str, missing: str | None = None, split: bool | None = None) -> DataFrame:
     """Annotations of one or many COCO documents; ``source_file`` names the document, since
-    ids are unique only within one."""
+    ids are unique only within one.
+
+    ``split`` lets many tasks read one document; by default where a file is larger than a
+    partition of ``spark.sql.files.maxPartitionBytes``.
+    """
+    if _is_split(spark, path, split):
+        elements = jsonsplit.read_elements(spark, path)
+        parts = [jsonsplit.section(elements, name, element_fields(COCO_SCHEMA, name)) for name in ("images", "annotations", "categories")]
+        return coco_rows(*parts, ("source_file",), missing)
     docs = spark.read.schema(COCO_SCHEMA).option("multiLine", "true").json(path)
     return coco_annotations(docs.select("*", F.col("_metadata.file_path").alias("source_file")), ("source_file",), missing)
 
 
+def read_document_list(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """Elements of the list ``name`` of large JSON documents, read by many tasks."""
+    return jsonsplit.section(jsonsplit.read_elements(spark, path), name, schema).drop("source_file")
+
+
 def coco_categories(docs: DataFrame) -> DataFrame:
     return docs.select(F.inline("categories")).select("id", "name", "supercategory")
 
@@ -269,7 +308,12 @@ def parse_json_images(texts: DataFrame, column: str, keys: Sequence[str] = ()) -
     return json_images(texts.select(*keys, F.when(is_list, listed).otherwise(held).alias("_e")), "_e", keys)
 
 
-def read_json_images(spark: SparkSession, path: str) -> DataFrame:
+def read_json_images(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
+    """Images of JSON documents; ``split`` as for ``read_coco``."""
+    if _is_split(spark, path, split):
+        entry = T.DataType.fromDDL(JSON_IMAGES_SCHEMA).elementType.simpleString()
+        found = jsonsplit.read_elements(spark, path).where("section IN ('', 'images')")
+        return json_images(found.select(F.array(F.from_json("element", entry)).alias("_e")), "_e")
     return parse_json_images(spark.read.text(path, wholetext=True), "value")
 
 
@@ -302,7 +346,11 @@ def parse_geojson(texts: DataFrame, column: str, keys: Sequence[str] = ()) -> Da
     return texts.select(*keys, F.from_json(column, f"struct<{_as_fields(GEOJSON_SCHEMA)}>").alias("_d")).select(*keys, "_d.*")
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
+    """Boxes of GeoJSON features; ``split`` as for ``read_coco``."""
+    if _is_split(spark, path, split):
+        found = jsonsplit.read_elements(spark, path).where("section = 'features'")
+        return geojson_boxes(found.select(F.array(F.from_json("element", element_fields(GEOJSON_SCHEMA, "features"))).alias("features")))
     files = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", "true").json(path)
     return geojson_boxes(files)
 
@@ -563,8 +611,21 @@ def image_headers(files: DataFrame, probe_jpeg: bool = True) -> DataFrame:
 
 
 def read_image_headers(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return image_headers(files.select("path", "length", F.sha2("content", 256).alias("sha256"), "content"))
+    """``path, length, sha256, width, height`` of image files.
+
+    Headers are read by range, and whole files only where ``sha256`` is used. Where no
+    ranges can be read, on stores that only Spark opens, contents are read whole.
+    """
+    try:
+        files.filesystem(path)
+    except (ValueError, OSError):
+        return _read_whole_headers(spark, path)
+    return files.image_files(spark, path).select("path", "length", "sha256", "width", "height")
+
+
+def _read_whole_headers(spark: SparkSession, path: str) -> DataFrame:
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return image_headers(listing.select("path", "length", F.sha2("content", 256).alias("sha256"), "content"))
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

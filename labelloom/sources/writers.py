@@ -6,6 +6,7 @@ and then a ``write_*`` function that lets Spark write it in parallel.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from labelloom.functions import text
 from labelloom.functions.numbers import fixed6
 from labelloom.operators.joins import with_image
-from labelloom.operators.skew import bucketed_row_number
+from labelloom.operators.skew import bucketed_row_number, join_on
 from labelloom.operators.stats import with_class
+from labelloom.sources import files
 
 
 def class_ids(annotations: DataFrame) -> DataFrame:
@@ -57,9 +59,51 @@ def write_label_files(lines: DataFrame, path: str, split: str = "split") -> None
     ).partitionBy(split, "image_id").text(path)
 
 
-def data_yaml(class_names: Sequence[str], splits: Sequence[str], root: str) -> str:
-    """Text of the ``data.yaml`` beside the label files."""
-    lines = [f"path: {root}", *[f"{s}: {s}/images" for s in splits], f"nc: {len(class_names)}", f"names: {list(class_names)}"]
+def label_paths(annotations: DataFrame, images: DataFrame, splits: DataFrame, layout: str = "{split}/labels/{stem}.txt") -> DataFrame:
+    """``path, line, id`` for named label files: the label lines of every image that has a
+    split, or one row without a line for an image without labels.
+
+    A stem that several images of a split share gets the image's id as a suffix, so that no
+    image writes into another's file. ``splits`` has ``id`` and ``split``.
+    """
+    named = images.join(splits.select("id", "split"), "id").select("id", "split", text.stem(F.col("file_path")).alias("_stem"))
+    shared = named.groupBy("split", "_stem").agg(F.count(F.lit(1)).alias("_n"))
+    placed = join_on(named, shared, ["split", "_stem"])
+    stem = F.when(F.col("_n") > 1, F.concat_ws("-", "_stem", F.col("id").cast("string"))).otherwise(F.col("_stem"))
+    before, between, after = (F.lit(part) for part in layout.replace("{stem}", "{split}").split("{split}"))
+    paths = placed.select(F.col("id").alias("image_id"), F.concat(before, "split", between, stem, after).alias("path"))
+    lines = label_lines(annotations, images).select("image_id", "id", "line")
+    return paths.join(lines, "image_id", "left").select("path", "image_id", "id", "line")
+
+
+def write_labels(lines: DataFrame, path: str) -> DataFrame:
+    """The files of ``label_paths`` below ``path``; gives their manifest.
+
+    The lines of a file stand in the order of annotation ids, then of the lines."""
+    content = F.when(F.col("line").isNotNull(), F.concat("line", F.lit("\n")))
+    return files.write_named(lines.withColumn("_content", content), path, "path", "_content", ["id", "line"])
+
+
+def write_yolo(annotations: DataFrame, images: DataFrame, splits: DataFrame, path: str) -> DataFrame:
+    """A directory that trainers open: ``<split>/labels/<stem>.txt`` for every image,
+    ``data.yaml`` and ``classes.txt``. Gives the manifest of the label files."""
+    manifest = write_labels(label_paths(annotations, images, splits), path)
+    _write_class_files(annotations, splits, path, "{split}/images")
+    return manifest
+
+
+def _write_class_files(annotations: DataFrame, splits: DataFrame, path: str, images_at: str) -> list[str]:
+    """``data.yaml`` and ``classes.txt``; the class list is one document in these formats."""
+    names = [r["class_name"] for r in class_ids(annotations).orderBy("class_id").toLocalIterator()]
+    found = sorted(r["split"] for r in splits.select("split").distinct().collect())
+    files.put_text(f"{path}/data.yaml", data_yaml(names, found, path, images_at))
+    files.put_text(f"{path}/classes.txt", "".join(f"{name}\n" for name in names))
+    return names
+
+
+def data_yaml(class_names: Sequence[str], splits: Sequence[str], root: str, images_at: str = "{split}/images") -> str:
+    """Text of the ``data.yaml`` beside the label files; names as a JSON list, which is YAML."""
+    lines = [f"path: {root}", *[f"{s}: {images_at.format(split=s)}" for s in splits], f"nc: {len(class_names)}", f"names: {json.dumps(list(class_names), ensure_ascii=False)}"]
     return "\n".join(lines) + "\n"
 
 
@@ -92,17 +136,18 @@ def coco_categories(annotations: DataFrame) -> DataFrame:
     return class_ids(annotations).select((F.col("class_id") + 1).alias("id"), F.col("class_name").alias("name"), F.lit("object").alias("supercategory"))
 
 
-def coco_json(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+def coco_json(images: DataFrame, annotations: DataFrame, categories: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(section, line): each image, annotation and category as one JSON object."""
-    pics = images.select(F.lit("images").alias("section"), F.to_json(F.struct(F.col("coco_id").alias("id"), "file_name", "width", "height")).alias("line"))
+    pics = images.select(F.lit("images").alias("section"), F.to_json(F.struct(F.col("coco_id").alias("id"), "file_name", "width", "height")).alias("line"), *keep)
     boxes = annotations.select(
         F.lit("annotations"),
         F.to_json(F.struct(
             F.col("coco_id").alias("id"), F.col("coco_image_id").alias("image_id"), "category_id",
             F.array("x", "y", "width", "height").alias("bbox"), "area", "iscrowd",
         )),
+        *keep,
     )
-    return pics.union(boxes).union(categories.select(F.lit("categories"), F.to_json(F.struct("id", "name", "supercategory"))))
+    return pics.union(boxes).union(categories.select(F.lit("categories"), F.to_json(F.struct("id", "name", "supercategory")), *keep))
 
 
 def write_coco(sections: DataFrame, path: str) -> None:
@@ -110,6 +155,14 @@ def write_coco(sections: DataFrame, path: str) -> None:
     sections.write.mode("overwrite").partitionBy("section").text(path)
 
 
+def write_coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> int:
+    """One COCO document at ``path`` from the rows of ``coco_images``, ``coco_annotations``
+    and ``coco_categories``, by as many writers as there are partitions. Gives its bytes."""
+    numbered = lambda rows, key: rows.withColumn("_order", F.col(key).cast("long"))
+    lines = coco_json(numbered(images, "coco_id"), numbered(annotations, "coco_id"), numbered(categories, "id"), keep=["_order"])
+    return files.write_document(lines, path, ["images", "annotations", "categories"], ["_order"])
+
+
 def voc_documents(annotations: DataFrame, images: DataFrame) -> DataFrame:
     """One document per image with integer corners, as the format wants it: the objects of
     an image, however many, are one row."""
@@ -174,19 +227,19 @@ def write_rules(rules: DataFrame, path: str, fmt: str) -> None:
     writer.json(path) if fmt == "json" else writer.option("header", True).csv(path)
 
 
-def file_manifest(files: DataFrame) -> DataFrame:
+def file_manifest(listing: DataFrame) -> DataFrame:
     """(path, size, sha256) of a binaryFile listing."""
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return listing.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def manifest_summary(files: DataFrame, by: Sequence[str]) -> DataFrame:
+def manifest_summary(listing: DataFrame, by: Sequence[str]) -> DataFrame:
     """Files, bytes and one checksum over the (path, checksum) pairs of each group.
 
     The pairs are hashed apart and added up, so their order does not matter and no task
     holds them all.
     """
     part = F.conv(F.substring(F.md5(F.concat_ws("|", "path", "sha256")), 1, 12), 16, 10).cast("decimal(38,0)")
-    return files.groupBy(*by).agg(
+    return listing.groupBy(*by).agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.sum(part).cast("string").alias("checksum")
     )
 
@@ -226,11 +279,13 @@ def metadata_record(totals: DataFrame, scores: DataFrame, checksums: DataFrame)
     return rows.withColumn("record", F.to_json(nested))
 
 
-def merged_labels(labels: DataFrame, images: DataFrame) -> DataFrame:
-    """Label texts (path, value) of a file-level export beside the image of the same stem;
-    labels without an image are left out, images without labels keep an empty text."""
-    text_of = labels.select(text.stem(F.col("path")).alias("stem"), F.col("value").alias("labels"))
-    return images.select(F.col("path").alias("image"), text.stem(F.col("path")).alias("stem")).join(text_of, "stem", "left").na.fill("", ["labels"])
+def merged_labels(labels: DataFrame, images: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Label texts (path, value) of a file-level export beside the image of the same stem
+    and the same columns ``within``, such as the source; labels without an image are left
+    out, images without labels keep an empty text."""
+    text_of = labels.select(*within, text.stem(F.col("path")).alias("stem"), F.col("value").alias("labels"))
+    pictures = images.select(*within, F.col("path").alias("image"), text.stem(F.col("path")).alias("stem"))
+    return join_on(pictures, text_of, [*within, "stem"], "left").na.fill("", ["labels"])
 
 
 def write_training_export(lines: DataFrame, annotations: DataFrame, path: str, dataset: str) -> DataFrame:
@@ -239,14 +294,42 @@ def write_training_export(lines: DataFrame, annotations: DataFrame, path: str, d
     spark = lines.sparkSession
     write_label_files(lines, f"{path}/labels")
     class_ids(annotations).orderBy("class_id").select("class_id", "class_name").write.mode("overwrite").json(f"{path}/classes")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/labels")
-    file_manifest(files).write.mode("overwrite").json(f"{path}/manifest")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/labels")
+    file_manifest(listing).write.mode("overwrite").json(f"{path}/manifest")
     info = lines.groupBy("split").agg(F.count(F.lit(1)).alias("annotations"), F.count_distinct("image_id").alias("images"))
     info.withColumn("dataset", F.lit(dataset)).write.mode("overwrite").json(f"{path}/dataset_info")
     return spark.read.json(f"{path}/manifest")
 
 
+def write_training_package(annotations: DataFrame, images: DataFrame, splits: DataFrame, path: str, dataset: str) -> DataFrame:
+    """A package that a trainer opens, and its manifest ``path, size, sha256``.
+
+    ``labels/<split>/<stem>.txt`` for every image, ``data.yaml``, ``classes.txt``,
+    ``export.json`` with classes and counts, ``dataset_info.json`` with images per split,
+    and ``manifest.json`` over all files but itself.
+    """
+    lines = label_paths(annotations, images, splits, "labels/{split}/{stem}.txt")
+    manifest = write_labels(lines, path)
+    names = _write_class_files(annotations, splits, path, "images/{split}")
+    split = F.split_part("path", F.lit("/"), F.lit(2))
+    counts = lines.groupBy(split.alias("split")).agg(F.count_distinct("path").alias("images"), F.count("line").alias("annotations"))
+    found = {r["split"]: r for r in counts.collect()}
+    about = {"dataset_name": dataset, "class_count": len(names), "class_names": names}
+    export = about | {f"{s}_count": r["images"] for s, r in sorted(found.items())} | {f"{s}_annotations": r["annotations"] for s, r in sorted(found.items())}
+    export |= {"total_annotations": sum(r["annotations"] for r in found.values()), "status": "completed"}
+    files.put_text(f"{path}/export.json", json.dumps(export, indent=2) + "\n")
+    files.put_text(f"{path}/dataset_info.json", json.dumps(about | {"splits": {s: {"image_count": r["images"]} for s, r in sorted(found.items())}}, indent=2) + "\n")
+    added = [files.describe(path, name) for name in ("classes.txt", "data.yaml", "dataset_info.json", "export.json")]
+    manifest = manifest.union(lines.sparkSession.createDataFrame(added, files.MANIFEST))
+    listed = manifest.select(F.lit("files").alias("section"), F.to_json(F.struct("path", F.col("size").alias("size_bytes"), "sha256")).alias("line"), "path")
+    files.write_document(listed, f"{path}/manifest.json", ["files"], ["path"], {"manifest_version": "1.0"})
+    return manifest
+
+
 WRITERS = {
+    "package": write_training_package,
+    "yolo_package": write_yolo,
+    "coco_document": write_coco_document,
     "training": write_training_export,
     "yolo": write_label_files,
     "coco": write_coco,

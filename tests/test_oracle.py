@@ -17,8 +17,8 @@ def test_every_sql_belongs_to_a_query():
     assert entry.FLAGSHIP in PLANS
 
 
-# The only two that need Python: the JPEG header probe and the early-stopping fold.
-PYTHON_OK = {"s17_image_headers", "w04_early_stopping"}
+# The only ones that need Python: the header probes and the early-stopping fold.
+PYTHON_OK = {"s17_image_headers", "s17_image_files", "w04_early_stopping"}
 
 
 def check_plan(name, df):
@@ -32,8 +32,7 @@ def check_plan(name, df):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     df = PLANS[name](spark, SF)
-    if name not in ("o16_conflicts", "o11_descendants"):
-        check_plan(name, df)
+    check_plan(name, df)
     assert difference(spark_rows(df), duck_rows(duck, SQL[name])) is None
 
 
