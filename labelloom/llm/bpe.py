@@ -43,7 +43,7 @@ LATER_NUMBERS = r"\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550
 
 #: Entries kept of the pieces and pairs met lately, so a worker's memory does not grow with
 #: its texts.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Pairs of tokens are kept in a table of two to the power of this many places.
 FIT_BITS = 20
 #: Pieces worked out together, and characters of one that still goes with the others.
@@ -122,6 +122,7 @@ class Coder:
     """Encoder and decoder for one vocabulary file of byte-level merges."""
 
     def __init__(self, definition: bytes) -> None:
+        import numpy as np
         import regex
 
         parts = json.loads(definition)
@@ -168,8 +169,10 @@ class Coder:
         self.strict = regex.compile("(?V1)" + _pattern(letters, numbers, r"\s", r"\S", rf"[[^\s\p{{L}}\p{{N}}]||[{newer}]]"))
         by_length = sorted(self.added, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older_pieces: dict[str, tuple[int, ...]] = {}
+        self.late = re.compile(f"[{LATER_LETTERS[0]}-\U0010ffff]").search
+        #: Pieces met lately, and the ids of each by its number.
+        self.number: dict[str, int] = {}
+        self.ids, self.counts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
 
     def _link_suffixes(self) -> None:
         """Automaton over the tokens: a state is the longest ending of what was read that
@@ -249,8 +252,9 @@ class Coder:
             found[found < 0] = np.array(answers, dtype=np.int32)[there]
         return found > 0
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of sorted different pieces that no split cuts, none of them empty.
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, one after the other, and number of ids of sorted different pieces that no
+        split cuts, none of them empty.
 
         All pieces go forward together, a byte at a time. A prefix that several share is
         worked out for the first of them, which lies next to the others.
@@ -307,8 +311,7 @@ class Coder:
         ids = np.empty(int(ends[-1]), dtype=np.int32)
         for k, (who, token) in enumerate(steps):
             ids[ends[who] - 1 - k] = token
-        listed, borders = ids.tolist(), [0, *ends.tolist()]
-        return [tuple(listed[a:b]) for a, b in zip(borders, borders[1:])]  # noqa: B905 - neighbours
+        return ids, many
 
     def encode_long(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece of any length, by the same steps."""
@@ -337,28 +340,26 @@ class Coder:
         return tuple(found[::-1])
 
     def _split(self, text: str) -> list[str]:
-        pattern = self.strict if not text.isascii() and max(text) >= LATER_LETTERS[0] else self.pattern
-        return pattern.findall(text)
-
-    def _table(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each piece."""
-        known, older = self.pieces.get, self.older_pieces.get
-        table = {piece: ids for piece in pieces if (ids := known(piece) or older(piece))}
-        missing = list(pieces - table.keys())
-        missing.sort()
-        short = [p.encode() for p in missing if len(p) <= LONG_PIECE]
-        for start in range(0, len(short), PIECES):
-            part = short[start : start + PIECES]
-            for piece, ids in zip(part, self.encode_pieces(part), strict=True):
-                text = piece.decode()
-                table[text] = ids
-                if len(self.pieces) >= REMEMBERED:
-                    self.older_pieces, self.pieces = self.pieces, {}
-                self.pieces[text] = ids
-        for piece in missing:
-            if len(piece) > LONG_PIECE:
-                table[piece] = self.encode_long(piece.encode())
-        return table
+        return (self.strict if not text.isascii() and self.late(text) else self.pattern).findall(text)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Keep the ids of pieces that are not kept yet."""
+        import numpy as np
+
+        missing = pieces - self.number.keys()
+        if len(self.number) + len(missing) > max(REMEMBERED, len(missing)):
+            self.number.clear()
+            self.ids, self.counts = self.ids[:0], self.counts[:0]
+            missing = pieces
+        ordered = sorted(missing)
+        found: list[np.ndarray] = [self.ids]
+        counts: list[np.ndarray] = [self.counts]
+        for start in range(0, len(ordered), PIECES):
+            ids, many = self.encode_pieces([p.encode() for p in ordered[start : start + PIECES]])
+            found.append(ids)
+            counts.append(many)
+        self.number.update(zip(ordered, range(len(self.counts), len(self.counts) + len(ordered)), strict=True))
+        self.ids, self.counts = np.concatenate(found), np.concatenate(counts)
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of texts as arrays; strings of added tokens become those tokens.
@@ -384,11 +385,14 @@ class Coder:
         import numpy as np
 
         distinct = set().union(*group)
-        added = {p for p in distinct if isinstance(p, tuple)}
-        table = self._table(distinct - added) | {p: (self.added[p[0]],) for p in added}
-        number = dict(zip(table, range(len(table)), strict=True))
-        counts = np.fromiter(map(len, table.values()), dtype=np.int64, count=len(table))
-        ids = np.fromiter(chain.from_iterable(table.values()), dtype=np.int32, count=int(counts.sum()))
+        apart = {p for p in distinct if isinstance(p, tuple) or len(p) > LONG_PIECE}
+        self._learn(distinct - apart)
+        number, ids, counts = self.number, self.ids, self.counts
+        if apart:  # added tokens and long pieces are not kept
+            more = {p: (self.added[p[0]],) if isinstance(p, tuple) else self.encode_long(p.encode()) for p in apart}
+            number = number | dict(zip(more, range(len(counts), len(counts) + len(more)), strict=True))
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(more.values()), dtype=np.int32)])
+            counts = np.concatenate([counts, np.fromiter(map(len, more.values()), dtype=np.int64)])
         begins = np.cumsum(counts) - counts
         for pieces in group:
             which = np.fromiter(map(number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
