@@ -3,8 +3,9 @@
 All k-grams of document words are joined by hash to the k-grams of license templates. A copy
 of a template shows as many matches on one diagonal (place in the document minus place in
 the template); inserted or lost words move it to a neighbouring one. Votes are counted per
-diagonal, neighbouring diagonals are merged, and a merged run counts when it holds enough of
-the template within a span that is not much longer.
+diagonal; the fullest ones gather the neighbouring diagonals, and what they hold counts as
+far as it stands in the order of the template, when that is enough of it within a span that
+is not much longer.
 """
 
 from __future__ import annotations
@@ -89,20 +90,31 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates
     exact = diagonals.where(F.col("exact") & (F.size("places") == F.col("n_grams"))).select(
         "doc", "body", "label", "exact", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_grams") + k - 2).alias("end"), F.lit(1.0).alias("share")
     )
-    loose = diagonals.where(~F.col("exact"))
-    line = W.partitionBy("doc", "body", "template").orderBy("diagonal")
-    runs = loose.withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 30)).over(line) > neighbour).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(line))
-    merged = runs.groupBy("doc", "body", "template", "run").agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-        F.min(F.col("diagonal") + F.array_min("places")).alias("start"),
-        (F.max(F.col("diagonal") + F.array_max("places")) + k - 1).alias("end"),
-        F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("n_grams").alias("n_grams"),
+    # Votes are counted first. A copy with ``min_share`` of the k-grams on 2 * neighbour + 1
+    # diagonals has at least so many on one of them; of diagonals that close, the fullest count.
+    loose = diagonals.where(~F.col("exact")).withColumn("votes", F.size("places"))
+    around = W.partitionBy("doc", "body", "template").orderBy("diagonal").rangeBetween(-neighbour, neighbour)
+    near = loose.withColumn("most", F.max("votes").over(around)).withColumn("near", F.collect_list(F.struct("diagonal", "places")).over(around))
+    enough = F.col("votes") * (2 * neighbour + 1) >= F.col("n_grams") * F.lit(min_share)
+    peaks = near.where((F.col("votes") == F.col("most")) & enough)
+    # The k-grams near the peak are taken in the order of the template, each at its first place
+    # after the one before; what stands in another order does not count.
+    matches = F.array_sort(
+        F.flatten(F.transform("near", lambda d: F.transform(d["places"], lambda t: F.struct(t.alias("t"), (d["diagonal"] + t).alias("p")))))
+    )
+    start = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("p"), F.lit(0).alias("n"), F.lit(-1).alias("first"))
+
+    def follow(held: Column, match: Column) -> Column:
+        taken = F.struct(match["t"].alias("t"), match["p"].alias("p"), (held["n"] + 1).alias("n"), F.when(held["n"] == 0, match["p"]).otherwise(held["first"]).alias("first"))
+        return F.when((match["t"] > held["t"]) & (match["p"] > held["p"]), taken).otherwise(held)
+
+    chained = peaks.withColumn("chain", F.aggregate(matches, start, follow))
+    found = chained.select(
+        "doc", "body", "label", "exact", F.col("chain.first").alias("start"), (F.col("chain.p") + k - 1).alias("end"), (F.col("chain.n") / F.col("n_grams")).alias("share"), "n_grams"
     )
-    share = F.size("places") / F.col("n_grams")
     fits = F.col("end") - F.col("start") + 1 <= 2 * (F.col("n_grams") + k - 1)
-    verified = merged.withColumn("share", share).where((share >= min_share) & fits)
-    return exact.unionByName(verified.select("doc", "body", "label", "exact", "start", "end", "share"))
+    verified = found.where((F.col("share") >= min_share) & fits).drop("n_grams")
+    return exact.unionByName(verified)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -486,3 +486,61 @@ def test_language_equals_a_plain_search(spark):
         away = {lang: sum(abs(r[g] - k) if g in r else langid.PROFILE for k, g in enumerate(top)) for lang, r in ranks.items()}
         best = min(sorted(away), key=away.get)
         assert got[doc_id][0] == best and abs(got[doc_id][1] - (1 - away[best] / (langid.PROFILE * len(top)))) < 1e-9
+
+
+def plain_share(words, template, k, neighbour):
+    """Best share of a template's k-grams found in order near one diagonal, by trying them all."""
+    grams = [tuple(template[i : i + k]) for i in range(len(template) - k + 1)]
+    places = {}
+    for p in range(len(words) - k + 1):
+        for t, g in enumerate(grams):
+            if tuple(words[p : p + k]) == g:
+                places.setdefault(p - t, []).append((t, p))
+    best = 0.0
+    for d in places:
+        votes = {e: len(places[e]) for e in places if abs(e - d) <= neighbour}
+        if votes[d] < max(votes.values()):
+            continue
+        last_t = last_p = first = -1
+        n = 0
+        for t, p in sorted(m for e in votes for m in places[e]):
+            if t > last_t and p > last_p:
+                first = p if not n else first
+                last_t, last_p, n = t, p, n + 1
+        share = n / len(grams)
+        if share >= licensescan.MIN_SHARE and last_p + k - first <= 2 * len(template):
+            best = max(best, share)
+    return best
+
+
+def test_license_notices_after_their_own_words(spark):
+    few = ["a licensed under b licensed under c licensed under d licensed under e licensed under cc by nc 4 0"]
+    few += [" ".join(f"licensed under x{i}" for i in range(5)) + " licensed under the apache license version 2 0", "released under foo / bar / baz / the mit license"]
+    few += ["cc by nc licensed under mit under cc 4 0 by nc 4 0", "license mit the under released", "licensed under the apache license"]
+    found = {r["doc_id"]: r["labels"] for r in licensescan.scan(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")).collect()}
+    assert found == {0: "cc-by,cc-by-nc", 1: "apache-2.0", 2: "mit", 3: "cc-by", 4: "", 5: ""}
+
+
+def test_license_labels_equal_alignment_of_random_texts(spark):
+    pick = random.Random(12)
+    vocabulary = sorted({w for t, _ in licensescan.TEMPLATES for w in t.split()})
+    rows = []
+    for i in range(400):
+        words = [pick.choice(vocabulary) for _ in range(pick.randint(0, 12))]
+        for _ in range(pick.randint(0, 3)):
+            words += [w for w in pick.choice(licensescan.TEMPLATES)[0].split() if pick.random() > 0.12 for w in ([w, pick.choice(vocabulary)] if pick.random() < 0.1 else [w])]
+            words += [pick.choice(vocabulary) for _ in range(pick.randint(0, 6))]
+        rows.append((i, " ".join(words)))
+    found = {r["doc_id"]: r for r in licensescan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    labelled = 0
+    for i, body in rows:
+        shares = {}
+        for template, label in licensescan.TEMPLATES:
+            share = plain_share(body.split(), template.split(), licensescan.K, licensescan.NEIGHBOUR)
+            if share:
+                shares[label] = max(share, shares.get(label, 0))
+        base = set(filter(None, found[i]["base_labels"].split(",")))
+        assert set(filter(None, found[i]["labels"].split(","))) == base | set(shares), body
+        assert abs(found[i]["score"] - max([*shares.values(), *[1.0] * bool(base)], default=0.0)) < 1e-9
+        labelled += bool(shares)
+    assert labelled > 150
