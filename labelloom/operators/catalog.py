@@ -61,18 +61,14 @@ def entry_scores(entries: DataFrame, class_profiles: DataFrame, taxonomy: DataFr
     overall = (
         w["quality"] * F.col("_q") + w["coverage"] * F.col("_c") + w["diversity"] * F.col("_d") + w["license"] * F.col("_l") + w["source"] * F.col("_s")
     )
-    reasons = F.concat_ws(
-        "; ",
-        F.when(F.col("_q") >= 0.7, "high quality"),
-        F.when(F.col("_c") >= 0.6, "good taxonomy coverage"),
-        F.when(F.col("_d") >= 0.6, "diverse class distribution"),
-        F.when(F.col("_l") >= 0.8, "permissive license"),
-    )
+    # The scores that speak for the entry.
+    strong = {"quality": ("_q", 0.7), "coverage": ("_c", 0.6), "diversity": ("_d", 0.6), "license": ("_l", 0.8)}
+    reasons = F.concat_ws(", ", *[F.when(F.col(score) >= least, name) for name, (score, least) in strong.items()])
     return scored.select(
         "entry_id", "domain",
         *[F.round(c, 4).alias(n) for c, n in (("_q", "quality_score"), ("_c", "coverage_score"), ("_d", "diversity_score"), ("_l", "license_score"))],
         F.round(overall, 4).alias("overall_score"),
-        F.when(reasons == "", "moderate scores").otherwise(reasons).alias("reason"),
+        reasons.alias("reason"),
     )
 
 
@@ -145,9 +141,7 @@ def gap_report(found: DataFrame) -> DataFrame:
 def gap_recommendations(found: DataFrame, per_impact: int = 5) -> DataFrame:
     """First critical and first high gaps, with what to do."""
     urgent = found.where(F.col("impact").isin("critical", "high"))
-    action = F.when(F.col("impact") == "critical", "Acquire datasets covering this node immediately").otherwise(
-        "Prioritize acquisition for this taxonomy node"
-    )
+    action = F.when(F.col("impact") == "critical", "get data now").otherwise("get data next")
     return top_k(urgent, ["impact"], ["node_id"], per_impact).select("impact", "rank", "node_id", "name", "severity", action.alias("action"))
 
 

@@ -537,6 +537,7 @@ def ontology_issues(nodes: DataFrame) -> DataFrame:
     return orphans.unionByName(top).unionByName(again).unionByName(rootless)
 
 
+# What training settings may name.
 OPTIMIZERS = ("adam", "adamw", "sgd", "rmsprop", "adamax")
 SCHEDULERS = ("cosine", "step", "linear", "polynomial", "constant")
 DEVICES = ("cpu", "cuda", "mps")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom import config
-from labelloom.operators.skew import bucketed_row_number, hash_bucket, join_group_summary
+from labelloom.operators.skew import bucketed_row_number, hash_bucket, join_group_summary, ranged
 from labelloom.operators.stats import with_class
 
 BACKGROUND = "__background__"
@@ -188,6 +188,43 @@ def stratified_split(
     return _cut(strata, ["stratum"], seed, digits, first, second)
 
 
+#: Steps of a sequence that fills 0 to 2**32 evenly, however long it goes on.
+_STEP = 2_654_435_769
+
+
+def balanced_split(
+    images: DataFrame,
+    annotations: DataFrame,
+    train: float = config.TRAIN_RATIO,
+    validation: float = config.VALIDATION_RATIO,
+    test: float = config.TEST_RATIO,
+    seed: int = config.SPLIT_SEED,
+) -> DataFrame:
+    """Images with a split in which every label has about the ratios of the whole.
+
+    Images are put in the order of their labels, the rarest label first, and by a seeded hash
+    where they carry the same ones. Along this order they take evenly spread turns, so any
+    stretch of it, such as the images of one rare label, is shared out by the ratios. Of n
+    images floor(n x ratio) go to train and to validation and the rest to test. Ids are unique.
+    """
+    check_ratios(train, validation, test)
+    carried = with_class(annotations).select(F.col("image_id").alias("id"), "class_name").distinct()
+    counts = carried.groupBy("class_name").agg(F.count(F.lit(1)).alias("_count"))
+    listed = carried.join(counts, "class_name").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_count", "class_name"))).alias("_labels"))
+    named = F.array_join(F.transform("_labels", lambda x: F.concat(F.lpad(x["_count"].cast("string"), 12, "0"), x["class_name"])), "|")
+    hashed = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))))
+    rows = images.select("id").join(listed, "id", "left").select("id", F.coalesce(named, F.lit("")).alias("_labels"), hashed.alias("_h"))
+    order = ["_labels", "_h", "id"]
+    ranked = bucketed_row_number(ranged(rows, [], order), [], "_range", order, "_rank")
+    turn = ((F.col("_rank") % (1 << 31)) * F.lit(_STEP)) % (1 << 32)
+    turns = ranked.select("id", turn.alias("_turn")).withColumn("_bucket", F.shiftright("_turn", 20))
+    placed = bucketed_row_number(turns, [], "_bucket", ["_turn", "id"], "_place")
+    n = images.agg(F.count(F.lit(1)).alias("n")).scalar()
+    first, second = F.floor(n * train), F.floor(n * validation)
+    split = F.when(F.col("_place") <= first, "train").when(F.col("_place") <= first + second, "validation").otherwise("test")
+    return images.join(placed.select("id", split.alias("split")), "id")
+
+
 def split_annotations(annotations: DataFrame, assigned: DataFrame) -> DataFrame:
     """Annotations with the split of their image; those without image are left out."""
     return annotations.join(assigned.select(F.col("id").alias("image_id"), "split"), "image_id")

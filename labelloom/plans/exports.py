@@ -114,6 +114,16 @@ strata AS (SELECT i.id, coalesce(f, '__background__') AS stratum FROM images i L
         strata = merge_split.commonest_class(v.images, v.annotations)
         return merge_split.stratified_split(strata, fill_small=False).select("id", "stratum", "split")
 
+    turns = """lc AS (SELECT class_name, count(DISTINCT image_id) AS c FROM labels_ GROUP BY 1),
+sig AS (SELECT image_id AS id, string_agg(lpad(CAST(c AS VARCHAR), 12, '0') || class_name, '|' ORDER BY c, class_name) AS sig FROM (SELECT DISTINCT image_id, class_name FROM labels_) JOIN lc USING (class_name) GROUP BY 1)"""
+
+    @r.add("p04_balanced_split", with_views("images", "annotations", more=LABELS + ",\n" + turns) + f"""
+, k AS (SELECT i.id, row_number() OVER (ORDER BY coalesce(sig, ''), {ORDER.replace('id AS', 'i.id AS')}, i.id) AS place FROM images i LEFT JOIN sig ON sig.id = i.id),
+o AS (SELECT id, row_number() OVER (ORDER BY (place % 2147483648 * 2654435769) % 4294967296, id) AS rn, count(*) OVER () AS n FROM k)
+SELECT id, {split_sql(t, w)} FROM o""")
+    def _(v):
+        return merge_split.balanced_split(v.images, v.annotations).select("id", "split")
+
     @r.add("p05_split_annotations", with_views("images", "annotations") + f"""
 , o AS (SELECT id, row_number() OVER (ORDER BY {ORDER}, id) AS rn, count(*) OVER () AS n FROM images), s AS (SELECT id, {split_sql(t, w)} FROM o)
 SELECT split, dataset, count(*) AS annotations, count(DISTINCT a.id) AS ids FROM annotations a JOIN s ON s.id = a.image_id GROUP BY 1, 2""")
@@ -282,10 +292,9 @@ SELECT rule_id, dataset_name, source_label, canonical_value, match_type, confide
 
     names = ("image", "annotation", "geometry", "coverage", "balance", "integrity", "consistency")
     lines = [
-        "'# Quality Report: ' || dataset", "''", "'- **Score:** ' || printf('%.1f', overall) || '/100'", "'- **Grade:** ' || grade",
-        "'- **Production Ready:** ' || CASE WHEN production_ready THEN 'Yes' ELSE 'No' END", "''", "'| Metric | Score |'", "'|--------|-------|'",
-        *[f"'| {n.title()} | ' || printf('%.1f', {n}_score) || '/100 |'" for n in names],
-        "''", "'- **Errors:** ' || errors", "'- **Warnings:** ' || warnings", "'- **Info:** ' || infos",
+        "'# ' || dataset", "printf('%.1f', overall) || ' of 100, grade ' || grade || ', ' || CASE WHEN production_ready THEN 'ready for production' ELSE 'not ready for production' END", "''",
+        *[f"'* {n}: ' || printf('%.1f', {n}_score)" for n in names],
+        "''", "'Found: ' || errors || ' errors, ' || warnings || ' warnings, ' || infos || ' notes'",
     ]
 
     @r.add(

@@ -48,8 +48,7 @@ raw AS (SELECT entry_id, domain, format_consistency * (1 - least(missing / great
   FROM entries LEFT JOIN cov USING (entry_id) JOIN div USING (entry_id), nn),
 scores AS (SELECT entry_id, domain, round(q, 4) AS quality_score, round(c, 4) AS coverage_score, round(d, 4) AS diversity_score, round(l, 4) AS license_score,
   round(0.3 * q + 0.25 * c + 0.15 * d + 0.15 * l + 0.15 * s, 4) AS overall_score,
-  CASE WHEN q < 0.7 AND c < 0.6 AND d < 0.6 AND l < 0.8 THEN 'moderate scores' ELSE concat_ws('; ', CASE WHEN q >= 0.7 THEN 'high quality' END, CASE WHEN c >= 0.6 THEN 'good taxonomy coverage' END,
-    CASE WHEN d >= 0.6 THEN 'diverse class distribution' END, CASE WHEN l >= 0.8 THEN 'permissive license' END) END AS reason FROM raw)"""
+  concat_ws(', ', CASE WHEN q >= 0.7 THEN 'quality' END, CASE WHEN c >= 0.6 THEN 'coverage' END, CASE WHEN d >= 0.6 THEN 'diversity' END, CASE WHEN l >= 0.8 THEN 'license' END) AS reason FROM raw)"""
 MEANS = """dm AS (SELECT domain, nodes, coalesce(h, 0) / nodes / (SELECT count(DISTINCT dataset) FROM classes) AS coverage
   FROM (SELECT domain, count(*) AS nodes FROM taxonomy GROUP BY 1) LEFT JOIN (SELECT domain, count(*) AS h FROM covered GROUP BY 1) USING (domain)),
 gap AS (SELECT node_id, name, domain, priority::DOUBLE AS priority, round(least((1 - coverage) * priority * 1.5, 1), 4) AS severity,
@@ -299,7 +298,7 @@ SELECT domain, count(*) AS gaps, count_if(impact = 'critical') AS critical, coun
 
     @r.add("w10_gap_recommendations", with_views(*CAT, more=SCORES + ",\n" + MEANS) + """
 SELECT impact, row_number() OVER (PARTITION BY impact ORDER BY node_id) AS rank, node_id, name, severity,
-  CASE impact WHEN 'critical' THEN 'Acquire datasets covering this node immediately' ELSE 'Prioritize acquisition for this taxonomy node' END AS action
+  CASE impact WHEN 'critical' THEN 'get data now' ELSE 'get data next' END AS action
 FROM gap WHERE impact IN ('critical', 'high') QUALIFY rank <= 5""")
     def _(v):
         return catalog.gap_recommendations(catalog.gaps(v.class_profiles, v.taxonomy))

@@ -248,21 +248,14 @@ def report_markdown(scorecard: DataFrame, rollup: DataFrame) -> DataFrame:
     """Quality report per data set as Markdown and JSON."""
     names = ("image", "annotation", "geometry", "coverage", "balance", "integrity", "consistency")
     joined = scorecard.join(rollup, "dataset", "left").na.fill(0, ["errors", "warnings", "infos"])
-    ready = F.when(F.col("production_ready"), "Yes").otherwise("No")
+    ready = F.when(F.col("production_ready"), "ready for production").otherwise("not ready for production")
     lines = [
-        F.concat(F.lit("# Quality Report: "), "dataset"),
+        F.concat(F.lit("# "), "dataset"),
+        F.concat(F.format_string("%.1f of 100, grade ", F.col("overall")), "grade", F.lit(", "), ready),
         F.lit(""),
-        F.format_string("- **Score:** %.1f/100", F.col("overall")),
-        F.concat(F.lit("- **Grade:** "), "grade"),
-        F.concat(F.lit("- **Production Ready:** "), ready),
+        *[F.format_string(f"* {n}: %.1f", F.col(f"{n}_score")) for n in names],
         F.lit(""),
-        F.lit("| Metric | Score |"),
-        F.lit("|--------|-------|"),
-        *[F.format_string(f"| {n.title()} | %.1f/100 |", F.col(f"{n}_score")) for n in names],
-        F.lit(""),
-        F.format_string("- **Errors:** %d", F.col("errors")),
-        F.format_string("- **Warnings:** %d", F.col("warnings")),
-        F.format_string("- **Info:** %d", F.col("infos")),
+        F.format_string("Found: %d errors, %d warnings, %d notes", F.col("errors"), F.col("warnings"), F.col("infos")),
     ]
     return joined.select("dataset", "overall", "grade", "errors", "warnings", "infos", F.concat_ws("\n", *lines).alias("markdown"))
 
