@@ -150,12 +150,15 @@ def pattern_candidates(labels: DataFrame, index: DataFrame) -> DataFrame:
     return lowered.join(held, "_low").join(wanted, "literal").select("label", "pattern").distinct()
 
 
-def regex_matches(labels: DataFrame, rules: DataFrame, per_chunk: int = 500) -> DataFrame:
+def regex_matches(labels: DataFrame, rules: DataFrame, per_chunk: int = 500, few: int = 0) -> DataFrame:
     """Labels with the pattern rules they match, case-insensitively, anywhere.
 
     Patterns are tried on the labels that contain a text they need. Those that need none,
     such as classes of characters alone, are tried on every label, in chunks of bounded size.
+    Up to ``few`` rules are tried on every label without looking for their texts first.
     """
+    if rules.limit(few + 1).count() <= few:
+        return _tried_in_chunks(labels, rules, per_chunk)
     index = pattern_index(rules)
     matches = F.regexp_like(F.col("label"), F.concat(F.lit("(?i)"), F.col("pattern")))
     met = pattern_candidates(labels, index).where(matches)

@@ -14,6 +14,8 @@ from labelloom.operators.joins import labels_in_nodes, regex_matches
 from labelloom.operators.skew import top_k
 
 UNKNOWN = "unknown_object"
+#: So many patterns cost less to try on every label than to index.
+FEW_PATTERNS = 64
 CANDIDATE = ("label", "tier", "place", "canonical_value", "confidence", "rule_id")
 
 
@@ -61,7 +63,7 @@ def candidates(labels: DataFrame, rules: DataFrame, nodes: DataFrame, aliases: D
         shaped(lab.join(named.where("kind = 'alias'"), "_low"), 3, 1, F.lit(0.9)),
         shaped(lab.join(named.where("kind = 'synonym'"), "_low"), 3, 2, F.lit(0.7)),
         shaped(single.join(every_rule, "_one"), 3, 3, F.lit(0.85)),
-        shaped(regex_matches(lab, patterns), 3, 4, F.col("confidence")),
+        shaped(regex_matches(lab, patterns, few=FEW_PATTERNS), 3, 4, F.col("confidence")),
         shaped(similar.where("_s > 0.3"), 4, 5, F.col("_s")),
     ]
     out = parts[0]
