@@ -1,4 +1,4 @@
-"""Exact decimal formatting."""
+"""Exact decimal formatting and rounding."""
 
 from __future__ import annotations
 
@@ -29,3 +29,17 @@ def fixed6(x: Column) -> Column:
         F.lit("."),
         F.lpad((n % 1_000_000).cast("string"), 6, "0"),
     )
+
+
+def nearest(x: Column, digits: int = 6) -> Column:
+    """Rounded as C and SQL engines round doubles: the binary product x * 10^digits goes to
+    the nearest whole number, ties away from zero.
+
+    ``F.round`` takes the shortest decimal text of x instead, which differs where the product
+    lies next to a tie: 0.0640625 is 64062.49999999999 millionths.
+    """
+    scale = float(10**digits)
+    p = F.abs(x * scale)
+    whole = F.floor(p)
+    near = F.signum(x) * (whole + (p - whole >= 0.5).cast("long")) / scale
+    return F.when(p < float(1 << 52), near).otherwise(x)

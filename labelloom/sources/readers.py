@@ -130,25 +130,61 @@ def coco_rows(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     images = images.select(*keys, F.col("id").alias("image_id"), "file_name", F.col("width").alias("image_width"), F.col("height").alias("image_height"))
     names = categories.select(*keys, F.col("id").alias("category_id"), F.col("name").alias("_name"))
     boxes = annotations.withColumnRenamed("id", "annotation_id")
+    return _coco_columns(boxes.join(images, [*keys, "image_id"], "left").join(names, [*keys, "category_id"], "left"), keys, missing)
+
+
+def _coco_columns(rows: DataFrame, keys: Sequence[str], missing: str | None) -> DataFrame:
+    """The columns of an annotation from it, its image's ``file_name, image_width,
+    image_height`` and the ``_name`` of its category."""
     box = _box_of("bbox")
     outlined = ~F.coalesce(F.regexp_replace("segmentation", r"\s+", ""), F.lit("")).isin("", "[]", "{}", "null")
     fallback = F.col("category_id") if missing is None else F.lit(missing)
     corners = geometry.corners_from(box, F.lit("xywh_absolute"), F.col("image_width"), F.col("image_height"))
-    return (
-        boxes.join(images, [*keys, "image_id"], "left")
-        .join(names, [*keys, "category_id"], "left")
-        .select(
-            *keys, "annotation_id", "image_id", "file_name", "image_width", "image_height", "category_id",
-            F.coalesce("_name", fallback).alias("class_name"),
-            F.when(outlined, "segmentation").otherwise("bbox").alias("geometry_type"),
-            *box.named(("x", "y", "width", "height")), *corners.named(CORNERS), F.col("score").alias("confidence"),
-        )
+    return rows.select(
+        *keys, "annotation_id", "image_id", "file_name", "image_width", "image_height", "category_id",
+        F.coalesce("_name", fallback).alias("class_name"),
+        F.when(outlined, "segmentation").otherwise("bbox").alias("geometry_type"),
+        *box.named(("x", "y", "width", "height")), *corners.named(CORNERS), F.col("score").alias("confidence"),
     )
 
 
+def _sorted_by_id(elements: str) -> Column:
+    return F.array_sort(F.filter(elements, lambda e: e["id"].isNotNull()))
+
+
+def _halvings(c: str) -> Column:
+    """Powers of two, falling, that add up to at least the length of a list."""
+    return F.when(F.size(c) > 0, F.expr(f"transform(reverse(sequence(0, cast(floor(log2(size({c}))) AS int))), k -> shiftleft(1, k))")).otherwise(F.array().cast("array<int>"))
+
+
+def _find(elements: str, steps: str, key: Column) -> Column:
+    """The first element of a list sorted by id that has the id ``key``, by halving."""
+    listed = F.col(elements)
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when((at + step <= F.size(listed)) & (F.get(listed, at + step - 1)["id"] < key), at + step).otherwise(at)
+
+    at = F.aggregate(steps, F.lit(0), further)
+    return F.filter(F.array(F.get(listed, at)), lambda e: e["id"] == key)
+
+
 def parse_coco(texts: DataFrame, column: str, keys: Sequence[str] = (), missing: str | None = None) -> DataFrame:
-    parsed = texts.select(*keys, F.from_json(column, f"struct<{_as_fields(COCO_SCHEMA)}>").alias("_d")).select(*keys, "_d.*")
-    return coco_annotations(parsed, keys, missing)
+    """Annotations of one COCO document per row, as ``coco_rows`` gives them; ``keys`` are
+    carried along and need not tell the rows apart.
+
+    An id means what it means in its own row, so images and categories are looked up there.
+    Of repeated ids the first image and the first category by name count.
+    """
+    parsed = texts.select(*keys, F.from_json(column, f"struct<{_as_fields(COCO_SCHEMA)}>").alias("_d"))
+    # Generators keep later operators from parsing and sorting again.
+    docs = parsed.select(*keys, F.inline(F.array(F.struct("_d.annotations", _sorted_by_id("_d.images").alias("_i"), _sorted_by_id("_d.categories").alias("_c")))))
+    docs = docs.select(*keys, F.inline(F.array(F.struct("annotations", "_i", "_c", _halvings("_i").alias("_si"), _halvings("_c").alias("_sc")))))
+    placed = F.transform(
+        "annotations",
+        lambda a: F.struct(a.alias("_a"), F.get(_find("_i", "_si", a["image_id"]), 0).alias("_image"), F.get(_find("_c", "_sc", a["category_id"]), 0)["name"].alias("_name")),
+    )
+    rows = docs.select(*keys, F.inline(placed)).select(*keys, "_a.*", "_name", F.col("_image.file_name").alias("file_name"), F.col("_image.width").alias("image_width"), F.col("_image.height").alias("image_height"))
+    return _coco_columns(rows.withColumnRenamed("id", "annotation_id"), keys, missing)
 
 
 def _as_fields(ddl: str) -> str:
