@@ -65,6 +65,12 @@ def _fields(lines: DataFrame, separator: str, least: int, keys: Sequence[str]) -
     return lines.select(*keys, F.inline(split)).where(F.size("_p") >= least)
 
 
+def _parsed_once(texts: DataFrame, parsed: Column, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and the fields of the struct ``parsed``. The generator keeps later operators,
+    each of which wants a field, from parsing the text again."""
+    return texts.select(*keys, F.inline(F.array(parsed)))
+
+
 def parse_yolo(lines: DataFrame, classes: DataFrame | None = None, unknown: str | None = None) -> DataFrame:
     """``class cx cy w h`` lines (stem, line). Short or unreadable lines are skipped.
 
@@ -253,8 +259,8 @@ def voc_annotations(docs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def parse_voc(texts: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    parsed = texts.select(*keys, F.from_xml(column, f"struct<{_as_fields(VOC_SCHEMA)}>", {"rowTag": "annotation"}).alias("_d"))
-    return voc_annotations(parsed.select(*keys, "_d.*"), keys)
+    parsed = F.from_xml(column, f"struct<{_as_fields(VOC_SCHEMA)}>", {"rowTag": "annotation"})
+    return voc_annotations(_parsed_once(texts, parsed, keys), keys)
 
 
 def read_voc(spark: SparkSession, path: str) -> DataFrame:
@@ -338,10 +344,11 @@ def json_images(docs: DataFrame, entries: str, keys: Sequence[str] = ()) -> Data
 
 def parse_json_images(texts: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """A list of images, or an object with the list under ``images``."""
-    listed = F.from_json(column, JSON_IMAGES_SCHEMA)
-    held = F.from_json(column, f"struct<images:{JSON_IMAGES_SCHEMA}>")["images"]
-    is_list = F.ltrim(column).startswith("[")
-    return json_images(texts.select(*keys, F.when(is_list, listed).otherwise(held).alias("_e")), "_e", keys)
+    texts = _parsed_once(texts, F.struct(F.col(column).alias("_text")), keys)
+    listed = F.from_json("_text", JSON_IMAGES_SCHEMA)
+    held = F.from_json("_text", f"struct<images:{JSON_IMAGES_SCHEMA}>")["images"]
+    is_list = F.ltrim("_text").startswith("[")
+    return json_images(_parsed_once(texts, F.struct(F.when(is_list, listed).otherwise(held).alias("_e")), keys), "_e", keys)
 
 
 def read_json_images(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
@@ -379,7 +386,7 @@ def geojson_polygons(docs: DataFrame, classes: Sequence[str], keys: Sequence[str
 
 def parse_geojson(texts: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """GeoJSON texts as structs for :func:`geojson_boxes` and :func:`geojson_polygons`."""
-    return texts.select(*keys, F.from_json(column, f"struct<{_as_fields(GEOJSON_SCHEMA)}>").alias("_d")).select(*keys, "_d.*")
+    return _parsed_once(texts, F.from_json(column, f"struct<{_as_fields(GEOJSON_SCHEMA)}>"), keys)
 
 
 def read_geojson(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
