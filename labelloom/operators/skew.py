@@ -42,6 +42,21 @@ def ranged(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str
     return stored(placed, "ranges")
 
 
+def stored_row_number(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
+    """Exact ``row_number`` over all rows, in ranges of even size; the result is stored.
+
+    The rows are sorted within their ranges as they are stored and carry their place there,
+    so that the number takes one shuffle: only the sizes of the ranges are added up later.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    rows = stored(placed, "numbered")
+    # The id holds the partition above 33 bits and the row within it below.
+    rows = rows.withColumn("_range", F.shiftrightunsigned("_place", 33)).withColumn("_local", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    sizes = rows.groupBy("_range").agg(F.max("_local").alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(_before(_over_group([], "_range"))), F.lit(0)).alias("_offset"))
+    return rows.join(offsets, "_range").withColumn(name, F.col("_offset") + F.col("_local")).drop("_place", "_range", "_local", "_offset")
+
+
 def bucketed_row_number(
     df: DataFrame,
     group: Sequence[str],

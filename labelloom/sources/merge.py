@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.operators.skew import bucketed_row_number, join_on, ranged
+from labelloom.operators.skew import bucketed_row_number, join_on, stored_row_number
 from labelloom.sources import jsonsplit, writers
 from labelloom.sources.readers import COCO_SCHEMA, element_fields
 
 
-def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows numbered from 1 over all files, in ranges of even size."""
-    return bucketed_row_number(ranged(rows, [], order), [], "_range", order, "coco_id").drop("_range")
-
-
 def merge_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, key: str = "source_file") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, annotations and categories of many files with ids of their own, for
     ``writers.write_coco_document``.
@@ -28,18 +23,20 @@ def merge_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     named = categories.groupBy(key, F.col("id").alias("category_id")).agg(F.min("name").alias("_name"))
     used = join_on(annotations.withColumnRenamed("id", "annotation_id"), named, [key, "category_id"], "left")
     used = used.withColumn("_name", F.coalesce("_name", "category_id", F.lit("unknown")))
-    kinds = categories.select(F.col("name"), "supercategory").union(used.select("_name", F.lit(None).cast("string"))).where("name IS NOT NULL")
-    united = kinds.groupBy("name").agg(F.min("supercategory").alias("supercategory"))
-    numbers = bucketed_row_number(united.withColumn("_letters", F.substring("name", 1, 4)), [], "_letters", ["name"], "id")
-    kept = numbers.select("id", "name", F.coalesce("supercategory", F.lit("object")).alias("supercategory"))
-
-    pics = _numbered(images.select(key, F.col("id").alias("image_id"), "file_name", "width", "height"), [key, "image_id", "file_name"])
-    target = pics.groupBy(key, "image_id").agg(F.min(F.struct("file_name", "coco_id")).alias("_t")).select(key, "image_id", F.col("_t.coco_id").alias("coco_image_id"))
     side = lambda i: F.coalesce(F.get("bbox", i), F.lit(0.0))
     placed = used.select(
         key, "annotation_id", "image_id", "_name", *[side(i).alias(c) for i, c in enumerate(("x", "y", "width", "height"))], "area", F.coalesce("iscrowd", F.lit(0)).alias("iscrowd")
     )
-    boxes = _numbered(placed, [key, "annotation_id", "image_id", "x", "y"])
+    boxes = stored_row_number(placed, [key, "annotation_id", "image_id", "x", "y"], "coco_id")
+
+    kinds = categories.select(F.col("name"), "supercategory").union(boxes.select("_name", F.lit(None).cast("string"))).where("name IS NOT NULL")
+    united = kinds.groupBy("name").agg(F.min("supercategory").alias("supercategory"))
+    numbers = bucketed_row_number(united.withColumn("_letters", F.substring("name", 1, 4)), [], "_letters", ["name"], "id")
+    kept = numbers.select("id", "name", F.coalesce("supercategory", F.lit("object")).alias("supercategory"))
+
+    pics = stored_row_number(images.select(key, F.col("id").alias("image_id"), "file_name", "width", "height"), [key, "image_id", "file_name"], "coco_id")
+    # Numbers follow the names within an id.
+    target = pics.groupBy(key, "image_id").agg(F.min("coco_id").alias("coco_image_id"))
     boxes = join_on(boxes, target, [key, "image_id"], "left")
     boxes = boxes.join(kept.select(F.col("id").alias("category_id"), F.col("name").alias("_name")), "_name")
     return (
