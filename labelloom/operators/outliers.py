@@ -10,6 +10,10 @@ from labelloom.functions import geometry
 from labelloom.operators.skew import join_group_summary
 
 
+#: Copies of a summary by data set, of which there are few.
+SALTS = 64
+
+
 def resolution(images: DataFrame, z: float = config.Z_THRESHOLD) -> DataFrame:
     """Width, else height, more than ``z`` sample deviations from the mean."""
     rows = images.where("width IS NOT NULL AND height IS NOT NULL").select("dataset", "id", "width", "height")
@@ -55,7 +59,7 @@ def huge_objects(annotations: DataFrame, z: float = config.Z_THRESHOLD) -> DataF
     )
     limit = F.col("_m") + z * F.col("_s")
     return (
-        join_group_summary(rows, summary, ["dataset"], "_n", ["id", "seq1", "seq2"])
+        join_group_summary(rows, summary, ["dataset"], "_n", ["id", "seq1", "seq2"], salts=SALTS)
         .where((F.col("_s") > 0) & (F.col("area") > limit))
         .select("dataset", "id", "seq1", "seq2", "x", "area", F.round(limit, 4).alias("threshold"))
     )

@@ -135,14 +135,26 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def join_group_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str], size: str, spread: Sequence[str]) -> DataFrame:
+def join_group_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str], size: str, spread: Sequence[str], salts: int = 1) -> DataFrame:
     """Inner join rows to a summary that has one row per key; null is a key like others.
 
     One shuffled join for all sizes of groups: nothing above it relies on its
-    partitioning by key, so adaptive execution splits the partitions of hot keys.
+    partitioning by key, so adaptive execution splits the partitions of hot keys. Where
+    the keys are few, ``salts`` copies of the summary spread the rows of each.
     """
     extra = [c for c in summary.columns if c not in keys]
-    return join_on(rows, summary, keys).select(*rows.columns, *extra)
+    if salts == 1:
+        return join_on(rows, summary, keys).select(*rows.columns, *extra)
+    salted, repeated = _salted(rows, summary, spread, salts)
+    return join_on(salted, repeated, [*keys, "_salt"]).select(*rows.columns, *extra)
+
+
+def _salted(big: DataFrame, small: DataFrame, spread: Sequence[str], salts: int) -> tuple[DataFrame, DataFrame]:
+    """``big`` with a salt from the columns ``spread``, and ``small`` once for each salt."""
+    return (
+        big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")),
+        small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
+    )
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank") -> DataFrame:
@@ -155,11 +167,10 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k:
     return df.withColumn(rank, F.row_number().over(spec)).where(F.col(rank) <= k)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = 16) -> DataFrame:
-    """Inner join whose hot keys on the big side are spread over ``salts`` tasks.
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
+    """Inner or left join whose hot keys on the big side are spread over ``salts`` tasks.
 
     The other side is repeated once per salt, so it should be the smaller one.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    salted, repeated = _salted(big, small, spread, salts)
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
