@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from labelloom.functions import geometry, text
 from labelloom.functions.geometry import Box
+from labelloom.operators.skew import salted_join
 from labelloom.sources import files, jsonsplit
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -319,7 +320,9 @@ def parse_open_images(lines: DataFrame, names: DataFrame | None = None) -> DataF
     )
     if names is None:
         return out.withColumn("class_name", F.col("label"))
-    return out.join(names, "label", "left").withColumn("class_name", F.coalesce("name", "label")).drop("name")
+    # Labels are few and one may stand on most lines.
+    named = salted_join(out, names, ["label"], ["image_id", "x", "y"], how="left")
+    return named.withColumn("class_name", F.coalesce("name", "label")).drop("name")
 
 
 def read_open_images(spark: SparkSession, path: str, class_names: str | None = None) -> DataFrame:
