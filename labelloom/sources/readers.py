@@ -420,7 +420,10 @@ def parse_visdrone(lines: DataFrame, sizes: DataFrame | None = None) -> DataFram
     rows = _fields(lines, ",", 6, ["stem"])
     left, top, w, h = [_number(F.get("_p", i)) for i in range(4)]
     kind = F.get("_p", 5).try_cast("int")
-    rows = rows.where(left.isNotNull() & top.isNotNull() & w.isNotNull() & h.isNotNull() & kind.isNotNull())
+    # Only the numbers travel to the sizes, not the fields of the line.
+    rows = rows.select("stem", left.alias("_left"), top.alias("_top"), w.alias("_w"), h.alias("_h"), kind.alias("_kind"))
+    rows = rows.where("_left IS NOT NULL AND _top IS NOT NULL AND _w IS NOT NULL AND _h IS NOT NULL AND _kind IS NOT NULL")
+    left, top, w, h, kind = [F.col(c) for c in ("_left", "_top", "_w", "_h", "_kind")]
     iw, ih = F.lit(1), F.lit(1)
     if sizes is not None:
         rows = rows.join(sizes, "stem", "left")
