@@ -76,26 +76,51 @@ def objects_across_images(annotations: DataFrame) -> DataFrame:
     return _links(rows, ["dataset", "class_name", *BOX], "image_id", ["image_id", "id", *SEQUENCE], "object")
 
 
+_KINDS = ("_name", "_hash", "_meta", "_object")
+
+
+def _counted(rows: DataFrame, links: Column | int = 0, **amounts: Column | int) -> DataFrame:
+    """Rows of an id with their number by kind, and the links that they stand for."""
+    number = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("long")
+    return rows.select("dataset", "id", number(links).alias("links"), *[number(amounts.get(k, 0)).alias(k) for k in _KINDS])
+
+
 def report(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Distinct duplicate images and annotated images per data set, and the ratio."""
-    kinds = [
-        by_file_name(images),
-        by_checksum(images),
-        by_metadata(images),
-        annotations_in_image(annotations),
-        objects_across_images(annotations),
-    ]
-    links = kinds[0]
-    for other in kinds[1:]:
-        links = links.unionByName(other)
-    on_image = F.col("kind").isin("filename", "hash", "metadata")
-    per_id = links.groupBy("dataset", "duplicate_id").agg(
-        F.max(on_image).alias("image_copy"), F.max(~on_image).alias("label_copy"), F.count(F.lit(1)).alias("n")
-    )
+    """Distinct duplicate images and annotated images per data set, and the ratio.
+
+    Rows meet no summaries: an id has a copy where it stands in more rows than it is the
+    first of groups, so rows and firsts are added up by id. A repeat on one image is a
+    repeat in the data set too, so such repeats only add to the links.
+    """
+    path, digest, metadata = F.col("file_path"), text.blank_to_null(F.col("sha256")), F.col("metadata")
+    # Entries in order are as good as their hash.
+    keys = {"_name": text.base_name(path), "_hash": digest, "_meta": F.sort_array(F.map_entries(metadata))}
+    filled = {"_name": path.isNotNull(), "_hash": digest.isNotNull(), "_meta": metadata.isNotNull()}
+    counted = [_counted(images.where("dataset IS NOT NULL"), **filled)]
+    for kind, key in keys.items():
+        groups = images.where(F.col("dataset").isNotNull() & filled[kind]).groupBy("dataset", key.alias("_key"))
+        firsts = groups.agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id"))
+        counted.append(_counted(firsts, F.col("_n") - 1, **{kind: -1}))
+
+    object_key = ["dataset", "class_name", *BOX]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in object_key)
+    boxes = with_class(annotations).select(F.col("image_id").alias("id"), *object_key).where(known)
+    # Two readers share the shuffle of these.
+    on_image = boxes.groupBy("id", *object_key).agg(F.count(F.lit(1)).alias("_n"))
+    counted.append(_counted(on_image, F.when(F.col("id").isNotNull(), F.col("_n") - 1).otherwise(0), _object=F.col("_n")))
+    # A null image comes before all others.
+    least = F.when(F.count("id") == F.count(F.lit(1)), F.min("id")).alias("id")
+    objects = on_image.groupBy(*object_key).agg(F.sum("_n").alias("_n"), least)
+    counted.append(_counted(objects, F.col("_n") - 1, _object=-1))
+
+    rows = counted[0]
+    for other in counted[1:]:
+        rows = rows.unionByName(other)
+    per_id = rows.groupBy("dataset", "id").agg(*[F.sum(c).alias(c) for c in ("links", *_KINDS)])
     found = per_id.groupBy("dataset").agg(
-        F.sum("n").alias("links"),
-        F.count_if("image_copy").alias("duplicate_images"),
-        F.count_if("label_copy").alias("duplicate_annotations"),
+        F.sum("links").alias("links"),
+        F.count_if((F.col("_name") > 0) | (F.col("_hash") > 0) | (F.col("_meta") > 0)).alias("duplicate_images"),
+        F.count_if(F.col("_object") > 0).alias("duplicate_annotations"),
     )
     totals = images.groupBy("dataset").agg(F.count(F.lit(1)).alias("images"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
