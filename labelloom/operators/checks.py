@@ -94,13 +94,21 @@ def annotation_issues(annotations: DataFrame, images: DataFrame) -> DataFrame:
     """Bad coordinates and extents, boxes beyond their image, images without annotations."""
     errors = ("negative_coordinates", "zero_area")
     box = _said(F.col("x"), ",", F.col("y"), " ", F.col("width"), "x", F.col("height"))
-    rules = [issue(k, ERROR if k in errors else WARNING, c, box) for k, c in _annotation_flags().items()]
-    on_rows = issues_of(with_image(annotations, images), "annotation", F.col("id"), rules)
+    flags = _annotation_flags()
+    outside = flags.pop("out_of_bounds")
+    on_rows = issues_of(annotations, "annotation", F.col("id"), [issue(k, ERROR if k in errors else WARNING, c, box) for k, c in flags.items()])
+    # One rule needs the image; only what it reads meets the images, and its constant
+    # severity lets readers of errors skip the join.
+    slim = annotations.select("dataset", "id", "image_id", "x", "y", "width", "height")
+    beyond = with_image(slim, images).where(outside).select(
+        "dataset", F.lit("out_of_bounds").alias("rule"), F.lit(WARNING).alias("severity"),
+        F.lit("annotation").alias("category"), F.col("id").cast("string").alias("location"), box.alias("message"),
+    )
     bare = images.join(annotations.select(F.col("image_id").alias("id")), "id", "left_anti").select(
         "dataset", F.lit("missing_annotations").alias("rule"), F.lit(WARNING).alias("severity"),
         F.lit("annotation").alias("category"), F.col("id").cast("string").alias("location"), F.lit("image has no annotations").alias("message"),
     )
-    return on_rows.unionByName(bare)
+    return on_rows.unionByName(beyond).unionByName(bare)
 
 
 def annotation_counts(annotations: DataFrame, images: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labelloom.plans.views import Views
-from labelloom.session import SETTINGS
+from labelloom.session import prepare
 
 Query = Callable[[Views], DataFrame]
 
@@ -31,8 +31,7 @@ class Registry:
     def callables(self) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         def bind(plan: Query) -> Callable[[SparkSession, str], DataFrame]:
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                for key, value in SETTINGS.items():
-                    spark.conf.set(key, value)
+                prepare(spark, sf_dir)
                 return plan(Views(spark, sf_dir))
 
             return run

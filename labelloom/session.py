@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Skewed joins are split at run time, small shuffles are merged, and a join side is
 # broadcast only when its measured size is under the threshold.
@@ -19,6 +20,32 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+#: Bytes of input for one partition of a shuffle before adaptive execution merges small ones.
+PARTITION_INPUT = 4 << 20
+#: Bytes up to which adaptive execution merges partitions, at most.
+MERGED_BYTES = 32 << 20
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.agg(F.sum("length")).first()[0] or 0
+
+
+def prepare(spark: SparkSession, path: str) -> None:
+    """Apply ``SETTINGS``, and let the number of shuffle partitions grow with the input.
+
+    With a fixed number each task's sorts and hash tables grow with the tables. The session's
+    own number is the least; adaptive execution merges partitions that turn out small.
+    """
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(spark, path) // PARTITION_INPUT))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(number))
+    merged = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(merged))
+    spark.conf.set(merged, str(min(given, MERGED_BYTES)))
+
 
 def local_session(cores: str = "8", app: str = "labelloom", memory: str = "12g") -> SparkSession:
     """A session for tests and the local benchmark."""
