@@ -24,9 +24,26 @@ def write_keyword_index(index: DataFrame, table: str, buckets: int = 64) -> None
     index.write.bucketBy(buckets, "token").sortBy("token").mode("overwrite").saveAsTable(table)
 
 
-def keyword_search(index: DataFrame, queries: DataFrame, limit: int = config.SEARCH_LIMIT) -> DataFrame:
+#: Pairs of a query and a document whose scores a task adds up at once, about.
+TASK_PAIRS = 1 << 20
+
+
+def parts_for(docs: DataFrame, queries: DataFrame) -> int:
+    """Partitions of documents so that none holds many more than ``TASK_PAIRS`` pairs, since
+    a frequent word pairs every document with every query."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-docs.count() * queries.count() // TASK_PAIRS))
+
+
+def keyword_search(index: DataFrame, queries: DataFrame, limit: int = config.SEARCH_LIMIT, parts: int | None = None) -> DataFrame:
     """Best documents per query. The score is the number of matching query tokens, times
-    1 + 1.5 x the share of query tokens that match; ties go to the lower id."""
+    1 + 1.5 x the share of query tokens that match; ties go to the lower id.
+
+    With ``parts``, the index is dealt by document into as many partitions: the hits of a
+    document then stay in its task, and a task's scores grow with its documents only.
+    """
+    if parts is not None:
+        index = index.repartition(parts, "doc_id")
     asked = queries.select("query_id", text.all_tokens(F.col("query")).alias("_t")).where(F.size("_t") > 0)
     wanted = (
         asked.select("query_id", F.size("_t").alias("_len"), F.explode("_t").alias("token"))
@@ -98,7 +115,7 @@ def retrieve(
     asked = ids.select("query_id", "query").distinct()
     index = keyword_index(docs, fields)
     hits = (
-        keyword_search(index, asked, limit).select("query_id", "doc_id", "rank", F.lit(1).alias("tier"))
+        keyword_search(index, asked, limit, parts_for(docs, asked)).select("query_id", "doc_id", "rank", F.lit(1).alias("tier"))
         .unionByName(category_search(docs, asked, limit).select("query_id", "doc_id", "rank", F.lit(2).alias("tier")))
         .unionByName(attribute_search(docs, asked, attributes, limit).select("query_id", "doc_id", "rank", F.lit(3).alias("tier")))
     )

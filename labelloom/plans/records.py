@@ -28,6 +28,11 @@ def whole_queries(v):
     return v.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def keyword_hits(v):
+    queries = whole_queries(v)
+    return search.keyword_search(search.keyword_index(v.documents, FIELDS), queries, parts=search.parts_for(v.documents, queries))
+
+
 def short_queries(v):
     docs = v.table("documents")
     words = docs.select(F.col("lang").alias("q")).union(docs.select("source")).union(docs.select(F.left("lang", F.lit(1)))).distinct()
@@ -80,7 +85,7 @@ def register(r) -> None:
 
     @r.add("r02_keyword_search", with_views("docs", more=INDEX + ",\n" + WHOLE + ",\n" + KEYWORD) + "SELECT * FROM kr")
     def _(v):
-        return search.keyword_search(search.keyword_index(v.documents, FIELDS), whole_queries(v))
+        return keyword_hits(v)
 
     @r.add("r03_category_search", with_views("docs", more=SHORT + ",\n" + CATEGORY) + "SELECT * FROM cr")
     def _(v):
@@ -92,8 +97,7 @@ def register(r) -> None:
 
     @r.add("r05_hydrate", with_views("docs", more=INDEX + ",\n" + WHOLE + ",\n" + KEYWORD) + "SELECT query_id, doc_id, rank, category, origin FROM kr JOIN docs USING (doc_id)")
     def _(v):
-        found = search.keyword_search(search.keyword_index(v.documents, FIELDS), whole_queries(v))
-        return search.hydrate(found, v.documents, ["category", "origin"])
+        return search.hydrate(keyword_hits(v), v.documents, ["category", "origin"])
 
     @r.add("r06_retrieve", with_views("docs", more="""terms AS (SELECT DISTINCT source AS q, 1 AS place, lang AS term FROM documents UNION SELECT DISTINCT source, 0, source FROM documents
   UNION SELECT DISTINCT source, 2, lang[1] FROM documents UNION SELECT DISTINCT source, 3, 'en the ' || lang FROM documents),
