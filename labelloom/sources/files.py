@@ -13,6 +13,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -220,15 +221,20 @@ class _PartWriter(_Staging):
         parts: list[list] = []
         out = None
         for batch in iterator:
-            for section, line in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            lines = batch.column(1).cast(pa.large_binary()).to_pylist()
+            at = 0
+            # Lines of one section follow each other and are written together.
+            for section, run in groupby(batch.column(0).to_pylist()):
+                end = at + len(list(run))
                 if not parts or parts[-1][0] != section:
                     if out is not None:
                         out.close()
                     parts.append([section, task, 0])
                     out = fs.open_output_stream(f"{base}/{section}")
-                data = line if not parts[-1][2] else b",\n" + line
+                data = (b",\n" if parts[-1][2] else b"") + b",\n".join(lines[at:end])
                 out.write(data)
                 parts[-1][2] += len(data)
+                at = end
         if out is not None:
             out.close()
         return _Attempt(attempt, parts)

@@ -17,15 +17,18 @@ from labelloom.functions.numbers import fixed6
 from labelloom.operators.joins import with_image
 from labelloom.operators.skew import bucketed_row_number, join_on
 from labelloom.operators.stats import with_class
+from labelloom.session import stored
 from labelloom.sources import files
 
 
 def class_ids(annotations: DataFrame) -> DataFrame:
     """(class_name, class_id): 0-based ids in name order.
 
-    Only the distinct classes are ranked, in buckets of their first letters.
+    Only the distinct classes are ranked, in buckets of their first letters; the names are
+    worked out once per distinct label.
     """
-    classes = with_class(annotations).select("class_name").distinct().withColumn("_bucket", F.substring("class_name", 1, 4))
+    labels = annotations.select("ontology_class", "label").distinct()
+    classes = with_class(labels).select("class_name").distinct().withColumn("_bucket", F.substring("class_name", 1, 4))
     ranked = bucketed_row_number(classes, [], "_bucket", ["class_name"], "_rank")
     return ranked.select("class_name", (F.col("_rank") - 1).alias("class_id"))
 
@@ -157,10 +160,12 @@ def write_coco(sections: DataFrame, path: str) -> None:
 
 def write_coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> int:
     """One COCO document at ``path`` from the rows of ``coco_images``, ``coco_annotations``
-    and ``coco_categories``, by as many writers as there are partitions. Gives its bytes."""
+    and ``coco_categories``, by as many writers as there are partitions. Gives its bytes.
+
+    The lines are stored first: finding the ranges of the writers reads them once more."""
     numbered = lambda rows, key: rows.withColumn("_order", F.col(key).cast("long"))
     lines = coco_json(numbered(images, "coco_id"), numbered(annotations, "coco_id"), numbered(categories, "id"), keep=["_order"])
-    return files.write_document(lines, path, ["images", "annotations", "categories"], ["_order"])
+    return files.write_document(stored(lines, "coco-lines"), path, ["images", "annotations", "categories"], ["_order"])
 
 
 def voc_documents(annotations: DataFrame, images: DataFrame) -> DataFrame:
