@@ -5,14 +5,20 @@ image under a given name, and one COCO document. Both are written in two steps t
 lost executors: tasks write to folders of their attempt, and only attempts of a finished job
 are listed as committed; then each committed attempt is moved, or copied to its place, by a
 task that may run again.
+
+A small file takes a whole block of the disk, so millions of them take many times their
+bytes. Named files can be packed into zip archives instead, one after the other, each under
+its own name: unpacked into one folder, the archives give the same tree of files.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
 import pyarrow as pa
@@ -28,6 +34,10 @@ STAGED = "_staged"
 COMMITTED = "committed.json"
 #: Bytes copied or hashed at a time.
 COPY_BYTES = 8 << 20
+#: An archive is closed after so many bytes, or so many files.
+PACK_BYTES, PACK_FILES = 32 << 20, 50_000
+#: Rows, and bytes of text, of one batch read from archives.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 #: Bytes read at once from an image, from its beginning and from each segment further on.
 HEADER_BYTES = 4096
 
@@ -198,6 +208,192 @@ def write_named(rows: DataFrame, path: str, name: str, content: str, order: Sequ
     return manifest
 
 
+# Packed files ----------------------------------------------------------------------
+
+
+class PackedFiles(DataSource):
+    """``format("packed_files")``: rows (path, content) as in ``named_files``, into archives.
+
+    Option ``compress`` = ``false`` stores contents as they are, so that reads by range stay
+    reads by range.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "packed_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _PackWriter(self.options["path"], self.options.get("compress", "true") == "true")
+
+
+class _PackWriter(DataSourceArrowWriter):
+    """Attempts write archives of their own; a finished job moves them in."""
+
+    def __init__(self, path: str, compress: bool):
+        self.path, self.method = path, zipfile.ZIP_DEFLATED if compress else zipfile.ZIP_STORED
+
+    def write(self, iterator) -> WriterCommitMessage:
+        fs, root = filesystem(self.path)
+        attempt = uuid.uuid4().hex
+        base = f"{root}/{STAGED}/{attempt}"
+        fs.create_dir(base, recursive=True)
+        names: list[str] = []
+        buffer = pack = None
+        held: list[bytes] = []
+        name, size = None, 0
+
+        def info() -> zipfile.ZipInfo:
+            found = zipfile.ZipInfo(name)
+            found.compress_type = self.method
+            return found
+
+        def close() -> None:
+            nonlocal buffer, pack
+            if pack is not None:
+                pack.close()
+                names.append(f"{attempt}-{len(names):05d}.zip")
+                with fs.open_output_stream(f"{base}/{names[-1]}") as out:
+                    out.write(buffer.getbuffer())
+                buffer = pack = None
+
+        def finish() -> None:
+            nonlocal buffer, pack
+            if pack is None:
+                buffer = io.BytesIO()
+                pack = zipfile.ZipFile(buffer, "w", allowZip64=True)
+            pack.writestr(info(), b"".join(held))
+            if buffer.tell() >= PACK_BYTES or len(pack.filelist) >= PACK_FILES:
+                close()
+
+        def rows():
+            for batch in iterator:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)
+
+        for name, run in groupby(rows(), key=lambda row: row[0]):
+            held, size = [], 0
+            for _, content in run:
+                held.append(content or b"")
+                size += len(held[-1])
+                if size >= PACK_BYTES:
+                    break
+            else:
+                finish()
+                continue
+            # A file that would fill an archive streams into one of its own.
+            close()
+            names.append(f"{attempt}-{len(names):05d}.zip")
+            with fs.open_output_stream(f"{base}/{names[-1]}") as out, zipfile.ZipFile(_Stream(out), "w") as alone:
+                with alone.open(info(), "w", force_zip64=True) as member:
+                    for content in held:
+                        member.write(content)
+                    held = []
+                    for _, content in run:
+                        member.write(content or b"")
+        close()
+        return _Attempt(attempt, names)
+
+    def commit(self, messages) -> None:
+        fs, root = filesystem(self.path)
+        fs.create_dir(root, recursive=True)
+        for message in messages:
+            for name in message.parts if message is not None else []:
+                fs.move(f"{root}/{STAGED}/{message.name}/{name}", f"{root}/{name}")
+        fs.create_dir(f"{root}/{STAGED}")
+        fs.delete_dir(f"{root}/{STAGED}")
+
+    def abort(self, messages) -> None:
+        fs, root = filesystem(self.path)
+        for message in messages:
+            if message is not None:
+                fs.delete_dir(f"{root}/{STAGED}/{message.name}")
+
+
+class _Stream(io.RawIOBase):
+    """A stream that is written from front to back, for archives."""
+
+    def __init__(self, out):
+        self.out = out
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.out.write(data)
+        return len(data)
+
+
+def write_packed(rows: DataFrame, path: str, name: str, content: str, order: Sequence[Column | str] = (), compress: bool = True) -> None:
+    """Write what ``write_named`` writes, with the files in zip archives below ``path``.
+
+    An archive holds whole files under their own names, up to ``PACK_FILES`` of them or about
+    ``PACK_BYTES``; a longer file has one to itself, into which its rows stream.
+    """
+    _need_empty(path)
+    spark = rows.sparkSession
+    spark.dataSource.register(PackedFiles)
+    placed = rows.repartition(name).sortWithinPartitions(name, *order)
+    placed.select(F.col(name).cast("string").alias("path"), F.col(content).cast("binary").alias("content")).write.format("packed_files").option(
+        "compress", str(compress).lower()
+    ).mode("append").save(path)
+
+
+def _packed(spark: SparkSession, path: str, read: Callable, schema: str) -> DataFrame:
+    """Rows that ``read(archive, member)`` gives for the files in the archives below ``path``."""
+    from pyarrow import fs as pafs
+
+    fs, root = filesystem(path)
+    packs = [(path, i.base_name) for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if i.base_name.endswith(".zip")]
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [{"string": pa.string(), "long": pa.int64()}[c.split()[1]] for c in schema.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for folder, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    store, place = filesystem(f"{folder}/{pack}")
+                    with store.open_input_file(place) as file, zipfile.ZipFile(file) as archive:
+                        for member in archive.infolist():
+                            yield from read(archive, member)
+
+        held, size = [], 0
+        for row in rows():
+            held.append(row)
+            size += sum(len(v) for v in row if isinstance(v, str))
+            if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    table = spark.createDataFrame(packs, "folder string, pack string")
+    return table.repartition(max(1, len(packs))).mapInArrow(work, schema)
+
+
+def packed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line`` of the text files in the archives below ``path``."""
+
+    def lines(archive, member):
+        with archive.open(member) as file:
+            for line in io.TextIOWrapper(file, "utf-8"):
+                yield member.filename, line.removesuffix("\n")
+
+    return _packed(spark, path, lines, "path string, line string")
+
+
+def packed_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``path, size, sha256, lines`` of the files in the archives below ``path``."""
+
+    def described(archive, member):
+        digest, lines = hashlib.sha256(), 0
+        with archive.open(member) as file:
+            while data := file.read(COPY_BYTES):
+                digest.update(data)
+                lines += data.count(b"\n")
+        yield member.filename, member.file_size, digest.hexdigest(), lines
+
+    return _packed(spark, path, described, MANIFEST + ", lines long")
+
+
 # One document ----------------------------------------------------------------------
 
 
@@ -402,3 +598,16 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     return listed.withColumn("_h", header_of("path")).select("path", "length", "_h.*", sha256_of("path").alias("sha256"))
+
+
+def packed_images(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, width, height, bytes_read`` of the images in the archives below
+    ``path``, read by range."""
+
+    def probed(archive, member):
+        with archive.open(member) as file:
+            ranges = _Ranges(file)
+            size = image_size(ranges.get) or (None, None)
+            yield member.filename, member.file_size, *size, ranges.read_bytes
+
+    return _packed(spark, path, probed, "path string, length long, width long, height long, bytes_read long")
