@@ -79,18 +79,25 @@ def label_paths(annotations: DataFrame, images: DataFrame, splits: DataFrame, la
     return paths.join(lines, "image_id", "left").select("path", "image_id", "id", "line")
 
 
-def write_labels(lines: DataFrame, path: str) -> DataFrame:
+def write_labels(lines: DataFrame, path: str, packed: bool = False) -> DataFrame:
     """The files of ``label_paths`` below ``path``; gives their manifest.
 
-    The lines of a file stand in the order of annotation ids, then of the lines."""
+    The lines of a file stand in the order of annotation ids, then of the lines. With
+    ``packed`` the files are in archives, and the manifest also has their ``lines``."""
     content = F.when(F.col("line").isNotNull(), F.concat("line", F.lit("\n")))
-    return files.write_named(lines.withColumn("_content", content), path, "path", "_content", ["id", "line"])
+    rows = lines.withColumn("_content", content)
+    if not packed:
+        return files.write_named(rows, path, "path", "_content", ["id", "line"])
+    files.write_packed(rows, path, "path", "_content", ["id", "line"])
+    return files.packed_manifest(lines.sparkSession, path)
 
 
-def write_yolo(annotations: DataFrame, images: DataFrame, splits: DataFrame, path: str) -> DataFrame:
+def write_yolo(annotations: DataFrame, images: DataFrame, splits: DataFrame, path: str, packed: bool = False) -> DataFrame:
     """A directory that trainers open: ``<split>/labels/<stem>.txt`` for every image,
-    ``data.yaml`` and ``classes.txt``. Gives the manifest of the label files."""
-    manifest = write_labels(label_paths(annotations, images, splits), path)
+    ``data.yaml`` and ``classes.txt``. Gives the manifest of the label files.
+
+    With ``packed`` the label files are in archives that unpack to this directory."""
+    manifest = write_labels(label_paths(annotations, images, splits), path, packed)
     _write_class_files(annotations, splits, path, "{split}/images")
     return manifest
 
@@ -299,18 +306,25 @@ def write_training_export(lines: DataFrame, annotations: DataFrame, path: str, d
     return spark.read.json(f"{path}/manifest")
 
 
-def write_training_package(annotations: DataFrame, images: DataFrame, splits: DataFrame, path: str, dataset: str) -> DataFrame:
+def write_training_package(annotations: DataFrame, images: DataFrame, splits: DataFrame, path: str, dataset: str, packed: bool = False) -> DataFrame:
     """A package that a trainer opens, and its manifest ``path, size, sha256``.
 
     ``labels/<split>/<stem>.txt`` for every image, ``data.yaml``, ``classes.txt``,
     ``export.json`` with classes and counts, ``dataset_info.json`` with images per split,
-    and ``manifest.json`` over all files but itself.
+    and ``manifest.json`` over all files but itself. With ``packed`` the label files are in
+    archives that unpack to this tree.
     """
     lines = label_paths(annotations, images, splits, "labels/{split}/{stem}.txt")
-    manifest = write_labels(lines, path)
+    manifest = write_labels(lines, path, packed)
     names = _write_class_files(annotations, splits, path, "images/{split}")
     split = F.split_part("path", F.lit("/"), F.lit(2))
-    counts = lines.groupBy(split.alias("split")).agg(F.count_distinct("path").alias("images"), F.count("line").alias("annotations"))
+    if packed:
+        # The archives know the counts; the lines need not be made again.
+        manifest = stored(manifest, "file-manifest")
+        counts = manifest.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("images"), F.sum("lines").alias("annotations"))
+        manifest = manifest.drop("lines")
+    else:
+        counts = lines.groupBy(split.alias("split")).agg(F.count_distinct("path").alias("images"), F.count("line").alias("annotations"))
     found = {r["split"]: r for r in counts.collect()}
     about = {"dataset_name": dataset, "class_count": len(names), "class_names": names}
     export = about | {f"{s}_count": r["images"] for s, r in sorted(found.items())} | {f"{s}_annotations": r["annotations"] for s, r in sorted(found.items())}
