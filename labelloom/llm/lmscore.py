@@ -34,6 +34,8 @@ SLOT_BITS = 22
 #: Bytes worked on at once; longer texts are cut at a blank, and carry their state on.
 PIECE = 1 << 16
 RUN_BYTES = 1 << 20
+#: Bytes, or different places of texts, whose contexts are worked on at once.
+PLACE_BYTES = 1 << 17
 #: Bytes of a text between adaptations.
 STEP = 64
 _BUCKETS = 33
@@ -197,18 +199,24 @@ def byte_triples(groups: DataFrame) -> DataFrame:
         import numpy as np
 
         total = np.zeros(1 << 24, dtype=np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                for _, parts, leads in runs([b for b, t in zip(_bodies(row), row["trains"]) if t]):
-                    run = Run(parts, leads=leads)
-                    codes, n = np.unique(run.two.astype(np.uint32) << 8 | run.byte, return_counts=True)
-                    total[codes] += n
+        for row in _rows(batches):
+            for _, parts, leads in runs([b for b, t in zip(_bodies(row), row["trains"]) if t]):
+                run = Run(parts, leads=leads)
+                codes, n = np.unique(run.two.astype(np.uint32) << 8 | run.byte, return_counts=True)
+                total[codes] += n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found >> 8, pa.int32()), pa.array((found & 255), pa.int32()), pa.array(total[found], pa.int64())], ["two", "byte", "n"])
 
     return groups.select("trains", "sizes", "bodies").mapInArrow(count, "two int, byte int, n long").groupBy("two", "byte").agg(F.sum("n").alias("n"))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of batches, one at a time: a group of texts is large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _bodies(row: dict) -> list[bytes]:
     data, at, out = pa.decompress(row["bodies"], sum(row["sizes"]), "zstd", asbytes=True), 0, []
     for size in row["sizes"]:
@@ -266,27 +274,18 @@ def context_counts(groups: DataFrame, ranks, blocks: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                trains = np.array(row["trains"], dtype=bool)
-                keys, n = [], []
-                for owner, parts, leads in runs(_bodies(row)):
-                    run = Run(parts, shared.value, leads, hashed=True)
-                    low = (run.level.astype(np.uint64) << np.uint64(1)) | np.repeat(trains[owner], run.sizes).astype(np.uint64)
-                    code = np.sort(np.concatenate([h & np.uint64(_MASK - 15) | low for h in run.hashes]))
-                    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                    keys.append(code[first])
-                    n.append(np.diff(np.append(first, len(code))))
-                code, n = _add_up(np.concatenate(keys), np.concatenate(n))
-                n *= (code & np.uint64(1)).astype(np.int64)
-                context = code >> np.uint64(4)
-                fresh = np.concatenate([[True], context[1:] != context[:-1]])
-                counts = np.zeros((fresh.sum(), NODES + 1), dtype=np.int64)
-                np.add.at(counts, (np.cumsum(fresh) - 1, (code >> np.uint64(1) & np.uint64(7)).astype(np.int64)), n)
-                context = context[fresh]
-                cuts = np.searchsorted(context, np.arange(1 << bits, dtype=np.uint64) << np.uint64(60 - bits)).tolist() + [len(context)]
-                rows = [found(row["grp"], b, context[i:j], counts[i:j]) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        for row in _rows(batches):
+            times, levels, trains, hashes = places(_bodies(row), shared.value, row["trains"])
+            code = np.concatenate([h & np.uint64(_MASK - 15) for h in hashes]) | np.tile(levels.astype(np.uint64) << np.uint64(1), CONTEXTS)
+            code, n = _add_up(code, np.tile(times * trains, CONTEXTS))
+            context = code >> np.uint64(4)
+            fresh = np.concatenate([[True], context[1:] != context[:-1]])
+            counts = np.zeros((fresh.sum(), NODES + 1), dtype=np.int64)
+            np.add.at(counts, (np.cumsum(fresh) - 1, (code >> np.uint64(1) & np.uint64(7)).astype(np.int64)), n)
+            context = context[fresh]
+            cuts = np.searchsorted(context, np.arange(1 << bits, dtype=np.uint64) << np.uint64(60 - bits)).tolist() + [len(context)]
+            rows = [found(row["grp"], b, context[i:j], counts[i:j]) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def total(part: pa.Table) -> pa.Table:
         import numpy as np
@@ -345,10 +344,14 @@ def odds_of(counts):
     """Log odds of each decision, and confidence (0 to 2) of the context."""
     import numpy as np
 
-    beyond = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
-    yes, no = counts[:, :NODES], beyond[:, 1 : NODES + 1]
-    seen = beyond[:, 0]
-    return np.log((yes + 0.3) / (no + 0.3)).astype(np.float32), ((seen >= 3).astype(np.int8) + (seen >= 40)).astype(np.int8)
+    odds, sure = np.empty((len(counts), NODES), dtype=np.float32), np.empty(len(counts), dtype=np.int8)
+    for start in range(0, len(counts), PLACE_BYTES):
+        part = slice(start, start + PLACE_BYTES)
+        beyond = np.cumsum(counts[part, ::-1], axis=1)[:, ::-1]
+        yes, no, seen = counts[part, :NODES], beyond[:, 1 : NODES + 1], beyond[:, 0]
+        odds[part] = np.log((yes + 0.3) / (no + 0.3))
+        sure[part] = (seen >= 3).astype(np.int8) + (seen >= 40)
+    return odds, sure
 
 
 def _squash(x):
@@ -363,14 +366,14 @@ def _bucket(z):
     return np.clip(np.rint((z + 8) * 2), 0, _BUCKETS - 1).astype(np.int32)
 
 
-def _decisions(run: Run):
-    """Byte, node and outcome of every decision."""
+def _decisions(level):
+    """Byte, node and outcome of every decision at bytes of these levels."""
     import numpy as np
 
-    count = np.minimum(run.level.astype(np.int64) + 1, NODES)
+    count = np.minimum(level.astype(np.int64) + 1, NODES)
     row = np.repeat(np.arange(len(count)), count)
     node = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return row, node, node == run.level[row]
+    return row, node, node == level[row]
 
 
 def _first_weights():
@@ -381,38 +384,79 @@ def _first_weights():
     return weights
 
 
+def _distinct(keys, n, *columns):
+    """Distinct keys, the sums of their numbers, and what stands in the columns beside them."""
+    import numpy as np
+
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    at = order[first]
+    return keys[first], np.add.reduceat(n[order], first), *[c[at] for c in columns]
+
+
+def places(texts: list[bytes], ranks, trains=None):
+    """The different places of texts, those with equal contexts and level (and ``trains`` of
+    their texts), as number, level and train, and hashes of the three contexts.
+
+    Words come again and again, so these are far fewer than the bytes.
+    """
+    import numpy as np
+
+    found = []
+    marks = np.ones(len(texts), dtype=bool) if trains is None else np.asarray(trains, dtype=bool)
+    for owner, parts, leads in runs(texts, PLACE_BYTES):
+        run = Run(parts, ranks, leads, hashed=True)
+        low = run.level.astype(np.uint64) << np.uint64(1) | np.repeat(marks[owner], run.sizes).astype(np.uint64)
+        # The three bytes are a part of the five.
+        key = (run.hashes[1] * np.uint64(_BASE) + run.hashes[2]) & np.uint64(_MASK - 15) | low
+        found.append(_distinct(key, np.ones(len(key), dtype=np.int64), *run.hashes))
+        if sum(len(f[0]) for f in found[1:]) > len(found[0][0]):
+            found = [_distinct(*map(np.concatenate, zip(*found)))]
+    if len(found) > 1:
+        found = [_distinct(*map(np.concatenate, zip(*found)))]
+    if not found:
+        none = np.zeros(0, dtype=np.uint64)
+        return none.astype(np.int64), none.astype(np.int64), none.astype(bool), [none] * CONTEXTS
+    key, n, *hashes = found[0]
+    return n, (key >> np.uint64(1) & np.uint64(7)).astype(np.int64), (key & np.uint64(1)).astype(bool), hashes
+
+
 def error_sums(texts: list[bytes], model: dict, counts, weights, last: bool):
     """Sums over all decisions on learning texts: gradients and curvatures of the weights, or,
     when ``last``, outcomes and numbers for the last map.
 
-    The texts were counted themselves, so each byte is first taken out of its contexts.
+    The texts were counted themselves, so each byte is first taken out of its contexts. Equal
+    places are worked out once and count as often as they stand in the texts.
     """
     import numpy as np
 
     k, cells = CONTEXTS + 1, 9 * NODES
     sums = np.zeros((2, NODES * _BUCKETS) if last else (k + k * (k + 1) // 2, cells))
-    beyond = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
-    yes, no, seen = np.ascontiguousarray(counts[:, :NODES]).ravel(), np.ascontiguousarray(beyond[:, 1 : NODES + 1]).ravel(), beyond[:, 0]
     flat = weights.reshape(k, cells).astype(np.float32)
-    for _, parts, leads in runs(texts):
-        run = Run(parts, model["ranks"], leads, model.get("table"))
-        row, node, hit = _decisions(run)
-        hit = hit.astype(np.float32)
+    times, levels, _, hashes = places(texts, model["ranks"])
+    table = model.get("table")
+    for start in range(0, len(times), PLACE_BYTES):
+        part = slice(start, start + PLACE_BYTES)
+        row, node, hit = _decisions(levels[part])
+        n, hit = times[part][row].astype(np.float64), hit.astype(np.float32)
         x = np.ones((k, len(row)), dtype=np.float32)
         sure = []
-        for i, context in enumerate(run.contexts):
-            at = context[row].astype(np.int64) * NODES + node
-            x[i] = np.log((np.maximum(yes[at] - hit, 0) + np.float32(0.3)) / (np.maximum(no[at] - (1 - hit), 0) + np.float32(0.3)))
-            others = seen[context] - 1
+        for i, h in enumerate(hashes):
+            context = (h[part] >> np.uint64(64 - SLOT_BITS + 3)).astype(np.int64) if table is None else table.find(h[part])
+            own = counts[context]
+            beyond = np.cumsum(own[:, ::-1], axis=1)[:, ::-1]
+            x[i] = np.log((np.maximum(own[row, node] - hit, 0) + np.float32(0.3)) / (np.maximum(beyond[row, node + 1] - (1 - hit), 0) + np.float32(0.3)))
+            others = beyond[:, 0] - 1
             sure.append((others >= 3).astype(np.int64) + (others >= 40))
         cell = (sure[1] * 3 + sure[2])[row] * NODES + node
         z = (flat.take(cell, axis=1) * x).sum(axis=0)
         if last:
             bucket = node * _BUCKETS + _bucket(z)
-            sums += [np.bincount(bucket, hit, NODES * _BUCKETS), np.bincount(bucket, minlength=NODES * _BUCKETS)]
+            sums += [np.bincount(bucket, hit * n, NODES * _BUCKETS), np.bincount(bucket, n, NODES * _BUCKETS)]
             continue
         p = _squash(z)
-        err, bend = hit - p, p * (1 - p)
+        err, bend = (hit - p) * n, p * (1 - p) * n
         sums[:k] += [np.bincount(cell, err * x[i], cells) for i in range(k)]
         sums[k:] += [np.bincount(cell, bend * x[i] * x[j], cells) for i in range(k) for j in range(i + 1)]
     return sums
@@ -457,13 +501,12 @@ def fit(ready: DataFrame, ranks) -> dict:
 
     def sum_up(weights, last):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    texts = [b for b, t in zip(_bodies(row), row["trains"]) if t]
-                    if texts:
-                        table, counts = _contexts(row)
-                        sums = error_sums(texts, {"ranks": shared.value, "table": table}, counts, weights, last).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["i", "v"])
+            for row in _rows(batches):
+                texts = [b for b, t in zip(_bodies(row), row["trains"]) if t]
+                if texts:
+                    table, counts = _contexts(row)
+                    sums = error_sums(texts, {"ranks": shared.value, "table": table}, counts, weights, last).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["i", "v"])
 
         size = 2 * NODES * _BUCKETS if last else 14 * 9 * NODES
         sums = np.zeros(size)
@@ -490,7 +533,7 @@ def bits_of(parts: list[bytes], model: dict, leads: list[tuple] | None = None, s
     part = np.repeat(np.arange(n), run.sizes)
     step = (np.arange(len(part)) - np.repeat(run.ends - run.sizes, run.sizes)) // STEP
     order = np.argsort(step, kind="stable")
-    row, node, bit = _decisions(run)
+    row, node, bit = _decisions(run.level)
     count = np.minimum(run.level.astype(np.int64) + 1, NODES)
     ends = np.cumsum(count)
     sizes = count[order]
@@ -556,20 +599,20 @@ def _groups(texts: DataFrame) -> DataFrame:
 
         group = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
+        # Words are numbered as they come; only the numbers are kept.
+        number: dict[bytes, int] = {}
         size = 0
 
         def out():
             nonlocal group
-            bodies = [b" ".join(w[:-1]) + b"\n" for _, w, _ in rows]
-            number: dict[bytes, int] = {}
-            every = [number.setdefault(w, len(number)) for _, words, _ in rows for w in words]
-            ids = np.array(every, dtype=np.int64)
-            doc = np.repeat(np.arange(len(rows)), [len(w) for _, w, _ in rows])
-            train = np.array([t for _, _, t in rows], dtype=np.float64)
+            bodies = [r[1] for r in rows]
+            ids = np.concatenate([r[3] for r in rows])
+            doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[3]) for r in rows])
+            train = np.array([r[2] for r in rows], dtype=np.float32)
             learned = np.bincount(ids, train[doc], minlength=len(number)).astype(np.int64)
             order = np.argsort(ids, kind="stable")
             fields = [
-                [group], [[r[0] for r in rows]], [[len(r[1]) for r in rows]], [[r[2] for r in rows]], [[len(b) for b in bodies]], [pa.compress(b"".join(bodies), "zstd", asbytes=True)],
+                [group], [[r[0] for r in rows]], [[len(r[3]) for r in rows]], [[r[2] for r in rows]], [[len(b) for b in bodies]], [pa.compress(b"".join(bodies), "zstd", asbytes=True)],
                 [doc[order].astype(np.uint16).tobytes()], [np.bincount(ids, minlength=len(number)).astype(np.uint32).tobytes()],
                 [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), dtype=np.uint64, count=len(number)).view(np.int64)], [learned],
             ]
@@ -579,12 +622,17 @@ def _groups(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, types)], [c.split()[0] for c in _GROUP.split(", ")])
 
         for batch in batches:
-            for doc_id, text, train in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("train").to_pylist()):
-                rows.append((doc_id, [*words_of(text), b"\n"], train))
-                size += len(text or b"")
-                if size >= GROUP_BYTES or len(rows) >= GROUP_DOCUMENTS:
-                    yield out()
-                    rows, size = [], 0
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for doc_id, text, train in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist(), part.column("train").to_pylist()):
+                    words = words_of(text)
+                    body = b" ".join(words) + b"\n"
+                    words.append(b"\n")
+                    rows.append((doc_id, body, train, np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int32)))
+                    size += len(text or b"")
+                    if size >= GROUP_BYTES or len(rows) >= GROUP_DOCUMENTS:
+                        yield out()
+                        rows, number, size = [], {}, 0
         if rows:
             yield out()
 
@@ -600,14 +648,14 @@ def _scored(ready: DataFrame, model: dict) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                table, counts = _contexts(row)
-                odds, sure = odds_of(counts)
-                bits = text_bits(_bodies(row), shared.value | {"table": table, "odds": odds, "sure": sure})
-                fields = [[row["grp"]], [(-bits * np.log10(2)).tolist()], [(bits / row["sizes"]).tolist()]]
-                types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, types)], [c.split()[0] for c in _HEAD.split(", ")])
+        for row in _rows(batches):
+            table, counts = _contexts(row)
+            odds, sure = odds_of(counts)
+            del counts
+            bits = text_bits(_bodies(row), shared.value | {"table": table, "odds": odds, "sure": sure})
+            fields = [[row["grp"]], [(-bits * np.log10(2)).tolist()], [(bits / row["sizes"]).tolist()]]
+            types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, types)], [c.split()[0] for c in _HEAD.split(", ")])
 
     return ready.mapInArrow(score, _HEAD)
 

@@ -125,3 +125,26 @@ def test_pieces_go_on_where_the_last_one_ended(monkeypatch):
     assert len(cut) > 10
     assert all(np.array_equal(np.concatenate([r.hashes[k] for r in cut]), whole[k]) for k in range(3))
     assert bits[0] == bits[1] and np.allclose(lmscore.text_bits([body, body], model), bits, rtol=0.02)
+
+
+def test_equal_places_are_worked_out_once():
+    """Places are far fewer than bytes, and stand for all of them."""
+    bodies = [text(i % 7, 300).encode() + b"\n" for i in range(60)]
+    ranks = np.arange(256, dtype=np.uint8)[None, :].repeat(65536, axis=0)
+    trains = [i % 3 > 0 for i in range(60)]
+    n, level, train, hashes = lmscore.places(bodies, ranks, trains)
+    assert n.sum() == sum(map(len, bodies)) and len(n) < n.sum() / 5
+    want = Counter()
+    for body, t in zip(bodies, trains):
+        run = lmscore.Run([body], ranks, hashed=True)
+        want.update(zip(run.level.tolist(), [t] * len(body), *(h.tolist() for h in run.hashes)))
+    assert Counter(dict(zip(zip(level.tolist(), train.tolist(), *(h.tolist() for h in hashes)), n.tolist()))) == want
+    assert all(len(x) == 0 for x in lmscore.places([], ranks)[:3])
+
+
+def test_rows_of_a_batch_come_one_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"grp": [1, 2, 3], "bodies": [b"a", b"b", b"c"]})
+    rows = lmscore._rows(iter([batch]))
+    assert next(rows) == {"grp": 1, "bodies": b"a"} and [r["grp"] for r in rows] == [2, 3]
