@@ -36,10 +36,12 @@ def nearest(x: Column, digits: int = 6) -> Column:
     the nearest whole number, ties away from zero.
 
     ``F.round`` takes the shortest decimal text of x instead, which differs where the product
-    lies next to a tie: 0.0640625 is 64062.49999999999 millionths.
+    lies next to a tie: 0.0640625 is 64062.49999999999 millionths. Products beyond 2^52 are
+    whole; they are divided again, which may move the last bit. Where the product is infinite
+    or not a number, x stays.
     """
     scale = float(10**digits)
     p = F.abs(x * scale)
     whole = F.floor(p)
     near = F.signum(x) * (whole + (p - whole >= 0.5).cast("long")) / scale
-    return F.when(p < float(1 << 52), near).otherwise(x)
+    return F.when(p < float(1 << 52), near).when(p < float("inf"), x * scale / scale).otherwise(x)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelloom.functions import bins, checksums, confidence, geometry, licenses, text, versions
+from labelloom.functions.numbers import nearest
 from labelloom.operators import stats
 from labelloom.plans.views import with_views
 
@@ -164,12 +165,12 @@ SELECT id, seq1, seq2, x, width * height AS area, round(CASE WHEN height > 0 THE
     )
     def _(v):
         w, h = F.col("width"), F.col("height")
-        tall = geometry.aspect_h_over_w(w, h)
         return v.annotations.select(
             "id", "seq1", "seq2", "x",
             geometry.area(w, h).alias("area"),
-            F.round(geometry.aspect_w_over_h(w, h), 6).alias("aspect_wh"),
-            F.when(tall == float("inf"), 1e308).otherwise(F.round(tall, 6)).alias("aspect_hw"),
+            nearest(geometry.aspect_w_over_h(w, h)).alias("aspect_wh"),
+            # A ratio too large for a double is infinite; 1e308 stands for a missing width alone.
+            F.when(w > 0, nearest(geometry.aspect_h_over_w(w, h))).otherwise(1e308).alias("aspect_hw"),
         )
 
     @r.add(
