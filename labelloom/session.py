@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,24 +86,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that starts here go as soon as it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read on from there.
 
+    Only the stored rows stay on disk: the shuffle files of the write are removed with it.
     ``instead_of`` is an earlier result of this function that nothing reads any more, such as
     the table of the last round; its files are removed.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    old = getattr(instead_of, "stored_at", None)
-    if old is not None:
-        place = spark._jvm.org.apache.hadoop.fs.Path(old)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    if instead_of is not None:
+        discard(instead_of)
     found = spark.read.schema(df.schema).parquet(path)
     found.stored_at = path
     return found
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a result of ``stored`` that nothing reads any more."""
+    old = getattr(df, "stored_at", None)
+    if old is not None:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there."""
     context = df.sparkSession.sparkContext
