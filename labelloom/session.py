@@ -116,6 +116,16 @@ def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
     return found
 
 
+def sent_if_few(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """``df``, stored; a join sends it to all tasks where it has at most ``most`` rows.
+
+    Spark does not know how small a filtered or parsed table is, and adaptive execution finds
+    out when the other side of the join has been shuffled already.
+    """
+    found = stored(df, name)
+    return F.broadcast(found) if found.count() <= most else found
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a result of ``stored`` that nothing reads any more."""
     old = getattr(df, "stored_at", None)

@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from labelloom.session import stored
+from labelloom.session import discard, shuffles_removed, stored
 
 STAGED = "_staged"
 COMMITTED = "committed.json"
 #: Bytes copied or hashed at a time.
 COPY_BYTES = 8 << 20
+#: Compression of the parts of a document.
+PART_CODEC = "zstd"
 #: An archive is closed after so many bytes, or so many files.
 PACK_BYTES, PACK_FILES = 32 << 20, 50_000
 #: Rows, and bytes of text, of one batch read from archives.
@@ -398,7 +400,10 @@ def packed_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 class DocumentParts(DataSource):
-    """``format("document_parts")``: rows (section number, line), sorted within tasks."""
+    """``format("document_parts")``: rows (section number, line), sorted within tasks.
+
+    Parts are compressed, since they and the document are on disk at the same time.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -426,7 +431,7 @@ class _PartWriter(_Staging):
                     if out is not None:
                         out.close()
                     parts.append([section, task, 0])
-                    out = fs.open_output_stream(f"{base}/{section}")
+                    out = fs.open_output_stream(f"{base}/{section}", compression=PART_CODEC)
                 data = (b",\n" if parts[-1][2] else b"") + b",\n".join(lines[at:end])
                 out.write(data)
                 parts[-1][2] += len(data)
@@ -441,7 +446,7 @@ def _copy_parts(batches) -> Iterator[pa.RecordBatch]:
     done = 0
     for batch in batches:
         for source, target, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            with open(source, "rb") as part, open(target, "r+b") as out:
+            with filesystem(source)[0].open_input_stream(source, compression=PART_CODEC) as part, open(target, "r+b") as out:
                 out.seek(at)
                 while data := part.read(COPY_BYTES):
                     out.write(data)
@@ -449,14 +454,15 @@ def _copy_parts(batches) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["parts"])
 
 
-def write_document(lines: DataFrame, path: str, sections: Sequence[str], order: Sequence[str], head: dict | None = None) -> int:
+def write_document(lines: DataFrame, path: str, sections: Sequence[str], order: Sequence[str], head: dict | None = None, spent: DataFrame | None = None) -> int:
     """Write one JSON document of lists and give its size in bytes.
 
     ``lines`` has ``section``, one of ``sections``, and ``line``, an element as JSON text;
     elements stand in ``order``. ``head`` are single values that come first. Tasks write
     parts in the global order; the sums of their lengths give each part its place in the
     document, to which tasks copy it where files can be written at any place. On other
-    stores one writer streams the parts in order.
+    stores one writer streams the parts in order. ``spent``, a stored table that is needed
+    only for ``lines``, is discarded before the document takes its place on the disk.
     """
     _need_empty(path)
     spark = lines.sparkSession
@@ -464,7 +470,10 @@ def write_document(lines: DataFrame, path: str, sections: Sequence[str], order:
     rows = lines.withColumn("_section", F.coalesce(*[F.when(F.col("section") == s, i) for i, s in enumerate(sections)])).where("_section IS NOT NULL")
     placed = rows.repartitionByRange("_section", *order).sortWithinPartitions("_section", *order)
     staging = f"{path}.parts"
-    placed.select("_section", "line").write.format("document_parts").mode("append").save(staging)
+    with shuffles_removed(spark):
+        placed.select("_section", "line").write.format("document_parts").mode("append").save(staging)
+    if spent is not None:
+        discard(spent)
     parts = sorted((section, task, attempt, size) for attempt, found in committed(staging) for section, task, size in found)
 
     fs, stage = filesystem(staging)
@@ -506,7 +515,7 @@ def write_document(lines: DataFrame, path: str, sections: Sequence[str], order:
                 if isinstance(piece, bytes):
                     out.write(piece)
                     continue
-                with fs.open_input_stream(piece) as part:
+                with fs.open_input_stream(piece, compression=PART_CODEC) as part:
                     while chunk := part.read(COPY_BYTES):
                         out.write(chunk)
     fs.move(temporary, filesystem(path)[1])

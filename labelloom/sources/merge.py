@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from labelloom.operators.skew import bucketed_row_number, join_on, stored_row_number
-from labelloom.session import shuffles_removed, stored
+from labelloom.session import discard, sent_if_few, shuffles_removed, stored
 from labelloom.sources import jsonsplit, writers
 from labelloom.sources.readers import COCO_SCHEMA, element_fields
 
@@ -17,8 +17,6 @@ from labelloom.sources.readers import COCO_SCHEMA, element_fields
 FILE_ROWS = 500_000
 #: Files are shuffled in so many turns, at most, of so many elements each, at least.
 TURNS, TURN_ROWS = 2, 4_000_000
-#: Categories up to which their numbers are sent to all tasks.
-BROADCAST_NAMES = 100_000
 
 
 def merge_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, key: str = "source_file") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,9 +52,9 @@ def merge_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
 
     united = listed.union(boxes.select("_name", F.lit(None).cast("string"))).groupBy("name").agg(F.min("supercategory").alias("supercategory"))
     numbers = bucketed_row_number(united.withColumn("_letters", F.substring("name", 1, 4)), [], "_letters", ["name"], "id")
-    kept = stored(numbers.select("id", "name", F.coalesce("supercategory", F.lit("object")).alias("supercategory")), "merged-categories", listed)
-    ids = kept.select(F.col("id").alias("category_id"), F.col("name").alias("_name"))
-    boxes = boxes.join(F.broadcast(ids) if kept.count() <= BROADCAST_NAMES else ids, "_name")
+    kept = sent_if_few(numbers.select("id", "name", F.coalesce("supercategory", F.lit("object")).alias("supercategory")), "merged-categories")
+    discard(listed)
+    boxes = boxes.join(kept.select(F.col("id").alias("category_id"), F.col("name").alias("_name")), "_name")
     return (
         pics.select(key, F.col("image_id").alias("id"), "coco_id", "file_name", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height")),
         boxes.select(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from labelloom.functions import geometry, text
 from labelloom.functions.geometry import Box
 from labelloom.operators.skew import salted_join
+from labelloom.session import sent_if_few
 from labelloom.sources import files, jsonsplit
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -225,8 +226,8 @@ def read_coco(spark: SparkSession, path: str, missing: str | None = None, split:
     """
     if _is_split(spark, path, split):
         elements = jsonsplit.read_elements(spark, path)
-        parts = [jsonsplit.section(elements, name, element_fields(COCO_SCHEMA, name)) for name in ("images", "annotations", "categories")]
-        return coco_rows(*parts, ("source_file",), missing)
+        pics, boxes, names = (jsonsplit.section(elements, name, element_fields(COCO_SCHEMA, name)) for name in ("images", "annotations", "categories"))
+        return coco_rows(pics, boxes, sent_if_few(names, "coco-names"), ("source_file",), missing)
     docs = spark.read.schema(COCO_SCHEMA).option("multiLine", "true").json(path)
     return coco_annotations(docs.select("*", F.col("_metadata.file_path").alias("source_file")), ("source_file",), missing)
 

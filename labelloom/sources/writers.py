@@ -169,10 +169,12 @@ def write_coco_document(images: DataFrame, annotations: DataFrame, categories: D
     """One COCO document at ``path`` from the rows of ``coco_images``, ``coco_annotations``
     and ``coco_categories``, by as many writers as there are partitions. Gives its bytes.
 
-    The lines are stored first: finding the ranges of the writers reads them once more."""
+    The lines are stored first, until the parts of the document are written: finding the
+    ranges of the writers reads them once more."""
     numbered = lambda rows, key: rows.withColumn("_order", F.col(key).cast("long"))
     lines = coco_json(numbered(images, "coco_id"), numbered(annotations, "coco_id"), numbered(categories, "id"), keep=["_order"])
-    return files.write_document(stored(lines, "coco-lines"), path, ["images", "annotations", "categories"], ["_order"])
+    kept = stored(lines, "coco-lines")
+    return files.write_document(kept, path, ["images", "annotations", "categories"], ["_order"], None, kept)
 
 
 def voc_documents(annotations: DataFrame, images: DataFrame) -> DataFrame:
